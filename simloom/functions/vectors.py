@@ -161,15 +161,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def sketch(tokens: Column, positions: int = 16, width: int = 12) -> Column:
-    """MinHash of a token list: one md5 per token, read at a different offset per position."""
-    hashed = F.transform(F.array_distinct(tokens), lambda w: F.repeat(F.md5(w), 2))
-    return F.array(
-        *[
-            F.array_min(F.transform(hashed, lambda h, i=i: F.substring(h, 2 * i + 1, width)))
-            for i in range(positions)
-        ]
-    )
+def token_hashes(text: Column) -> Column:
+    """One md5 per distinct word, written twice so that it can be read at any offset."""
+    return F.transform(F.array_distinct(words(text)), lambda w: F.repeat(F.md5(w), 2))
+
+
+def sketch(hashes: Column, positions: int = 16, width: int = 12) -> Column:
+    """MinHash of token hashes: each position reads them from another offset.
+
+    Keep the hashes in a column of their own (see ``neardup.sketched``), so that they are computed
+    once and not once per position.
+    """
+
+    def value(i: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.substring(h, 2 * i + 1, width)))
+
+    return F.array(*[value(i) for i in range(positions)])
 
 
 def ensemble_geo(parts: Column, scale: float = 0.9565) -> Column:

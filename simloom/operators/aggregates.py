@@ -73,9 +73,10 @@ def time_hist(log: DataFrame, label: str, took: str) -> DataFrame:
     )
 
 
-def timing_rollup(log: DataFrame, request: str, tick: Column, transport: str) -> DataFrame:
+def timing_rollup(log: DataFrame, request: str, tick: str, transport: str) -> DataFrame:
+    """Microseconds from a request's first to its last tick, and its mean transport time."""
     return log.groupBy(request).agg(
-        (F.max(tick) - F.min(tick)).alias("span"), rounded(F.avg(transport)).alias("transport")
+        F.timestamp_diff("MICROSECOND", F.min(tick), F.max(tick)).alias("span"), rounded(F.avg(transport)).alias("transport")
     )
 
 

@@ -85,7 +85,7 @@ CENTROIDS = (
 )
 
 SLICED = (
-    E + ", s AS (SELECT id, label, 's' || g.i AS by, v[(g.i - 1) * 16 + 1 : g.i * 16] AS v "
+    E + ", s AS (SELECT id, label, 's' || g.i AS dt, v[(g.i - 1) * 16 + 1 : g.i * 16] AS v "
     "FROM e, (SELECT unnest(range(1, 5)) AS i) g)"
 )
 
