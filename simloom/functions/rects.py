@@ -209,6 +209,22 @@ def crop_subs(r: Column, subs: Column) -> Column:
     return F.filter(F.transform(subs, lambda s: intersect(s, frame)), lambda s: s["w"] > 0)
 
 
+def count_kinds(subs: Column, *kinds: str) -> Column:
+    return F.size(F.filter(subs, lambda s: s["kind"].isin(*kinds))).cast("bigint")
+
+
+def has_kind(subs: Column, *kinds: str) -> Column:
+    return F.exists(subs, lambda s: s["kind"].isin(*kinds))
+
+
+def keep_kinds(regions: Column, kinds: tuple[str, ...] = ("f", "p", "i", "n", "m")) -> Column:
+    """Evaluable regions and, inside them, evaluable sub-regions."""
+    kept = F.filter(regions, lambda r: r["kind"].isin(*kinds))
+    return F.transform(
+        kept, lambda r: r.withField("subs", F.filter(r["subs"], lambda s: s["kind"].isin(*kinds)))
+    )
+
+
 def region_from_points(left: Column, right: Column, nose: Column, mouth: Column) -> Column:
     """Box and landmark boxes from two eye points, a nose and a mouth point (0,0 = absent).
 

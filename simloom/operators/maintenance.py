@@ -34,25 +34,23 @@ def replace_ids(items: DataFrame, fresh: DataFrame, key: str = "item_id", exempt
 
 def matching(items: DataFrame, needles: DataFrame, key: str = "item_id", exhaustive: bool = False
              ) -> DataFrame:
-    """Ids that a needle names: by id, else by label, else file name, else path.
+    """Ids that a needle names: exactly, else by label, file name or path.
 
-    A needle moves to the next stage only when the stage before found nothing. Each stage is an
-    equi-join; the exhaustive stage joins the parts an id can start at instead of comparing every
-    id with every needle.
+    All of these are one equi-join. The exhaustive search, for needles that are no id themselves,
+    joins the places where an id may start matching instead of comparing all ids with all needles.
     """
     path = strings.file_path(F.col(key))
     label = F.col("label") if "label" in items.columns else strings.derive_label(F.col(key))
-    stages = [F.col(key), label, strings.file_name(path), path]
-    # One row per id and stage, so all stages are one join on the needle.
-    keyed = items.select(
-        key, F.posexplode(F.array(*[s.cast("string") for s in stages])).alias("stage", "needle")
+    names = F.array(F.col(key), label, strings.file_name(path), path)
+    keyed = items.select(key, F.posexplode(F.transform(names, lambda n: n.cast("string"))).alias("stage", "needle"))
+    asked = needles.select("needle").distinct()
+    hits = asked.join(keyed, "needle")
+    exact = hits.filter("stage = 0").select("needle").distinct()
+    out = hits.filter("stage = 0").select("needle", key).unionByName(
+        hits.join(exact, "needle", "left_anti").select("needle", key)
     )
-    hits = needles.select("needle").distinct().join(keyed, "needle")
-    first = hits.groupBy("needle").agg(F.min("stage").alias("stage"))
-    out = hits.join(first, ["needle", "stage"]).select("needle", key)
     if exhaustive:
-        left = needles.select("needle").distinct().join(first, "needle", "left_anti")
-        out = out.unionByName(_starting_at_part(items, left, key))
+        out = out.unionByName(_starting_at_part(items, asked.join(exact, "needle", "left_anti"), key))
     return out.distinct()
 
 
@@ -100,7 +98,7 @@ def list_items(items: DataFrame, pattern: str, key: str = "item_id") -> DataFram
     if p == "*":
         return items.select(F.col(key).cast("string").alias("name"), F.lit(1).cast("bigint").alias("n"))
     needle = items.sparkSession.createDataFrame([(p,)], "needle string")
-    hits = matching(items, needle, key)
+    hits = matching(items, needle, key, exhaustive=True)
     return hits.select(F.col(key).cast("string").alias("name"), F.lit(1).cast("bigint").alias("n"))
 
 

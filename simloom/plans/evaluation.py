@@ -1 +1,291 @@
+"""Evaluation against labels, scoring of regions and tuning."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from simloom.functions.scalars import rounded
+from simloom.functions import rects
+from simloom.operators import aggregates, evaluate, similarity, tune
+from simloom.plans.catalogue import query, table
+from simloom.plans.inputs import BOXES, E, as_queries, boxes, iou, items, neighbours, overlap, unit
+from simloom.plans.joins import _FOUND, given_found
+from simloom.plans.regions import FACES
+
+PRF = ("recall", "precision", "f", "fn", "fp")
+
+
+def prf_sql(match: str, found: str, given: str) -> str:
+    r = f"(CASE WHEN {given} = 0 THEN 1.0 ELSE {match} / CAST({given} AS DOUBLE) END)"
+    p = f"(CASE WHEN {found} = 0 THEN 1.0 ELSE {match} / CAST({found} AS DOUBLE) END)"
+    return (
+        f"round({r}, 6) AS recall, round({p}, 6) AS precision, "
+        f"round(CASE WHEN {r} * {p} = 0 THEN 0.0 ELSE 2 * {r} * {p} / ({r} + {p}) END, 6) AS f, "
+        f"round(CAST({given} AS DOUBLE) - {match}, 6) AS fn, round(CAST({found} AS DOUBLE) - {match}, 6) AS fp"
+    )
+
+
+def lists(spark, sf, k, **how):
+    x = items(spark, sf)
+    return similarity.search(as_queries(x), x, top_n=k, **how)
+
+
+_SCORES = {"none": "1.0", "distance": "1 - d", "rank": "1 - (r - 1) / 6.0", "inverse": "1.0 / r"}
+
+
+def _per_query(weight: str) -> str:
+    s = f"CAST({_SCORES[weight]} AS DOUBLE)"
+    return (
+        "q_" + weight + f" AS (SELECT e.id AS qid, coalesce(sum(CASE WHEN ql = il THEN {s} END), 0) AS match, "
+        f"coalesce(sum({s}), 0) AS found, any_value(z.n - 1) AS given, "
+        f"coalesce(first({s} ORDER BY r) FILTER (WHERE ql = il), 0) AS hit, any_value(CASE WHEN z.n > 1 THEN 1 ELSE 0 END) AS possible "
+        "FROM e JOIN (SELECT label, count(*) AS n FROM e GROUP BY ALL) z USING (label) LEFT JOIN n ON n.qid = e.id AND n.iid <> n.qid GROUP BY e.id)"
+    )
+
+
+_LOO = f"WITH {neighbours(6, True)}, {_per_query('none')} "
+
+
+def evaluated(spark, sf, weight="none"):
+    hits = lists(spark, sf, 6)
+    return evaluate.per_query(evaluate.scored(hits, weight), items(spark, sf))
+
+
+@query("eval_loo",
+       _LOO + "SELECT qid AS query_id, CAST(match AS DOUBLE) AS match, CAST(found AS DOUBLE) AS found, CAST(given AS BIGINT) AS given FROM q_none")
+def eval_loo(spark, sf):
+    return evaluated(spark, sf).select("query_id", "match", "found", "given")
+
+
+@query("eval_weighted",
+       f"WITH {neighbours(6, True)}, " + ", ".join(_per_query(w) for w in _SCORES) + " "
+       + " UNION ALL ".join(f"SELECT '{w}' AS weight, round(sum(match), 6) AS match, round(sum(found), 6) AS found, CAST(sum(given) AS BIGINT) AS given FROM q_{w}" for w in _SCORES))
+def eval_weighted(spark, sf):
+    hits = lists(spark, sf, 6).select("query_id", "item_id", "dist", "rank").cache()
+    x = items(spark, sf)
+    out = None
+    for w in _SCORES:
+        one = evaluate.totals(evaluate.per_query(evaluate.scored(hits, w), x)).select(
+            F.lit(w).alias("weight"), rounded(F.col("match")).alias("match"), rounded(F.col("found")).alias("found"), "given"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("eval_hit_rate",
+       f"WITH {neighbours(6, True)}, {_per_query('inverse')} SELECT round(sum(hit), 6) AS hits, CAST(sum(possible) AS BIGINT) AS possible, "
+       "round(sum(hit) / sum(possible), 6) AS rate FROM q_inverse")
+def eval_hit_rate(spark, sf):
+    t = evaluate.totals(evaluated(spark, sf, "inverse"))
+    return t.select(
+        rounded(F.col("hit")).alias("hits"), "possible", rounded(F.col("hit") / F.col("possible")).alias("rate")
+    )
+
+
+@query("eval_prf",
+       _LOO + ", t AS (SELECT sum(match) AS match, sum(found) AS found, sum(given) AS given FROM q_none) SELECT "
+       + prf_sql("match", "found", "given") + " FROM t")
+def eval_prf(spark, sf):
+    return evaluate.with_prf(evaluate.totals(evaluated(spark, sf))).select(*PRF)
+
+
+_PAIRS = (
+    E + ", p AS (SELECT a.id AS qid, b.id AS iid, a.label = b.label AS same, list_distance(a.v, b.v) AS d FROM e a, e b WHERE a.id <> b.id), "
+    "gv AS (SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS given FROM (SELECT count(*) AS n FROM e GROUP BY label)), "
+    f"b AS (SELECT CAST(round(round({unit('d')}, 4) * 10000) AS BIGINT) AS bin, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, sum(CASE WHEN same THEN 0 ELSE 1 END) AS other FROM p GROUP BY ALL), "
+    "k AS (SELECT qid, same, row_number() OVER (PARTITION BY qid ORDER BY round(d, 6), iid) AS r FROM p QUALIFY r <= 40)"
+)
+_SWEEP = (
+    _PAIRS + ", sw AS (SELECT t, coalesce(sum(same), 0) AS match, coalesce(sum(same + other), 0) AS found FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS t) x "
+    "LEFT JOIN b ON b.bin <= round(t * 10000) GROUP BY t UNION ALL "
+    "SELECT t, sum(CASE WHEN same THEN 1 ELSE 0 END), count(*) FROM (SELECT unnest([1, 3, 5, 10, 20, 40])::DOUBLE AS t) x JOIN k ON r <= t GROUP BY t)"
+)
+
+
+@query("eval_sweep",
+       f"WITH {_SWEEP} SELECT t, CAST(match AS BIGINT) AS match, CAST(found AS BIGINT) AS found, given, " + prf_sql("match", "found", "given") + " FROM sw, gv")
+def eval_sweep(spark, sf):
+    x = items(spark, sf)
+    given = evaluate.given_pairs(x)
+    radius = evaluate.radius_sweep(evaluate.pair_counts(x), given)
+    ranks = evaluate.rank_counts(lists(spark, sf, max(evaluate.TOP_N_STEPS), skip="id"), x)
+    both = radius.unionByName(evaluate.top_n_sweep(ranks, given))
+    return evaluate.with_prf(both).select("t", "match", "found", "given", *PRF)
+
+
+# Two entries per item: the vector itself and its reverse, sharing the label.
+@query("eval_non_variant",
+       f"WITH {E}, x AS (SELECT id * 2 AS id, label, v FROM e UNION ALL SELECT id * 2 + 1, label, list_reverse(v) FROM e), "
+       "n AS (SELECT a.id AS qid, a.label = b.label AS same, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.v, b.v), 6), b.id) AS r "
+       "FROM x a, x b WHERE a.id % 2 = 0 AND a.id <> b.id QUALIFY r <= 5), "
+       "t AS (SELECT CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS DOUBLE) AS match, CAST(count(*) AS DOUBLE) AS found FROM n), "
+       "g AS (SELECT CAST(sum(z.n - 1) AS BIGINT) AS given FROM x JOIN (SELECT label, count(*) AS n FROM x GROUP BY ALL) z USING (label) WHERE x.id % 2 = 0) "
+       "SELECT match, found, given, " + prf_sql("match", "found", "given") + " FROM t, g")
+def eval_non_variant(spark, sf):
+    x = items(spark, sf)
+    index = x.select((F.col("item_id") * 2).alias("item_id"), "label", "vec").unionByName(
+        x.select((F.col("item_id") * 2 + 1).alias("item_id"), "label", F.reverse("vec").alias("vec"))
+    )
+    originals = as_queries(index.filter("item_id % 2 = 0"))
+    hits = similarity.search(originals, index, top_n=5, skip="id")
+    per = evaluate.per_query(evaluate.scored(hits), index).join(originals.select("query_id"), "query_id", "left_semi")
+    return evaluate.with_prf(evaluate.totals(per)).select("match", "found", "given", *PRF)
+
+
+def greedy_sql(pairs: str) -> str:
+    """CTE ``m`` (img, given, found): sequential one-to-one choice among ``pairs`` (same, area)."""
+    return (
+        f"cd AS (SELECT img, given, row_number() OVER (PARTITION BY img ORDER BY given) AS k, list(found ORDER BY same DESC, area DESC, found) AS cand FROM {pairs} GROUP BY img, given), "
+        "st AS (SELECT DISTINCT img, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS given, CAST(NULL AS BIGINT) AS found FROM cd UNION ALL "
+        "SELECT img, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, given, p FROM "
+        "(SELECT cd.img, cd.k, st.used, cd.given, list_filter(cd.cand, lambda t: NOT list_contains(st.used, t))[1] AS p FROM st JOIN cd ON cd.img = st.img AND cd.k = st.k + 1) z), "
+        "m AS (SELECT img, given, found FROM st WHERE found IS NOT NULL)"
+    )
+
+
+_REGION_PAIRS = (
+    _FOUND + f", p AS (SELECT g.img AS img, g.rid AS given, f.rid AS found, {overlap('g', 'f')} AS area, g.kind = f.kind AS same "
+    f"FROM g JOIN f ON g.img = f.img AND 1 - {iou('g', 'f')} < 0.5 AND {overlap('g', 'f')} >= 64), " + greedy_sql("p")
+)
+
+
+@query("eval_regions",
+       f"WITH RECURSIVE {_REGION_PAIRS}, t AS (SELECT (SELECT sum(CASE WHEN p.same THEN 1.0 ELSE 0.5 END)::DOUBLE FROM m JOIN p USING (img, given, found)) AS match, "
+       "(SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g) AS given) SELECT match, CAST(found AS BIGINT) AS found, CAST(given AS BIGINT) AS given, "
+       + prf_sql("match", "found", "given") + " FROM t")
+def eval_regions(spark, sf):
+    given, found = given_found(spark, sf)
+    per = evaluate.region_counts(given, found, sub_weight=0.5)
+    total = per.agg(*[F.sum(c).alias(c) for c in ("match", "found", "given")])
+    return evaluate.with_prf(total).select("match", "found", "given", *PRF)
+
+
+@query("eval_regions_cascade")
+def eval_regions_cascade(spark, sf):
+    given, found = given_found(spark, sf)
+
+    def subs(df, jitter):
+        r = F.col("r")
+        two = F.array(*[
+            F.struct(F.lit(k).alias("kind"), rects.rect(
+                (r["x"] + (r["w"] * s).cast("int") + jitter).cast("int"), (r["y"] + 2).cast("int"),
+                (r["w"] / 3).cast("int"), (r["h"] / 2 + 4).cast("int")).alias("r"))
+            for k, s in (("i", 0.1), ("m", 0.5))
+        ])
+        return df.select("img", F.col("rid").alias("parent"), F.posexplode(two)).select(
+            "img", "parent", (F.col("parent") * 10 + F.col("pos")).alias("rid"), "col.kind", "col.r"
+        )
+
+    total = evaluate.region_counts_cascade(
+        given, found, subs(given, F.lit(0)), subs(found, (F.col("rid") % 3).cast("int")), sub_weight=0.5
+    )
+    return evaluate.with_prf(total).select("match", "found", "given", *PRF)
+
+
+# A document is predicted good when it is long; each document is one given/found/match count.
+_DOC = (
+    "d AS (SELECT doc_id, CAST(quality AS BIGINT) AS given, CAST(CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS BIGINT) AS found, "
+    "CAST(CASE WHEN quality = 1 AND n_chars > 500 THEN 1 ELSE 0 END AS BIGINT) AS match FROM documents JOIN labels USING (doc_id)), "
+    "r AS (SELECT doc_id, " + prf_sql("match", "found", "given") + " FROM d)"
+)
+
+
+@query("eval_report_filter",
+       f"WITH {_DOC} " + " UNION ALL ".join(f"SELECT '{w}' AS which, doc_id FROM r WHERE {c}" for w, c in
+       (("good", "f = 1"), ("bad", "f < 1"), ("fn", "recall < 1"), ("fp", "precision < 1"))))
+def eval_report_filter(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    long = (F.col("n_chars") > 500).cast("bigint")
+    per = evaluate.with_prf(docs.select(
+        "doc_id", F.col("quality").cast("bigint").alias("given"), long.alias("found"), (long * F.col("quality")).alias("match")
+    ))
+    out = None
+    for which in ("good", "bad", "fn", "fp"):
+        one = evaluate.report(per, which).select(F.lit(which).alias("which"), "doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_RANKS = (
+    _PAIRS + ", rk AS (SELECT r, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, count(*) AS n FROM k GROUP BY r), "
+    "rs AS (SELECT r, sum(same) OVER (ORDER BY r) AS match, sum(n) OVER (ORDER BY r) AS found FROM rk), "
+    "rf AS (SELECT r, " + prf_sql("match", "found", "given") + " FROM rs, gv), "
+    "bs AS (SELECT bin, sum(same) OVER (ORDER BY bin) AS match, sum(same + other) OVER (ORDER BY bin) AS found FROM b), "
+    "bf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM bs, gv WHERE bin < 10000), "
+    "tn AS (SELECT CAST(r AS DOUBLE) AS t, f FROM rf ORDER BY f DESC, r DESC LIMIT 1), "
+    "tr AS (SELECT round(bin / 10000.0, 6)::DOUBLE AS t, f FROM bf ORDER BY f DESC, bin DESC LIMIT 1)"
+)
+
+
+@query("tune_topn", f"WITH {_RANKS} SELECT t, f FROM tn")
+def tune_topn(spark, sf):
+    return tune.tune_top_n(lists(spark, sf, 40, skip="id"), items(spark, sf))
+
+
+@query("tune_radius", f"WITH {_RANKS} SELECT t, f FROM tr")
+def tune_radius(spark, sf):
+    return tune.tune_radius(items(spark, sf))
+
+
+@query("tune_either", f"WITH {_RANKS} SELECT t, f FROM (FROM tn UNION ALL FROM tr) ORDER BY f DESC, t DESC LIMIT 1")
+def tune_either(spark, sf):
+    return tune.tune_either(lists(spark, sf, 40, skip="id"), items(spark, sf))
+
+
+@query("tune_scale",
+       f"WITH {_PAIRS}, c AS (SELECT CAST(round(round(d, 4) * 10000) AS BIGINT) AS bin, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, count(*) AS n FROM p GROUP BY ALL), "
+       "cs AS (SELECT bin, sum(same) OVER (ORDER BY bin) AS match, sum(n) OVER (ORDER BY bin) AS found FROM c), "
+       "cf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM cs, gv WHERE bin > 0), "
+       "o AS (SELECT bin, f FROM cf ORDER BY f DESC, bin DESC LIMIT 1) SELECT round(2 / pi() * tan(pi() / 2 * 0.5) * 10000 / bin, 6) AS scale, f FROM o")
+def tune_scale(spark, sf):
+    return tune.tune_scale(items(spark, sf), t=0.5)
+
+
+_LOGS = ", ".join(f"ln({unit(f'list_distance(a.v[{16 * i + 1}:{16 * i + 16}], b.v[{16 * i + 1}:{16 * i + 16}])')}) AS l{i}" for i in range(4))
+
+
+@query("tune_weights",
+       f"WITH {E}, p AS (SELECT a.label = b.label AS same, {_LOGS} FROM e a, e b WHERE a.id <> b.id), "
+       "w AS (SELECT row_number() OVER (ORDER BY a, b, c, d) - 1 AS candidate, a, b, c, d FROM (SELECT unnest([0.3, 0.9])::DOUBLE AS a), "
+       "(SELECT unnest([0.3, 0.9])::DOUBLE AS b), (SELECT unnest([0.3, 0.9])::DOUBLE AS c), (SELECT unnest([0.3, 0.9])::DOUBLE AS d)), "
+       "gv AS (SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS given FROM (SELECT count(*) AS n FROM e GROUP BY label)), "
+       f"s AS (SELECT candidate, sum(CASE WHEN same THEN 1 ELSE 0 END) AS match, count(*) AS found FROM p, w WHERE round({unit('1.6473 * exp(a * l0 + b * l1 + c * l2 + d * l3)')}, 4) <= 0.6 GROUP BY ALL), "
+       "z AS (SELECT w.candidate, coalesce(match, 0) AS match, coalesce(found, 0) AS found FROM w LEFT JOIN s USING (candidate)) "
+       "SELECT candidate, CAST(match AS BIGINT) AS match, CAST(found AS BIGINT) AS found, " + prf_sql("match", "found", "given") + " FROM z, gv")
+def tune_weights(spark, sf):
+    slices = [(16 * i, 16 * i + 16) for i in range(4)]
+    return tune.tune_weights(items(spark, sf), slices, t=0.6, scale=1.6473).select("candidate", "match", "found", *PRF)
+
+
+@query("eval_grid",
+       "WITH g AS (SELECT l, t FROM (SELECT unnest([100, 300, 500, 1000, 3000]) AS l), (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS t)), "
+       "d AS (SELECT n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)), "
+       "s AS (SELECT l, t, sum(CASE WHEN n_chars > l THEN CASE WHEN quality = 1 THEN 1 ELSE t * toxic END ELSE 0 END)::DOUBLE AS match, "
+       "sum(CASE WHEN n_chars > l THEN 1 ELSE 0 END) AS found, sum(quality) AS given FROM d, g GROUP BY ALL) "
+       "SELECT CAST(l AS BIGINT) AS min_chars, t AS sub_weight, " + prf_sql("match", "found", "given") + " FROM s")
+def eval_grid(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    grid = F.array(*[
+        F.struct(F.lit(n).cast("bigint").alias("min_chars"), F.lit(w).alias("sub_weight"))
+        for n in (100, 300, 500, 1000, 3000) for w in (0.0, 0.5, 1.0)
+    ])
+    long = F.col("n_chars") > F.col("g.min_chars")
+    earned = F.when(F.col("quality") == 1, F.lit(1.0)).otherwise(F.col("g.sub_weight") * F.col("toxic"))
+    sums = docs.select("n_chars", "quality", "toxic", F.explode(grid).alias("g")).groupBy(
+        F.col("g.min_chars").alias("min_chars"), F.col("g.sub_weight").alias("sub_weight")
+    ).agg(
+        F.sum(F.when(long, earned).otherwise(0.0)).alias("match"),
+        F.sum(long.cast("bigint")).alias("found"),
+        F.sum("quality").alias("given"),
+    )
+    return evaluate.with_prf(sums).select("min_chars", "sub_weight", *PRF)
+
+
+@query("compare_timings",
+       "WITH a AS (SELECT event_type, round(sum(value), 6) AS total FROM events WHERE hour(ts) < 12 GROUP BY ALL), "
+       "b AS (SELECT event_type, round(sum(value), 6) AS total FROM events WHERE hour(ts) >= 12 GROUP BY ALL) "
+       "SELECT event_type, round(a.total / b.total, 6) AS speed_up, round(abs(a.total - b.total) / greatest(a.total, b.total), 6) AS rel_diff FROM a JOIN b USING (event_type)")
+def compare_timings(spark, sf):
+    e = table(spark, sf, "events")
+    runs = [aggregates.time_hist(e.filter(c), "event_type", "value") for c in (F.hour("ts") < 12, F.hour("ts") >= 12)]
+    return aggregates.compare_timings(*runs, "event_type")

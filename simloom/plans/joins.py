@@ -322,19 +322,18 @@ def match_lists(spark, sf):
 
 
 @query("join_request_region",
-       "SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS region_no, "
-       "'f[' || turn || ',' || (turn + 1) || ';' || (length(text) % 50 + 8) || ',20]' AS region FROM conversations")
+       "SELECT conv_id * 100 + turn AS request_id, CAST(u.i AS BIGINT) AS region_no, "
+       "'f[' || u.i || ',' || turn || ';' || (length(text) % 50 + 8) || ',20]' AS region "
+       "FROM conversations, (SELECT unnest(range(1, 4)) AS i) u WHERE u.i <= turn % 3 + 1")
 def join_request_region(spark, sf):
     t = table(spark, sf, "conversations")
-    region = F.concat(
-        F.lit("f["), F.col("turn").cast("string"), F.lit(","), (F.col("turn") + 1).cast("string"),
-        F.lit(";"), (F.length("text") % 50 + 8).cast("string"), F.lit(",20]"),
+    tail = F.concat(F.lit(","), F.col("turn"), F.lit(";"), F.length("text") % 50 + 8, F.lit(",20]"))
+    parts = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.col("turn") % 3 + 1), lambda i: F.concat(F.lit("f["), i, tail)
     )
-    lines = t.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", region.alias("region")))).alias("rs")
-    ).select(
-        F.col("conv_id").alias("request_id"),
-        F.concat(F.lit("conv\t"), F.array_join(F.transform("rs", lambda s: s["region"]), "\t")).alias("line"),
+    lines = t.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        F.concat(F.lit("file\t"), F.array_join(parts, "\t")).alias("line"),
     )
     return requests.explode_regions(lines)
 
