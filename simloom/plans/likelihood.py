@@ -22,7 +22,7 @@ _NORM = (
     _CUBE + ", mv AS (SELECT i + x AS i, j + y AS j, k + z AS k, v, x = 0 AND y = 0 AND z = 0 AS own FROM cb, "
     "(VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) s(x, y, z)), "
     "nc AS (SELECT i, j, k, CASE WHEN " + _INSIDE + " THEN sum(v) / 7.0::DOUBLE ELSE sum(CASE WHEN own THEN v ELSE 0 END)::DOUBLE END AS v FROM mv "
-    "WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 7 GROUP BY ALL), nz AS (SELECT i, j, k, v / t AS v FROM nc, (SELECT max(v) AS t FROM cb) WHERE v > 0)"
+    "WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 7 GROUP BY i, j, k), nz AS (SELECT i, j, k, v / t AS v FROM nc, (SELECT max(v) AS t FROM cb) WHERE v > 0)"
 )
 _MARG = (
     _P + ", d AS (SELECT 0 AS dim, i AS bin FROM g UNION ALL SELECT 1, j FROM g UNION ALL SELECT 2, k FROM g), "

@@ -24,6 +24,8 @@ def file_format(path: str) -> str:
 
 def save_items(items: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     fmt = file_format(path)
+    known = [f.name for f in ITEM_SCHEMA if f.name in items.columns]
+    items = items.select(*known, *[c for c in items.columns if c not in known])
     if fmt == "csv":  # no arrays in text: one blank-separated field
         items = items.withColumn("vec", F.array_join(F.col("vec").cast("array<string>"), " "))
     writer = items.write.mode(mode).format(fmt)
@@ -127,3 +129,53 @@ class VersionedTable:
         if not self._fs.rename(self._path(staged), self._path(final)):
             raise OSError(f"cannot publish version {number} of {self.root}")
         return number
+
+
+class LogTable:
+    """A keyed table kept as a log of batches and compacted bases.
+
+    A batch only adds its own rows (``seq`` orders them, ``deleted`` marks removals); readers take
+    the latest row per key over the newest base and the batches after it. A replayed batch writes
+    its own folder again, so it counts once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "item_id"):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, prefix: str) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        out = []
+        for status in self._fs.listStatus(self._path(self.root)):
+            name = status.getPath().getName()
+            done = self._path(f"{self.root}/{name}/_SUCCESS")
+            if name.startswith(prefix) and self._fs.exists(done):
+                out.append(int(name[len(prefix):]))
+        return sorted(out)
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch-{batch}")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """Current rows, or those before a batch; None while there are none."""
+        bases = [b for b in self._numbers("base-") if before is None or b < before]
+        base = bases[-1] if bases else -1
+        batches = [b for b in self._numbers("batch-") if b > base and (before is None or b < before)]
+        paths = [f"{self.root}/base-{base}"] if bases else []
+        paths += [f"{self.root}/batch-{b}" for b in batches]
+        if not paths:
+            return None
+        rows = self.spark.read.parquet(*paths)
+        rest = [c for c in rows.columns if c != self.key]
+        latest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
+        return latest.filter(~F.col("_r.deleted")).select(
+            self.key, *[F.col(f"_r.{c}").alias(c) for c in rest]
+        )
+
+    def compact(self) -> None:
+        """Write the current rows as a new base; the batches under it are no longer read."""
+        batches = self._numbers("batch-")
+        if batches:
+            self.read().write.mode("overwrite").parquet(f"{self.root}/base-{batches[-1]}")
