@@ -161,8 +161,10 @@ class LogTable:
     def read(self, before: int | None = None) -> DataFrame | None:
         """Current rows, or those before a batch; None while there are none."""
         bases = [b for b in self._numbers("base-") if before is None or b < before]
-        base = bases[-1] if bases else -1
-        batches = [b for b in self._numbers("batch-") if b > base and (before is None or b < before)]
+        base = bases[-1] if bases else None
+        batches = [
+            b for b in self._numbers("batch-") if (base is None or b > base) and (before is None or b < before)
+        ]
         paths = [f"{self.root}/base-{base}"] if bases else []
         paths += [f"{self.root}/batch-{b}" for b in batches]
         if not paths:
