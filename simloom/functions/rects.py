@@ -16,7 +16,7 @@ def rect(x, y, w, h) -> Column:
 
 def whole(x: Column) -> Column:
     """Round to the nearest integer, halves to even (the rounding of pixel coordinates)."""
-    return F.bround(x, 0).cast("int")
+    return F.rint(x).cast("int")
 
 
 def trunc(x: Column) -> Column:
@@ -230,9 +230,8 @@ def region_from_points(left: Column, right: Column, nose: Column, mouth: Column)
 
     All sizes are fixed multiples of the distance between the first two points.
     """
-    gap = F.sqrt(
-        F.pow(left["x"] - right["x"], F.lit(2)) + F.pow(left["y"] - right["y"], F.lit(2))
-    )
+    dx, dy = left["x"] - right["x"], left["y"] - right["y"]
+    gap = F.sqrt((dx * dx + dy * dy).cast("double"))
     size, eye, nos, mth = gap * 2.5, gap * 0.6, gap * 0.7, gap * 0.55
     ox = whole((left["x"] + right["x"]) * 0.5) - trunc(size / 2)
     oy = whole((left["y"] + right["y"]) * 0.5) - trunc(size / 3)

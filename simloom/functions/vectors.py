@@ -157,26 +157,18 @@ def agreement(a: Column, b: Column) -> Column:
     )
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-
-
-def token_hashes(text: Column) -> Column:
-    """One md5 per distinct word, written twice so that it can be read at any offset."""
-    return F.transform(F.array_distinct(words(text)), lambda w: F.repeat(F.md5(w), 2))
+# Fixed value: the first prime above 2^32, modulus of the sketch positions.
+SKETCH_PRIME = 4294967311
 
 
-def sketch(hashes: Column, positions: int = 16, width: int = 12) -> Column:
-    """MinHash of token hashes: each position reads them from another offset.
-
-    Keep the hashes in a column of their own (see ``neardup.sketched``), so that they are computed
-    once and not once per position.
-    """
+def words(text: Column) -> Column:
+    return F.split(F.lower(text), r"\s+")
 
-    def value(i: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.substring(h, 2 * i + 1, width)))
 
-    return F.array(*[value(i) for i in range(positions)])
+def sketch_minima(a: Column, b: Column, positions: int = 16) -> list[Column]:
+    """MinHash as aggregates over the words of a text: position i holds min (a + i b) mod p, with a
+    and b two 32-bit hashes of a word."""
+    return [F.min((a + i * b) % SKETCH_PRIME).alias(f"_m{i}") for i in range(positions)]
 
 
 def ensemble_geo(parts: Column, scale: float = 0.9565) -> Column:

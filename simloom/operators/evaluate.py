@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from simloom.functions.scalars import rounded
 from simloom.operators import regions
 from simloom.operators.similarity import Block, metric_of, pair_reduce
+from simloom.session import cut
 
 RADIUS_STEPS = tuple(round(0.1 * i, 1) for i in range(1, 10))
 TOP_N_STEPS = (1, 3, 5, 10, 20, 40)
@@ -170,7 +171,10 @@ def region_counts(given: DataFrame, found: DataFrame, sub_weight: float = 0.0, t
                   min_dim: int = 8, kinds: tuple[str, ...] = ("f", "p", "i", "n", "m")) -> DataFrame:
     """(img, match, found, given) of a one-to-one matching; another kind earns ``sub_weight``."""
     g, f = (df.filter(F.col("kind").isin(*kinds)) for df in (given, found))
-    met = regions.one_to_one(regions.overlap_pairs(g, f, tol, min_dim))
+    return _counted(g, f, regions.one_to_one(regions.overlap_pairs(g, f, tol, min_dim)), sub_weight)
+
+
+def _counted(g: DataFrame, f: DataFrame, met: DataFrame, sub_weight: float) -> DataFrame:
     match = met.groupBy("img").agg(
         F.sum(F.when(F.col("same"), F.lit(1.0)).otherwise(F.lit(sub_weight))).alias("match")
     )
@@ -189,8 +193,8 @@ def region_counts_cascade(given: DataFrame, found: DataFrame, given_subs: DataFr
                           sub_weight: float = 0.0, tol: float = 0.5, min_dim: int = 8) -> DataFrame:
     """Totals with sub-regions: those of matched pairs are matched in turn at tol' = sqrt(tol),
     those of unmatched regions only count. Sub tables carry the parent id and image coordinates."""
-    met = regions.one_to_one(regions.overlap_pairs(given, found, tol, min_dim))
-    top = region_counts(given, found, sub_weight, tol, min_dim).groupBy().agg(
+    met = cut(regions.one_to_one(regions.overlap_pairs(given, found, tol, min_dim)))
+    top = _counted(given, found, met, sub_weight).groupBy().agg(
         *[F.sum(c).alias(c) for c in ("match", "found", "given")]
     )
     pair = met.select("img", "given", "found")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.operators.components import connected_components
-from simloom.operators.regions import _tiled, GRID
 from simloom.functions import rects
+from simloom.operators.components import connected_components
+from simloom.operators.regions import GRID, _tiled
+from simloom.session import cut
 
 BROADCAST_CELLS = 1 << 18
 AXES = ("i", "j", "k")
@@ -151,19 +152,30 @@ def region_mean(regions: DataFrame, points: DataFrame, min_mean: float, subs: Co
 def component_boxes(cells: DataFrame, width: int) -> DataFrame:
     """Bounding boxes of 4-connected cells (map, x, y) per map: (map, comp, x, y, w, h, n).
 
-    ``width`` is the grid's width, used to number the cells. There is no limit on components.
+    ``width`` is the grid's width; a cell's number is y * width + x, and a component has the number
+    of its first cell. Rows of a map are cut into runs first (at most ``width`` cells share a
+    window), and runs that touch are connected: long runs keep the graph small. There is no limit
+    on the number of components.
     """
-    node = (F.col("y").cast("bigint") * width + F.col("x"))
-    ready = cells.select("map", "x", "y", F.struct("map", node.alias("n")).alias("node"))
-    key = ready.select("map", "x", "y", "node")
-    near = []
-    for dx, dy in ((1, 0), (0, 1)):
-        other = key.select("map", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("node").alias("b"))
-        near.append(key.join(other, ["map", "x", "y"]).select(F.col("node").alias("a"), "b"))
-    comps = connected_components(near[0].unionByName(near[1]))
-    placed = ready.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return placed.groupBy("component").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"),
-        (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"),
-        F.count("*").alias("n"),
-    ).select(F.col("component.map").alias("map"), F.col("component.n").alias("comp"), "x", "y", "w", "h", "n")
+    x = F.col("x")
+    w = Window.partitionBy("map", "y").orderBy("x")
+    island = (x - F.row_number().over(w)).alias("_i")
+    runs = cells.select("map", "y", "x", island).withColumn(
+        "_x0", F.min("x").over(Window.partitionBy("map", "y", "_i"))
+    )
+    number = F.col("y").cast("bigint") * width + F.col("_x0")
+    placed = cut(runs.select("map", "y", "x", F.struct("map", number.alias("n")).alias("node")))
+    below = placed.select("map", (F.col("y") - 1).alias("y"), "x", F.col("node").alias("b"))
+    edges = placed.join(below, ["map", "y", "x"]).select(F.col("node").alias("a"), "b")
+    comps = connected_components(edges)
+    whole = placed.groupBy("node").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("y").alias("y"), F.count("*").alias("n")
+    )
+    met = whole.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return met.groupBy("component").agg(
+        F.min("x0").alias("x"), F.min("y").alias("y0"), (F.max("x1") - F.min("x0") + 1).alias("w"),
+        (F.max("y") - F.min("y") + 1).alias("h"), F.sum("n").alias("cells"),
+    ).select(
+        F.col("component.map").alias("map"), F.col("component.n").alias("comp"), "x", F.col("y0").alias("y"), "w", "h",
+        F.col("cells").alias("n"),
+    )

@@ -20,13 +20,20 @@ GROUP_ROWS = 256
 MAX_DEPTH = 2
 
 
-def sketched(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, sketch) of the whole texts; a text without words has no sketch and no row."""
-    # The test is on the text: on the sketch it would be pushed below and computed again.
-    return (
-        texts.filter(F.col(text).rlike(r"\S"))
-        .select(F.col(key), vectors.token_hashes(F.col(text)).alias("_h"))
-        .select(key, vectors.sketch(F.col("_h")).alias("sketch"))
+def sketched(texts: DataFrame, *keys: str, text: str = "text", positions: int = 16) -> DataFrame:
+    """(keys, sketch) of the whole texts; the keys tell the texts apart.
+
+    Words become rows and their hashes are reduced to minima in the task that reads the text, so
+    one short row per text is shuffled. A text without words has no row.
+    """
+    each = texts.select(*keys, F.explode(vectors.words(F.col(text))).alias("_w")).filter("_w <> ''")
+    digest = F.md5("_w")
+    parts = each.select(*keys, *[
+        F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(name) for name, at in (("_a", 1), ("_b", 9))
+    ])
+    minima = vectors.sketch_minima(F.col("_a"), F.col("_b"), positions)
+    return parts.groupBy(*keys).agg(*minima).select(
+        *keys, F.array(*[f"_m{i}" for i in range(positions)]).alias("sketch")
     )
 
 

@@ -17,18 +17,14 @@ GRID = 64
 PART_ROWS = 10_000
 
 
-def _tiles(r: Column, grid: int) -> Column:
-    """Grid tiles a rectangle touches."""
-    xs = F.sequence(F.floor(r["x"] / grid), F.floor((r["x"] + r["w"] - 1) / grid))
-    ys = F.sequence(F.floor(r["y"] / grid), F.floor((r["y"] + r["h"] - 1) / grid))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
-
-
 def _tiled(df: DataFrame, grid: int) -> DataFrame:
-    solid = df.filter((F.col("r.w") > 0) & (F.col("r.h") > 0))
-    return solid.withColumn("_t", F.explode(_tiles(F.col("r"), grid))).select(
-        "*", F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty")
-    ).drop("_t")
+    """One row per grid tile (tx, ty) that a rectangle touches."""
+    for axis, size in (("x", "w"), ("y", "h")):
+        low, far = F.col(f"r.{axis}"), F.col(f"r.{axis}") + F.col(f"r.{size}") - 1
+        df = df.filter(F.col(f"r.{size}") > 0).withColumn(
+            f"t{axis}", F.explode(F.sequence(F.floor(low / grid), F.floor(far / grid)))
+        )
+    return df
 
 
 def touching(a: DataFrame, b: DataFrame, grid: int = GRID) -> DataFrame:

@@ -10,7 +10,7 @@ from simloom.plans.inputs import unit01
 from simloom.session import cut
 
 _SKETCH = (
-    "[" + ", ".join(f"list_min(list_transform(w, lambda t: substr(t || t, {2 * i + 1}, 12)))" for i in range(16)) + "]"
+    "[" + ", ".join(f"list_min(list_transform(w, lambda t: (t[1] + {i} * t[2]) % 4294967311))" for i in range(16)) + "]"
 )
 
 
@@ -18,7 +18,7 @@ def _sketched(source: str, key: str, text: str, extra: str = "") -> str:
     """Rows (seq, sk) of a table: sketch of the distinct lower-cased words of a text."""
     return (
         f"SELECT seq, {_SKETCH} AS sk{extra} FROM (SELECT {key} AS seq, list_transform(list_distinct(list_filter("
-        f"regexp_split_to_array(lower({text}), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')), lambda t: md5(t)) AS w{extra} FROM {source}) "
+        f"regexp_split_to_array(lower({text}), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')), lambda t: [CAST('0x' || substr(md5(t), 1, 8) AS BIGINT), CAST('0x' || substr(md5(t), 9, 8) AS BIGINT)]) AS w{extra} FROM {source}) "
         "WHERE len(w) > 0"
     )
 
@@ -128,8 +128,9 @@ def neardup_phases(spark, sf):
     text = F.col("text")
     tail = F.substring(text, F.lit(41), F.length(text))
     head = F.substring(text, F.lit(1), F.greatest(F.length(text) - 40, F.lit(0)))
-    variants = t.select("doc_id", F.explode(F.array(text, tail, head)).alias("text"))
-    return neardup.link_probes(sketched(variants, "doc_id"), docs(spark, sf))
+    variants = t.select("doc_id", F.posexplode(F.array(text, tail, head)).alias("variant", "text"))
+    probes = neardup.sketched(variants, "doc_id", "variant").select(F.col("doc_id").alias("seq"), "sketch")
+    return neardup.link_probes(probes, docs(spark, sf))
 
 
 # Synthetic copies under ids after all others: one extra blank word, one word less.

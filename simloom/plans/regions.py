@@ -10,7 +10,10 @@ from simloom.operators import regions
 from simloom.plans.catalogue import query, table
 from simloom.plans.inputs import BOXES, boxes, flat, iou, overlap
 
-R = F.col("r")
+
+def box():
+    return F.col("r")
+
 
 FACES = (
     BOXES + ", f AS (SELECT * FROM b WHERE kind = 'f'), pf AS (SELECT * FROM b WHERE kind = 'p')"
@@ -70,8 +73,8 @@ def parents(spark, sf):
     """Each box with two sub-boxes in its own coordinates, partly sticking out."""
     i = F.col("rid")
     subs = F.array(
-        rects.rect((i % 11 - 4).cast("int"), (i % 7 - 2).cast("int"), (R["w"] / 2).cast("int"), (R["h"] / 3).cast("int")),
-        rects.rect((R["w"] - i % 9).cast("int"), (R["h"] - i % 5).cast("int"), F.lit(6), F.lit(6)),
+        rects.rect((i % 11 - 4).cast("int"), (i % 7 - 2).cast("int"), (box()["w"] / 2).cast("int"), (box()["h"] / 3).cast("int")),
+        rects.rect((box()["w"] - i % 9).cast("int"), (box()["h"] - i % 5).cast("int"), F.lit(6), F.lit(6)),
     )
     return boxes(spark, sf).withColumn("subs", subs)
 
@@ -86,7 +89,7 @@ _SUBS = (
        "SELECT rid, x + x0 AS x, y + y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM e")
 def enclose_children(spark, sf):
     df = parents(spark, sf)
-    return flat(df.withColumn("r", rects.enclose(R, F.col("subs"))), "rid")
+    return flat(df.withColumn("r", rects.enclose(box(), F.col("subs"))), "rid")
 
 
 @query("crop_children",
@@ -94,7 +97,7 @@ def enclose_children(spark, sf):
        "UNION ALL SELECT rid, 1, greatest(bx, 0), greatest(by_, 0), least(bx + 6, w) - greatest(bx, 0), least(by_ + 6, h) - greatest(by_, 0) FROM s1) "
        "SELECT rid, x, y, w, h FROM c WHERE w > 0 AND h > 0")
 def crop_children(spark, sf):
-    df = parents(spark, sf).select("rid", F.explode(rects.crop_subs(R, F.col("subs"))).alias("r"))
+    df = parents(spark, sf).select("rid", F.explode(rects.crop_subs(box(), F.col("subs"))).alias("r"))
     return flat(df, "rid")
 
 
@@ -131,9 +134,9 @@ def _even(x: str) -> str:
        "k AS (SELECT *, " + ", ".join(f"{_even(f'{k} * (1 / 0.3)')} AS b_{k}" for k in "xywh") + " FROM s) "
        "SELECT rid, " + ", ".join(f"b_{k} AS {k}" for k in "xywh") + ", b_x = ox AND b_y = oy AND b_w = ow AND b_h = oh AS exact FROM k")
 def rescale_roundtrip(spark, sf):
-    back = rects.scale(rects.scale(R, 0.3), 1 / 0.3)
+    back = rects.scale(rects.scale(box(), 0.3), 1 / 0.3)
     df = boxes(spark, sf).withColumn("back", back)
-    return df.select("rid", *[F.col(f"back.{k}").cast("bigint").alias(k) for k in "xywh"], (F.col("back") == R).alias("exact"))
+    return df.select("rid", *[F.col(f"back.{k}").cast("bigint").alias(k) for k in "xywh"], (F.col("back") == box()).alias("exact"))
 
 
 @query("resolve_conflict_subs",

@@ -11,7 +11,16 @@ from simloom.plans.catalogue import query, table
 from simloom.plans.inputs import BOXES, CENTROIDS, E, boxes, centroids, flat, iou, items, overlap, real, unit, unit01
 from simloom.plans.joins import _SIG, sig_diff
 
-R = F.col("r")
+def box():
+    return F.col("r")
+
+
+def first():
+    return F.col("a")
+
+
+def second():
+    return F.col("c")
 
 
 def lines(spark, sf):
@@ -211,18 +220,15 @@ _PAIR = BOXES + (
 def rect_pairs(spark, sf):
     i = F.col("rid")
     other = rects.rect(
-        R["x"] + (i % 7).cast("int"), R["y"] + (i % 5).cast("int"), R["w"] - (i % 4).cast("int"), R["h"]
+        box()["x"] + (i % 7).cast("int"), box()["y"] + (i % 5).cast("int"), box()["w"] - (i % 4).cast("int"), box()["h"]
     )
-    return boxes(spark, sf).select("rid", R.alias("a"), other.alias("c"))
-
-
-A, C = F.col("a"), F.col("c")
+    return boxes(spark, sf).select("rid", box().alias("a"), other.alias("c"))
 
 
 @query("rect_iou",
        f"WITH {_PAIR} SELECT rid, round({iou('a', 'c')}, 6) AS iou, {overlap('a', 'c')} > 0 AND 1 - {iou('a', 'c')} < 0.5 AS matches FROM q")
 def rect_iou(spark, sf):
-    return rect_pairs(spark, sf).select("rid", rounded(rects.iou(A, C)).alias("iou"), rects.overlaps(A, C).alias("matches"))
+    return rect_pairs(spark, sf).select("rid", rounded(rects.iou(first(), second())).alias("iou"), rects.overlaps(first(), second()).alias("matches"))
 
 
 @query("rect_intersect",
@@ -230,14 +236,14 @@ def rect_iou(spark, sf):
        "least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x) AS w, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y) AS h FROM q "
        f"WHERE {overlap('a', 'c')} > 0 UNION ALL SELECT rid, 0, 0, 0, 0 FROM q WHERE {overlap('a', 'c')} = 0")
 def rect_intersect(spark, sf):
-    return flat(rect_pairs(spark, sf).withColumn("r", rects.intersect(A, C)), "rid")
+    return flat(rect_pairs(spark, sf).withColumn("r", rects.intersect(first(), second())), "rid")
 
 
 @query("rect_union",
        f"WITH {_PAIR} SELECT rid, least(a.x, c.x) AS x, least(a.y, c.y) AS y, "
        "greatest(a.x + a.w, c.x + c.w) - least(a.x, c.x) AS w, greatest(a.y + a.h, c.y + c.h) - least(a.y, c.y) AS h FROM q")
 def rect_union(spark, sf):
-    return flat(rect_pairs(spark, sf).withColumn("r", rects.union(A, C)), "rid")
+    return flat(rect_pairs(spark, sf).withColumn("r", rects.union(first(), second())), "rid")
 
 
 def _even(x: str) -> str:
@@ -247,37 +253,37 @@ def _even(x: str) -> str:
 @query("rect_average",
        f"WITH {_PAIR} SELECT rid, " + ", ".join(f"{_even(f'(a.{k} + c.{k}) * 0.5')} AS {k}" for k in "xywh") + " FROM q")
 def rect_average(spark, sf):
-    return flat(rect_pairs(spark, sf).withColumn("r", rects.average(A, C)), "rid")
+    return flat(rect_pairs(spark, sf).withColumn("r", rects.average(first(), second())), "rid")
 
 
 @query("rect_contains",
        f"WITH {_PAIR} SELECT rid, a.x >= c.x AND a.y >= c.y AND a.x + a.w <= c.x + c.w AND a.y + a.h <= c.y + c.h AS a_in_c, "
        "c.x >= a.x AND c.y >= a.y AND c.x + c.w <= a.x + a.w AND c.y + c.h <= a.y + a.h AS c_in_a FROM q")
 def rect_contains(spark, sf):
-    return rect_pairs(spark, sf).select("rid", rects.contains(A, C).alias("a_in_c"), rects.contains(C, A).alias("c_in_a"))
+    return rect_pairs(spark, sf).select("rid", rects.contains(first(), second()).alias("a_in_c"), rects.contains(second(), first()).alias("c_in_a"))
 
 
 @query("rect_overlap_mean",
        f"WITH {_PAIR} SELECT rid, round({overlap('a', 'c')} / ((a.w * a.h + c.w * c.h) / 2), 6) AS share FROM q")
 def rect_overlap_mean(spark, sf):
-    return rect_pairs(spark, sf).select("rid", rounded(rects.overlap_mean(A, C)).alias("share"))
+    return rect_pairs(spark, sf).select("rid", rounded(rects.overlap_mean(first(), second())).alias("share"))
 
 
 @query("rect_stretch",
        f"WITH {BOXES}, s AS (SELECT *, CAST(trunc(w * 1.2) AS BIGINT) AS nw, CAST(trunc(h * 0.8) AS BIGINT) AS nh FROM b) "
        "SELECT rid, CAST(trunc(x + (w - nw) / 2.0) AS BIGINT) AS x, CAST(trunc(y + (h - nh) / 2.0) AS BIGINT) AS y, nw AS w, nh AS h FROM s")
 def rect_stretch(spark, sf):
-    return flat(boxes(spark, sf).withColumn("r", rects.stretch(R, 1.2, 0.8)), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.stretch(box(), 1.2, 0.8)), "rid")
 
 
 @query("rect_scale", f"WITH {BOXES} SELECT rid, " + ", ".join(f"{_even(f'{k} * 0.75')} AS {k}" for k in "xywh") + " FROM b")
 def rect_scale(spark, sf):
-    return flat(boxes(spark, sf).withColumn("r", rects.scale(R, 0.75)), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.scale(box(), 0.75)), "rid")
 
 
 @query("rect_shift", f"WITH {BOXES} SELECT rid, x + 5 AS x, y - 3 AS y, w, h FROM b")
 def rect_shift(spark, sf):
-    return flat(boxes(spark, sf).withColumn("r", rects.shift(R, 5, -3)), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.shift(box(), 5, -3)), "rid")
 
 
 @query("rect_clip",
@@ -288,7 +294,7 @@ def rect_shift(spark, sf):
        "CASE WHEN w > 0 AND h > 0 THEN w ELSE 0 END AS w, CASE WHEN w > 0 AND h > 0 THEN h ELSE 0 END AS h FROM k")
 def rect_clip(spark, sf):
     frame = rects.rect(F.lit(20), F.lit(10), F.lit(120), F.lit(60))
-    return flat(boxes(spark, sf).withColumn("r", rects.intersect(R, frame)), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.intersect(box(), frame)), "rid")
 
 
 _M = [[0.5, 1.0, 3.0], [-1.0, 0.5, 40.0]]
@@ -307,14 +313,14 @@ _PY = ", ".join(_image(_M[1], *c) for c in _CORNERS)
        f"WITH {BOXES}, k AS (SELECT rid, least(x, {_PX}) AS l, least(y, {_PY}) AS t, greatest(x + w, {_PX}) AS rr, greatest(y + h, {_PY}) AS bb FROM b) "
        "SELECT rid, l AS x, t AS y, rr - l AS w, bb - t AS h FROM k")
 def rect_affine(spark, sf):
-    return flat(boxes(spark, sf).withColumn("r", rects.affine(R, _M)), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.affine(box(), _M)), "rid")
 
 
 @query("rect_rotate",
        f"WITH {BOXES}, k AS (SELECT *, {_even('x + w * 0.5')} AS cx, {_even('y + h * 0.5')} AS cy FROM b) "
        "SELECT rid, CAST(trunc(0.5 * cx + cy + 3.0 - w // 2) AS BIGINT) AS x, CAST(trunc(-1.0 * cx + 0.5 * cy + 40.0 - h // 2) AS BIGINT) AS y, w, h FROM k")
 def rect_rotate(spark, sf):
-    return flat(boxes(spark, sf).withColumn("r", rects.rotate(R, _M)), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.rotate(box(), _M)), "rid")
 
 
 @query("rect_turn",
@@ -323,29 +329,29 @@ def rect_rotate(spark, sf):
        "CASE p WHEN 1 THEN 260 - (x + w) WHEN 2 THEN 260 - (y + h) WHEN 3 THEN x ELSE y END AS y, "
        "CASE WHEN p IN (1, 3) THEN h ELSE w END AS w, CASE WHEN p IN (1, 3) THEN w ELSE h END AS h, true AS restored FROM k")
 def rect_turn(spark, sf):
-    turned = rects.turn(R, F.col("rid") % 4, 300, 260)
+    turned = rects.turn(box(), F.col("rid") % 4, 300, 260)
     df = boxes(spark, sf).withColumn("t", turned)
     # A turn inside the parent it came from and its inverse give the rectangle back.
     odd = (F.col("rid") % 4).isin(1, 3)
     pw, ph = F.when(odd, 260).otherwise(300), F.when(odd, 300).otherwise(260)
-    back = rects.unturn(rects.turn(R, F.col("rid") % 4, pw, ph), F.col("rid") % 4, pw, ph)
-    return df.select("rid", *[F.col(f"t.{k}").cast("bigint").alias(k) for k in "xywh"], (back == R).alias("restored"))
+    back = rects.unturn(rects.turn(box(), F.col("rid") % 4, pw, ph), F.col("rid") % 4, pw, ph)
+    return df.select("rid", *[F.col(f"t.{k}").cast("bigint").alias(k) for k in "xywh"], (back == box()).alias("restored"))
 
 
 @query("rect_center", f"WITH {BOXES} SELECT rid, {_even('x + w * 0.5')} AS cx, {_even('y + h * 0.5')} AS cy FROM b")
 def rect_center(spark, sf):
-    c = rects.center(R)
+    c = rects.center(box())
     return boxes(spark, sf).select("rid", c["x"].cast("bigint").alias("cx"), c["y"].cast("bigint").alias("cy"))
 
 
 @query("rect_diameter", f"WITH {BOXES} SELECT rid, greatest(w, h) AS diameter FROM b")
 def rect_diameter(spark, sf):
-    return boxes(spark, sf).select("rid", rects.diameter(R).cast("bigint").alias("diameter"))
+    return boxes(spark, sf).select("rid", rects.diameter(box()).cast("bigint").alias("diameter"))
 
 
 @query("rect_aspect", f"WITH {BOXES} SELECT rid, round(w / h, 6) AS aspect, round(least(w / h, h / w), 6) AS level FROM b")
 def rect_aspect(spark, sf):
-    return boxes(spark, sf).select("rid", rounded(rects.aspect(R)).alias("aspect"), rounded(rects.aspect_unit(R)).alias("level"))
+    return boxes(spark, sf).select("rid", rounded(rects.aspect(box())).alias("aspect"), rounded(rects.aspect_unit(box())).alias("level"))
 
 
 @query("region_from_points",
@@ -356,9 +362,9 @@ def rect_aspect(spark, sf):
        "y - CAST(trunc(g * 0.6 / 2) AS BIGINT) - oy AS left_y, CAST(trunc(g * 0.6) AS BIGINT) AS left_size, "
        "CAST(CASE WHEN x <> 0 OR y2 <> 0 THEN 3 ELSE 2 END AS BIGINT) AS subs FROM o")
 def region_from_points(spark, sf):
-    left = F.struct(R["x"].alias("x"), R["y"].alias("y"))
-    right = F.struct((R["x"] + R["w"]).alias("x"), (R["y"] + R["h"]).alias("y"))
-    nose = F.struct(R["x"].alias("x"), (R["y"] + R["h"]).alias("y"))
+    left = F.struct(box()["x"].alias("x"), box()["y"].alias("y"))
+    right = F.struct((box()["x"] + box()["w"]).alias("x"), (box()["y"] + box()["h"]).alias("y"))
+    nose = F.struct(box()["x"].alias("x"), (box()["y"] + box()["h"]).alias("y"))
     mouth = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))
     g = rects.region_from_points(left, right, nose, mouth)
     df = boxes(spark, sf).select("rid", g.alias("g"))
@@ -376,7 +382,7 @@ def region_from_points(spark, sf):
        "c AS (SELECT rid, greatest(x - dx, 0) AS x, greatest(y - dy, 0) AS y, least(x + w + dx, 220) AS r, least(y + h + dy, 110) AS t FROM k) "
        "SELECT rid, x, y, r - x AS w, t - y AS h FROM c")
 def inflate_clip(spark, sf):
-    return flat(boxes(spark, sf).withColumn("r", rects.inflate_clip(R, 0.3, F.lit(220), F.lit(110))), "rid")
+    return flat(boxes(spark, sf).withColumn("r", rects.inflate_clip(box(), 0.3, F.lit(220), F.lit(110))), "rid")
 
 
 @query("string_tools",
