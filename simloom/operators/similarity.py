@@ -308,8 +308,7 @@ def _kept_cells(metric, pivots, qs, xs, max_dist, top_n):
     """Cell pairs that can hold a wanted pair, per ``by`` value."""
     kept = []
     for by in qs.keys() & xs.keys():
-        centres = pivots[by]
-        gaps = metric.block(centres, centres) if metric.triangle else np.zeros((1, 1))
+        gaps = metric.block(pivots[by], pivots[by]) if metric.triangle else np.zeros((1, 1))
         for qc, (_, qr, _) in qs[by].items():
             low = {c: max(0.0, gaps[qc, c] - qr - r) for c, (_, r, _) in xs[by].items()}
             limit = np.inf if max_dist is None else max_dist
