@@ -31,15 +31,16 @@ def histogram(values: DataFrame, bin_col: str = "bin") -> DataFrame:
     bins = values.groupBy(bin_col).agg(F.count("*").alias("n"))
     b, n = F.col(bin_col), F.col("n")
     # The moments come from the bins, not from a second pass over the rows.
-    whole = bins.agg(F.sum("n").alias("_n"), F.sum(b * n).alias("total"), F.sum(b.cast("double") * b * n).alias("_q"))
-    mean = F.col("total") / F.col("_n")
-    return bins.crossJoin(F.broadcast(whole)).select(  # one row
+    count, total, squares = bins.agg(F.sum(n), F.sum(b * n), F.sum(b.cast("double") * b * n)).first()
+    mean = (total or 0) / (count or 1)
+    std = max((squares or 0.0) / (count or 1) - mean * mean, 0.0) ** 0.5
+    return bins.select(
         bin_col,
         "n",
-        rounded(n / F.col("_n")).alias("share"),
-        rounded(mean).alias("mean"),
-        rounded(F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))).alias("std"),
-        F.col("total").cast("bigint").alias("total"),
+        rounded(n / F.lit(count)).alias("share"),
+        rounded(F.lit(mean)).alias("mean"),
+        rounded(F.lit(std)).alias("std"),
+        F.lit(total).cast("bigint").alias("total"),
     )
 
 

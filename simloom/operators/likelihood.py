@@ -39,7 +39,7 @@ def fit_cube(points: DataFrame, dims: tuple[str, str, str], bins: int) -> DataFr
 def normalise_cube(cube: DataFrame, bins: int) -> DataFrame:
     """Interior cells become the mean of themselves and their six neighbours, all cells then
     divide by the largest value before smoothing."""
-    top = cube.agg(F.max("v").alias("_top"))
+    top = cube.agg(F.max("v")).first()[0]
     steps = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
     moves = F.explode(F.array(*[
         F.struct(*[(F.col(a) + d).alias(a) for a, d in zip(AXES, s)], F.lit(int(s == (0, 0, 0))).alias("own"))
@@ -54,8 +54,8 @@ def normalise_cube(cube: DataFrame, bins: int) -> DataFrame:
     sums = spread.filter(valid).groupBy(*AXES).agg(
         F.sum("v").alias("_all"), F.sum(F.col("v") * F.col("own")).alias("_own")
     )
-    v = F.when(inside, F.col("_all") / 7).otherwise(F.col("_own")) / F.col("_top")
-    return sums.crossJoin(F.broadcast(top)).select(*AXES, v.alias("v")).filter("v > 0")  # one row
+    v = F.when(inside, F.col("_all") / 7).otherwise(F.col("_own")) / F.lit(top)
+    return sums.select(*AXES, v.alias("v")).filter("v > 0")
 
 
 def fit_marginals(points: DataFrame, dims: tuple[str, str, str], bins: int) -> DataFrame:
@@ -88,12 +88,11 @@ def bayes_cube(given: DataFrame, other: DataFrame) -> DataFrame:
     """(i, j, k, p): p(s|c) from the counts of a class and of its complement."""
     s, n = given.withColumnRenamed("v", "_s"), other.withColumnRenamed("v", "_n")
     both = s.join(n, list(AXES), "full")
-    totals = given.agg(F.sum("v").alias("_ts")).crossJoin(other.agg(F.sum("v").alias("_tn")))  # one row each
-    ts, tn = F.col("_ts"), F.col("_tn")
+    ts, tn = (F.lit(df.agg(F.sum("v")).first()[0]) for df in (given, other))
     prior = ts / (ts + tn)
     in_s = F.coalesce("_s", F.lit(0)) / ts * prior
     in_n = F.coalesce("_n", F.lit(0)) / tn * (1 - prior)
-    return both.crossJoin(F.broadcast(totals)).select(*AXES, (in_s / (in_s + in_n)).alias("p"))
+    return both.select(*AXES, (in_s / (in_s + in_n)).alias("p"))
 
 
 def fit_gauss(points: DataFrame, dims: tuple[str, str, str]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import scalars
+from simloom.operators.prefix import numbered
 from simloom.operators.similarity import ranked
+from simloom.session import cut
 
 
 def trim(hits: DataFrame, t: float, skip_zero: bool = False) -> DataFrame:
@@ -50,9 +52,10 @@ def merge_top_k(parts: DataFrame, k: int | None, key: str = "item_id") -> DataFr
     The per-key minimum and the rank bound are both applied before the shuffle as well.
     """
     once = parts.groupBy("query_id", key).agg(F.min("dist").alias("dist"))
+    if k is None:
+        return numbered(cut(once), ["query_id"], ["dist", key], "rank")
     w = Window.partitionBy("query_id").orderBy("dist", key)
-    out = once.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return out if k is None else out.filter(F.col("rank") <= k)
+    return once.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def top_k_with_total(hits: DataFrame, k: int) -> DataFrame:
@@ -73,8 +76,7 @@ def group_nearest(hits: DataFrame) -> DataFrame:
 
 def group_median(hits: DataFrame) -> DataFrame:
     """One row per (query, label): its upper-median hit."""
-    from simloom.operators.prefix import numbered
-
+    hits = cut(hits)
     rows = numbered(hits, ["query_id", "label"], ["dist", "item_id"], "_n")
     sizes = hits.groupBy("query_id", "label").agg(F.count("*").alias("_t"))
     return (

@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simloom.functions import scalars, vectors
+from simloom.operators.prefix import numbered
+from simloom.session import cut
 
 SCAN_ROWS = 4096
 SCAN_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 64
+ALL_PIVOTS = 1024
+MAX_KINDS = 512
 TILE_CELLS = 1 << 22
 
 
@@ -244,9 +248,11 @@ def _scan(x: DataFrame, held: pa.Table, fn: BlockFn, out: T.StructType, merge) -
 
 
 def _pivots(x: DataFrame) -> dict[str, np.ndarray]:
-    """Up to MAX_PIVOTS vectors per ``by`` value, spread by hash (a bounded sample)."""
+    """A bounded sample of vectors per ``by`` value, spread by hash; none for very many values."""
     n, kinds = x.agg(F.count("*"), F.approx_count_distinct("by")).first()
-    per = max(1, min(MAX_PIVOTS, int((n / max(1, kinds)) ** 0.5) // 8))
+    if kinds > MAX_KINDS:
+        return {}
+    per = max(1, min(MAX_PIVOTS, int((n / max(1, kinds)) ** 0.5) // 8, ALL_PIVOTS // max(1, kinds)))
     w = Window.partitionBy("by").orderBy(F.xxhash64("id"), "id")
     rows = (
         x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per).select("by", "vec")
@@ -259,8 +265,8 @@ def _pivots(x: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _with_cells(df: DataFrame, pivots, metric: Metric) -> DataFrame:
-    """Nearest pivot and the distance to it; one cell when the metric has no triangle inequality."""
-    if not metric.triangle:
+    """Nearest pivot and the distance to it; one cell where there are no pivots."""
+    if not pivots:
         return df.withColumn("cell", F.lit(0)).withColumn("reach", F.lit(0.0))
     shared = df.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType(
@@ -286,18 +292,25 @@ def _with_cells(df: DataFrame, pivots, metric: Metric) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _cell_stats(df: DataFrame, block_rows: int) -> dict[str, dict[int, tuple[int, float, int]]]:
-    stats: dict[str, dict[int, tuple[int, float, int]]] = {}
-    rows = df.groupBy("by", "cell").agg(F.count("*").alias("n"), F.max("reach").alias("r"))
-    for by, cell, n, r in rows.collect():  # at most MAX_PIVOTS rows per by value
-        stats.setdefault(by, {})[cell] = (n, r, -(-n // block_rows))
-    return stats
+def _cell_stats(df: DataFrame, block_rows: int) -> DataFrame:
+    """Rows, reach and number of blocks per cell."""
+    return df.groupBy("by", "cell").agg(F.count("*").alias("n"), F.max("reach").alias("r")).withColumn(
+        "splits", F.ceil(F.col("n") / block_rows).cast("int")
+    )
+
 
+def _held(stats: DataFrame) -> dict[str, dict[int, tuple[int, float, int]]]:
+    out: dict[str, dict[int, tuple[int, float, int]]] = {}
+    for by, cell, n, r, splits in stats.collect():  # one row per pivot
+        out.setdefault(by, {})[cell] = (n, r, splits)
+    return out
 
-def _pack(df: DataFrame, splits: DataFrame, side: str) -> DataFrame:
+
+def _pack(df: DataFrame, stats: DataFrame, side: str, small: bool) -> DataFrame:
     """One row per block: cells are split by a hash of the id into blocks of bounded size."""
+    splits = stats.select("by", "cell", "splits")
     return (
-        df.join(F.broadcast(splits), ["by", "cell"])
+        df.join(F.broadcast(splits) if small else splits, ["by", "cell"])
         .withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
         .groupBy("by", F.col("cell").alias(f"{side}_cell"), F.col("split").alias(f"{side}_split"))
         .agg(F.collect_list(F.struct("id", "tag", "vec")).alias(f"{side}_rows"))
@@ -308,11 +321,11 @@ def _kept_cells(metric, pivots, qs, xs, max_dist, top_n):
     """Cell pairs that can hold a wanted pair, per ``by`` value."""
     kept = []
     for by in qs.keys() & xs.keys():
-        gaps = metric.block(pivots[by], pivots[by]) if metric.triangle else np.zeros((1, 1))
+        gaps = metric.block(pivots[by], pivots[by])
         for qc, (_, qr, _) in qs[by].items():
             low = {c: max(0.0, gaps[qc, c] - qr - r) for c, (_, r, _) in xs[by].items()}
             limit = np.inf if max_dist is None else max_dist
-            if top_n is not None and metric.triangle:
+            if top_n is not None:
                 seen = 0  # the radius that surely holds top_n items for every query of the cell
                 far = sorted((gaps[qc, c] + qr + r, n) for c, (n, r, _) in xs[by].items())
                 for high, n in far:
@@ -320,34 +333,29 @@ def _kept_cells(metric, pivots, qs, xs, max_dist, top_n):
                     if seen >= top_n:
                         limit = min(limit, high)
                         break
-            if not metric.triangle:
-                limit = np.inf
             kept += [(by, qc, c, xs[by][c][2]) for c, d in low.items() if d <= limit * (1 + 1e-9) + 1e-6]
     return kept
 
 
 def _blocks(q, x, fn, out, merge, metric, max_dist, top_n, block_rows) -> DataFrame:
-    spark = x.sparkSession
     pivots = _pivots(x) if metric.triangle else {}
-    q, x = (
-        _with_cells(q.filter(F.col("by").isin(list(pivots))) if pivots else q, pivots, metric),
-        _with_cells(x, pivots, metric),
-    )
-    qs, xs = _cell_stats(q, block_rows), _cell_stats(x, block_rows)
-
-    def split_table(stats):
-        rows = [(by, c, s) for by, cells in stats.items() for c, (_, _, s) in cells.items()]
-        return spark.createDataFrame(rows, "by string, cell int, splits int")
-
-    pairs = spark.createDataFrame(
-        _kept_cells(metric, pivots, qs, xs, max_dist, top_n),
-        "by string, q_cell int, x_cell int, x_splits int",
-    )
+    if pivots:
+        q = q.filter(F.col("by").isin(list(pivots)))
+    q, x = _with_cells(q, pivots, metric), _with_cells(x, pivots, metric)
+    q_stats, x_stats = _cell_stats(q, block_rows), _cell_stats(x, block_rows)
+    if pivots:  # both tables of cells are bounded by the number of pivots
+        kept = _kept_cells(metric, pivots, _held(q_stats), _held(x_stats), max_dist, top_n)
+        schema = "by string, q_cell int, x_cell int, x_splits int"
+        pairs = F.broadcast(x.sparkSession.createDataFrame(kept, schema))
+    else:
+        pairs = q_stats.select("by", F.col("cell").alias("q_cell")).join(
+            x_stats.select("by", F.col("cell").alias("x_cell"), F.col("splits").alias("x_splits")), "by"
+        )
     met = (
-        _pack(q, split_table(qs), "q")
-        .join(F.broadcast(pairs), ["by", "q_cell"])
+        _pack(q, q_stats, "q", bool(pivots))
+        .join(pairs, ["by", "q_cell"])
         .withColumn("x_split", F.explode(F.sequence(F.lit(0), F.col("x_splits") - 1)))
-        .join(_pack(x, split_table(xs), "x"), ["by", "x_cell", "x_split"])
+        .join(_pack(x, x_stats, "x", bool(pivots)), ["by", "x_cell", "x_split"])
         .select("by", "q_rows", "x_rows")
     )
 
@@ -401,9 +409,12 @@ def search(
     skip: str | None = None,
     scale: float | None = None,
     digits: int = scalars.DIGITS,
+    rank: bool | None = None,
     **layout,
 ) -> DataFrame:
-    """Ranked neighbours ``(by, query_id, item_id, dist, rank)`` under top-N, radius, both or none.
+    """Neighbours ``(by, query_id, item_id, dist[, rank])`` under top-N, radius, both or none.
+
+    Top-N results carry their rank; an unbounded result only when ``rank`` asks for it.
 
     ``skip='id'`` drops the query's own id, ``skip='zero'`` every item at distance 0. With a
     ``scale`` distances come out as ``unit(scale * d)`` and ``max_dist`` is read in that space.
@@ -446,15 +457,21 @@ def search(
     )
     if skip == "id":
         hits = hits.filter(F.col("query_id") != F.col("item_id"))
-    return ranked(hits, top_n)
+    return ranked(hits, top_n) if rank or (rank is None and top_n is not None) else hits
 
 
 def ranked(hits: DataFrame, top_n: int | None = None) -> DataFrame:
-    """Ascending rank per query (and ``by``), ties by item id, optionally cut at top_n."""
+    """Ascending rank per query (and ``by``), ties by item id, optionally cut at top_n.
+
+    With a bound each task keeps its best rows before the shuffle. Without one a single query may
+    rank every item, so the rows are numbered across tasks.
+    """
     keys = [c for c in ("by", "query_id") if c in hits.columns]
+    if top_n is None:
+        return numbered(cut(hits), keys, ["dist", "item_id"], "rank")
     w = Window.partitionBy(*keys).orderBy("dist", "item_id")
     out = hits.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return out if top_n is None else out.filter(F.col("rank") <= top_n)
+    return out.filter(F.col("rank") <= top_n)
 
 
 def search_penalised(
@@ -469,9 +486,8 @@ def search_penalised(
     x = items.select("item_id", F.col("kind").alias("x_kind"))
     hits = search(queries, items, metric, max_dist=max_dist, scale=scale, **layout)
     d = scalars.rounded(scalars.penalise(F.col("dist"), F.col("q_kind") != F.col("x_kind")))
-    return ranked(
-        hits.drop("rank")
-        .join(q, "query_id")
+    return (
+        hits.join(q, "query_id")
         .join(x, "item_id")
         .withColumn("dist", d)
         .filter(F.col("dist") <= max_dist)
@@ -490,15 +506,11 @@ def centroid(items: DataFrame) -> DataFrame:
     )
 
 
-def index_radius(items: DataFrame, metric: str | Metric = "l2") -> DataFrame:
-    """One row ``(centre, radius)``: the mean vector and the largest distance from it."""
-    c = centroid(items)
-    d = metric_of(metric).expr(vectors.doubles(F.col("vec")), F.col("centre"))
-    return (
-        items.crossJoin(F.broadcast(c))  # one row
-        .groupBy("centre")
-        .agg(F.max(d).alias("radius"))
-    )
+def index_radius(items: DataFrame, metric: str | Metric = "l2") -> tuple[list[float], float]:
+    """The mean vector and the largest distance from it."""
+    centre = centroid(items).first()[0]
+    d = metric_of(metric).expr(vectors.doubles(F.col("vec")), F.array(*map(F.lit, centre)))
+    return centre, items.agg(F.max(d)).first()[0]
 
 
 def pivot_radius(queries: DataFrame, items: DataFrame, radius: float,
@@ -510,7 +522,7 @@ def pivot_radius(queries: DataFrame, items: DataFrame, radius: float,
     R + d(q,c) with R the index radius.
     """
     m = metric_of(metric)
-    centre, reach = index_radius(items, m).first()
+    centre, reach = index_radius(items, m)
     c = F.array(*map(F.lit, centre))
     own = m.expr(vectors.doubles(F.col("vec")), c)
     q = queries.select("query_id", "vec", own.alias("own"))
@@ -521,14 +533,14 @@ def pivot_radius(queries: DataFrame, items: DataFrame, radius: float,
     ring = F.floor(F.col("own") / width)
     rings = F.explode(F.sequence(F.greatest(ring - 1, F.lit(0)), ring + 1))
     x = items.select("item_id", "vec", own.alias("own")).withColumn("by", ring)
-    hits = search(q.withColumn("by", rings), x, m, max_dist=r, **layout).drop("by", "rank")
+    hits = search(q.withColumn("by", rings), x, m, max_dist=r, **layout).drop("by")
     if relative:
         hits = (
             hits.join(q.select("query_id", "own"), "query_id")
             .filter(F.col("dist") <= radius * (F.lit(reach) + F.col("own")))
             .drop("own")
         )
-    return ranked(hits)
+    return hits
 
 
 def search_exact(queries: DataFrame, items: DataFrame, value: str = "vec") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from simloom.functions import vectors
 from simloom.functions.scalars import rounded
 from simloom.operators import aggregates, fusion, ranking, similarity
 from simloom.plans.catalogue import query, table
@@ -169,7 +170,9 @@ def max_k(spark, sf):
        "FROM e, (SELECT unnest(range(1, 65)) AS pos) g GROUP BY ALL)) "
        "SELECT round(max(list_distance(e.v, g.v)), 6) AS radius FROM e, g")
 def index_radius(spark, sf):
-    return similarity.index_radius(items(spark, sf)).select(rounded(F.col("radius")).alias("radius"))
+    x = items(spark, sf)
+    centre = F.array(*map(F.lit, similarity.centroid(x).first()[0]))
+    return x.agg(rounded(F.max(vectors.dist_l2(F.col("vec"), centre))).alias("radius"))
 
 
 @query("hist_uint",

@@ -38,7 +38,7 @@ def _ranked(sql_from: str, where: str = "true", cut: str = "") -> str:
 
 @query("join_radius", f"WITH {centroid_hits()} " + _ranked("h", "d <= 0.99"))
 def join_radius(spark, sf):
-    return similarity.search(centroids(spark, sf), items(spark, sf), max_dist=0.99).select(*HITS)
+    return similarity.search(centroids(spark, sf), items(spark, sf), max_dist=0.99, rank=True).select(*HITS)
 
 
 @query("join_knn", f"WITH {neighbours(5)} SELECT qid AS query_id, iid AS item_id, d AS dist, r AS rank FROM n")
@@ -70,7 +70,7 @@ def join_exact(spark, sf):
 
 @query("join_all", f"WITH {centroid_hits()} " + _ranked("h"))
 def join_all(spark, sf):
-    return similarity.search(centroids(spark, sf), items(spark, sf)).select(*HITS)
+    return similarity.search(centroids(spark, sf), items(spark, sf), rank=True).select(*HITS)
 
 
 @query("join_skip_self",
@@ -121,7 +121,7 @@ def join_ann_ivf(spark, sf):
        "SELECT c.id AS query_id, e.id AS item_id, round(list_distance(c.v, e.v), 6) AS dist "
        "FROM c, e WHERE round(list_distance(c.v, e.v), 6) <= 0.99")
 def join_pivot_radius(spark, sf):
-    return similarity.pivot_radius(centroids(spark, sf), items(spark, sf), 0.99).drop("rank")
+    return similarity.pivot_radius(centroids(spark, sf), items(spark, sf), 0.99)
 
 
 _SIG = (

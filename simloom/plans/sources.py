@@ -82,7 +82,7 @@ def scan_ensemble_manifest(spark, sf):
         F.when(k % 14 == 0, "# LabelDelimiter ~").when(k % 7 == 0, "# note").otherwise(line).alias("value")
     )
     read = spark.read.text(write_lines(spark, lines, "manifest")).withColumnRenamed("value", "line")
-    return text.parse_manifest(read).crossJoin(F.broadcast(text.manifest_delimiter(read)))  # one row
+    return text.parse_manifest(read).withColumn("delimiter", F.lit(text.manifest_delimiter(read)))
 
 
 @query("scan_list_text",
@@ -155,8 +155,8 @@ def scan_histogram_xyzv(spark, sf):
     cells = text.cube_lines(cube(spark, sf).withColumn("v", F.col("v") / 8))
     head = spark.createDataFrame([("# ColorSpace=Lab",), ("# BinCnt=8",)], "value string")
     read = spark.read.text(write_lines(spark, head.unionByName(cells), "cube")).withColumnRenamed("value", "line")
-    both = text.parse_cube(read).crossJoin(F.broadcast(text.cube_directives(read)))  # one row
-    return wide(both).withColumn("bins", F.col("bins").cast("bigint"))
+    space, bins = text.cube_directives(read)
+    return wide(text.parse_cube(read)).select("*", F.lit(space).alias("color_space"), F.lit(bins).cast("bigint").alias("bins"))
 
 
 @query("save_histogram_xyzv", f"WITH {_CUBE} SELECT i || E'\\t' || j || E'\\t' || k || E'\\t' || v AS line FROM cb WHERE v <> 0")
@@ -183,7 +183,7 @@ def results_text(spark, sf):
        f"WITH {centroid_hits()}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, iid) AS r FROM h) "
        f"SELECT qid AS query_id, r AS line_no, {_LINE} AS line FROM k UNION ALL SELECT qid, 0, qid || ' found ' || count(*) FROM k GROUP BY qid")
 def results_lines(spark, sf):
-    return results.result_lines(similarity.search(centroids(spark, sf), items(spark, sf)))
+    return results.result_lines(similarity.search(centroids(spark, sf), items(spark, sf), rank=True))
 
 
 @query("results_nested",

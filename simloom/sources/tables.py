@@ -158,8 +158,11 @@ class LogTable:
     def add(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/batch-{batch}")
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """Current rows, or those before a batch; None while there are none."""
+    def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+        """Current rows, or those before a batch; None while there are none.
+
+        ``only`` restricts the read to the keys of a table, before the latest rows are sought.
+        """
         bases = [b for b in self._numbers("base-") if before is None or b < before]
         base = bases[-1] if bases else None
         batches = [
@@ -171,6 +174,8 @@ class LogTable:
             return None
         rows = self.spark.read.parquet(*paths)
         rest = [c for c in rows.columns if c != self.key]
+        if only is not None:
+            rows = rows.join(only.select(self.key).distinct(), self.key, "left_semi")
         latest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
         return latest.filter(~F.col("_r.deleted")).select(
             self.key, *[F.col(f"_r.{c}").alias(c) for c in rest]

@@ -59,10 +59,10 @@ def parse_manifest(lines: DataFrame, text: str = "line") -> DataFrame:
     )
 
 
-def manifest_delimiter(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Label delimiter a manifest sets, one row."""
+def manifest_delimiter(lines: DataFrame, text: str = "line") -> str:
+    """Label delimiter a manifest sets."""
     value = F.regexp_extract(text, r"^# LabelDelimiter\s+(\S+)", 1)
-    return lines.agg(F.coalesce(F.max(F.nullif(value, F.lit(""))), F.lit("/")).alias("delimiter"))
+    return lines.agg(F.coalesce(F.max(F.nullif(value, F.lit(""))), F.lit("/"))).first()[0]
 
 
 def parse_key_values(lines: DataFrame, keys: list[str], subject: str = "subject", text: str = "line") -> DataFrame:
@@ -101,12 +101,12 @@ def parse_cube(lines: DataFrame, text: str = "line") -> DataFrame:
     )
 
 
-def cube_directives(lines: DataFrame, text: str = "line") -> DataFrame:
-    """One row (color_space, bins) from ``# ColorSpace=`` and ``# BinCnt=``."""
+def cube_directives(lines: DataFrame, text: str = "line") -> tuple[str | None, int | None]:
+    """(color_space, bins) from ``# ColorSpace=`` and ``# BinCnt=``."""
     return lines.filter(F.col(text).startswith("#")).agg(
         F.max(F.nullif(F.regexp_extract(text, r"^# ColorSpace=(.*)$", 1), F.lit(""))).alias("color_space"),
         F.max(F.nullif(F.regexp_extract(text, r"^# BinCnt=(\d+)", 1), F.lit("")).try_cast("int")).alias("bins"),
-    )
+    ).first()
 
 
 def cube_lines(cube: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def request_log(stream: DataFrame, store: LogTable, out: str, checkpoint: str) -
     """A mixed log (seq, op, item_id) applied in seq order: i ingests, r removes, q asks whether
     the item is there at that moment; other ops only count. Answers go to ``out``."""
     def step(log: DataFrame, batch: int) -> None:
-        before = store.read(before=batch)
+        before = store.read(before=batch, only=log)
         change = F.when(F.col("op") == "i", F.col("seq") * 2 + 1).when(F.col("op") == "r", F.col("seq") * 2)
         seen = running(log.withColumn("_c", change), ["item_id"], ["seq"], last=("max", F.col("_c")))
         asked = seen.filter(F.col("op") == "q")

@@ -52,8 +52,8 @@ def test_layouts_agree_with_brute_force(spark, metric, how):
     x = frame(spark, mat).repartition(4)
     q = x.withColumnRenamed("item_id", "query_id")
     want = brute(metric, mat, mat, range(90), range(90), **how)
-    assert rows(similarity.search(q, x, metric=metric, **how)) == want
-    assert rows(similarity.search(q, x, metric=metric, **how, **BLOCKS)) == want
+    assert rows(similarity.search(q, x, metric=metric, rank=True, **how)) == want
+    assert rows(similarity.search(q, x, metric=metric, rank=True, **how, **BLOCKS)) == want
 
 
 def test_string_ids_and_by_groups(spark):
@@ -74,9 +74,9 @@ def test_pivot_radius_matches_plain_radius(spark):
     mat = hot()
     x = frame(spark, mat)
     q = x.withColumnRenamed("item_id", "query_id")
-    want = rows(similarity.search(q, x, max_dist=0.8))
+    want = rows(similarity.search(q, x, max_dist=0.8, rank=True))
     for layout in ({}, BLOCKS):
-        assert rows(similarity.pivot_radius(q, x, 0.8, **layout)) == want
+        assert rows(similarity.ranked(similarity.pivot_radius(q, x, 0.8, **layout).drop("by"))) == want
 
 
 def test_far_cells_are_skipped():
