@@ -70,14 +70,14 @@ def cell_histogram(rows: DataFrame, item: str, cell: Column, bin_: Column, cells
 
 def time_hist(log: DataFrame, label: str, took: str) -> DataFrame:
     return log.groupBy(label).agg(
-        F.count("*").alias("n"), rounded(F.sum(took)).alias("total"), rounded(F.avg(took)).alias("mean")
+        F.count("*").alias("n"), rounded(F.sum(took)).alias("total"), rounded(F.avg(took), 9).alias("mean")
     )
 
 
 def timing_rollup(log: DataFrame, request: str, tick: str, transport: str) -> DataFrame:
     """Microseconds from a request's first to its last tick, and its mean transport time."""
     return log.groupBy(request).agg(
-        F.timestamp_diff("MICROSECOND", F.min(tick), F.max(tick)).alias("span"), rounded(F.avg(transport)).alias("transport")
+        F.timestamp_diff("MICROSECOND", F.min(tick), F.max(tick)).alias("span"), rounded(F.avg(transport), 9).alias("transport")
     )
 
 

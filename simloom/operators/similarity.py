@@ -420,11 +420,14 @@ def search(
     ``scale`` distances come out as ``unit(scale * d)`` and ``max_dist`` is read in that space.
     """
     m = metric_of(metric)
-    raw_max = max_dist
-    if scale is not None and max_dist is not None:
-        raw_max = scalars.real_value(max_dist) / scale if max_dist < 1 else None
+    # Hits are tested on the rounded distance, so pruning allows for one unit of rounding.
+    slack = None if max_dist is None else max_dist + 10.0**-digits
+    if scale is None or slack is None:
+        prune = slack
+    else:
+        prune = scalars.real_value(slack) / scale if slack < 1 else None
     k = None if top_n is None else top_n + (1 if skip == "id" else 0)
-    limit = None if max_dist is None else max_dist
+    limit = max_dist
 
     def fn(q: Block, x: Block) -> list[np.ndarray]:
         d = m.block(q.mat, x.mat)
@@ -447,10 +450,6 @@ def search(
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    if scale is not None or raw_max is None:
-        prune = raw_max
-    else:
-        prune = raw_max + 10.0**-digits
     hits = pair_reduce(
         queries, items, fn, schema, None if k is None else _rank_cut(k), m, prune,
         None if skip == "zero" else k, **layout,

@@ -142,7 +142,7 @@ _VOTE = (
        "p AS (SELECT qid, iid, CAST(sum(len - r) AS DOUBLE) AS pts, min(d) AS d FROM k JOIN l USING (qid) GROUP BY ALL), "
        "m AS (SELECT qid, greatest(1.0, max(pts)) + 1 AS m FROM p GROUP BY qid), "
        "b AS (SELECT qid, iid, round(CASE WHEN d = 0 THEN 0 ELSE (m - pts) / m END, 6) AS borda FROM p JOIN m USING (qid)), "
-       "a AS (SELECT qid, iid, round(avg(d), 6) AS mean FROM k GROUP BY ALL) "
+       "a AS (SELECT qid, iid, round(avg(d), 9) AS mean FROM k GROUP BY ALL) "
        "SELECT qid AS query_id, iid AS item_id, borda, mean FROM b JOIN a USING (qid, iid)")
 def vote_rows(spark, sf):
     rows = turn_rows(spark, sf)
@@ -218,13 +218,13 @@ def hist_cells(spark, sf):
 
 
 @query("time_hist",
-       "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+       "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total, round(avg(value), 9) AS mean FROM events GROUP BY ALL")
 def time_hist(spark, sf):
     return aggregates.time_hist(table(spark, sf, "events"), "event_type", "value")
 
 
 @query("timing_rollup",
-       "SELECT user_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span, round(avg(value), 6) AS transport FROM events GROUP BY ALL")
+       "SELECT user_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span, round(avg(value), 9) AS transport FROM events GROUP BY ALL")
 def timing_rollup(spark, sf):
     return aggregates.timing_rollup(table(spark, sf, "events"), "user_id", "ts", "value")
 
