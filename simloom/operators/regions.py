@@ -27,21 +27,32 @@ def _tiled(df: DataFrame, grid: int) -> DataFrame:
     return df
 
 
+def _side(df: DataFrame, rid: str, c: str, grid: int) -> DataFrame:
+    """Tiled rectangles with their edges and area as plain columns: join conditions stay short."""
+    r = F.col("r")
+    ready = _tiled(df.select("img", F.col("rid").alias(rid), F.col("kind").alias(f"{rid}_kind"), "r"), grid)
+    return ready.select(
+        "img", "tx", "ty", rid, f"{rid}_kind", r.alias(f"{c}r"),
+        r["x"].alias(f"{c}x"), (r["x"] + r["w"]).alias(f"{c}x2"),
+        r["y"].alias(f"{c}y"), (r["y"] + r["h"]).alias(f"{c}y2"),
+        rects.area(r).alias(f"{c}_area"),
+    )
+
+
 def touching(a: DataFrame, b: DataFrame, grid: int = GRID) -> DataFrame:
-    """Pairs of one image that share area, each once.
+    """Pairs of one image that share area (column ``area``), each once.
 
     Rectangles meet per grid tile, so an image with very many of them spreads over its tiles; the
     tile holding the corner of the common area reports the pair.
     """
-    left = _tiled(a.select("img", F.col("rid").alias("given"), F.col("kind").alias("given_kind"), F.col("r")), grid)
-    right = _tiled(b.select("img", F.col("rid").alias("found"), F.col("kind").alias("found_kind"), F.col("r")), grid)
-    met = left.withColumnRenamed("r", "gr").join(right.withColumnRenamed("r", "fr"), ["img", "tx", "ty"])
-    corner_x = F.greatest(F.col("gr.x"), F.col("fr.x"))
-    corner_y = F.greatest(F.col("gr.y"), F.col("fr.y"))
+    # The estimate of a side does not see its tiles: ask for the join that splits and spills.
+    met = _side(a, "given", "g", grid).join(_side(b, "found", "f", grid).hint("merge"), ["img", "tx", "ty"])
+    left, right = F.greatest("gx", "fx"), F.least("gx2", "fx2")
+    top, bottom = F.greatest("gy", "fy"), F.least("gy2", "fy2")
+    edges = [f"{c}{e}" for c in "gf" for e in ("x", "x2", "y", "y2")]
     return met.filter(
-        (F.floor(corner_x / grid) == F.col("tx")) & (F.floor(corner_y / grid) == F.col("ty"))
-        & (rects.overlap_area(F.col("gr"), F.col("fr")) > 0)
-    ).drop("tx", "ty")
+        (F.floor(left / grid) == F.col("tx")) & (F.floor(top / grid) == F.col("ty")) & (left < right) & (top < bottom)
+    ).withColumn("area", (right - left).cast("bigint") * (bottom - top)).drop("tx", "ty", *edges)
 
 
 def overlap_pairs(given: DataFrame, found: DataFrame, tol: float = rects.MATCH_TOLERANCE,
@@ -49,10 +60,11 @@ def overlap_pairs(given: DataFrame, found: DataFrame, tol: float = rects.MATCH_T
     """Pairs with 1 - IoU under the tolerance and a common area of at least min_dim squared."""
     return (
         touching(given, found, grid)
-        .withColumn("area", rects.overlap_area(F.col("gr"), F.col("fr")))
-        .withColumn("iou", rects.iou(F.col("gr"), F.col("fr")))
-        .filter((1 - F.col("iou") < tol) & (F.col("area") >= min_dim * min_dim))
+        .filter(F.col("area") >= min_dim * min_dim)
+        .withColumn("iou", F.try_divide("area", F.col("g_area") + F.col("f_area") - F.col("area")))
+        .filter(1 - F.col("iou") < tol)
         .withColumn("same", F.col("given_kind") == F.col("found_kind"))
+        .drop("g_area", "f_area")
     )
 
 
