@@ -1,4 +1,4 @@
-"""Every registered query beside its SQL on the smallest supplied tables."""
+"""Every registered query beside its SQL, on tables in which all keys used are unique."""
 
 import math
 
@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
