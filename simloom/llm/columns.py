@@ -50,3 +50,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Groups above this share of all rows are broadcast: there can be no more of them than its inverse.
+HOT_SHARE = 1e-4
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group, NULL if it has none.
+
+    The few groups that hold a large share of the rows (``rows_of`` says how many a group holds) are broadcast, so
+    no task gets a hot group; the rest is joined by key.
+    """
+    limit = max(1000, int(total * HOT_SHARE))
+    more = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(rows_of) > limit).select(key, F.struct(*more).alias("_hot"))
+    met = rows.join(F.broadcast(hot), key, "left")
+    done = met.filter("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in more])
+    rest = met.filter("_hot IS NULL").drop("_hot").join(groups.filter(F.col(rows_of) <= limit), key, "left")
+    return done.unionByName(rest.select(*rows.columns, *more))

@@ -12,14 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import BLANKS, staged
+from simloom.llm.columns import BLANKS, join_groups, staged
 
 #: Bits of the filter for each row, and their bound: the broadcast bitmap never takes more than 32 MB. Beyond it
 #: the filter lets more rows through to the shuffle; the result is the same.
 BITS_PER_ROW, MAX_BITS, PAGE_BITS = 16, 1 << 28, 32768
 HASHES = 2
-#: Groups above this share of all rows are broadcast: there can be no more than its inverse of them.
-HOT_SHARE = 1e-4
 
 
 def _positions(bits: int) -> list[Column]:
@@ -80,15 +78,8 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", carry:
         .filter("group_size > 1"),
         "groups",
     )
-    hot_rows = max(1000, int(total * HOT_SHARE))
-    hot = groups.filter(F.col("group_size") > hot_rows).withColumnsRenamed({"group_size": "_hs", "_best": "_hb"})
-    cool = groups.filter(F.col("group_size") <= hot_rows)
-    met = again.join(F.broadcast(hot), "text_sha256", "left")
-    done = met.filter("_hs IS NOT NULL").withColumnsRenamed({"_hs": "group_size", "_hb": "_best"})
-    rest = met.filter("_hs IS NULL").drop("_hs", "_hb").join(cool, "text_sha256", "left")
-    alone = marked.filter("NOT _again").withColumn("group_size", F.lit(None).cast("bigint")).withColumn(
-        "_best", F.lit(None).cast(groups.schema["_best"].dataType))
-    out = alone.unionByName(done).unionByName(rest)
+    met = join_groups(again, groups, "text_sha256", "group_size", total)
+    out = met.unionByName(marked.filter("NOT _again"), allowMissingColumns=True)
     single = F.col("group_size").isNull()
     return out.select(
         F.col("_key").alias(key),
