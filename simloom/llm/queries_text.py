@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from simloom.llm import jaccard
+from simloom.llm import jaccard, lm
+from simloom.llm.columns import remainder
 from simloom.llm.registry import query, table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,3 +29,37 @@ FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(c) AS component_
 def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     marks = jaccard.near_duplicates(table(spark, sf, "documents"), size=4, threshold=(85, 100))
     return marks.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_lm_score", sql=rf"""
+WITH RECURSIVE bits AS (SELECT i AS b, i AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT b, xor(v >> 1, 3988292384 * (v & 1)), step + 1 FROM bits WHERE step < 8
+), crc AS (SELECT list(v ORDER BY b) AS table_ FROM bits WHERE step = 8
+), d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, x: xor(a >> 8, table_[(xor(a, x) & 255) + 1]))) % 7 = 2 AS held_out
+  FROM documents, crc
+), t AS (
+  SELECT doc_id, held_out, unnest(w || ['']) AS x, unnest(range(len(w) + 1)) AS i FROM d
+), b AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t
+), u AS (SELECT x, count(*)::DOUBLE AS c FROM t WHERE NOT held_out GROUP BY x
+), bi AS (SELECT h, x, count(*)::DOUBLE AS c FROM b WHERE NOT held_out GROUP BY h, x
+), hist AS (SELECT h, count(*)::DOUBLE AS c FROM b WHERE NOT held_out GROUP BY h
+), s AS (SELECT sum(c) AS n, count(*)::DOUBLE AS v FROM u
+), p AS (
+  SELECT doc_id, held_out, coalesce(u.c, 0) AS cu, n, v, 0.75 * hist.c ** -0.3 AS leave, hist.c AS ch, bi.c AS cb,
+         CASE WHEN u.c > 0 THEN (u.c - 0.75) / n ELSE 0.75 * v / n END AS p1
+  FROM b CROSS JOIN s LEFT JOIN u USING (x) LEFT JOIN hist ON hist.h IS NOT DISTINCT FROM b.h
+  LEFT JOIN bi ON bi.h IS NOT DISTINCT FROM b.h AND bi.x = b.x
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cu > 0) AS n_known, max(n)::BIGINT AS train_tokens,
+       sum(log10((cu + 1) / (n + v + 1))) AS base_score,
+       sum(CASE WHEN ch IS NULL THEN log10(p1) WHEN cb IS NULL THEN log10(leave) + log10(p1)
+                ELSE log10((1 - leave) * cb / ch + leave * p1) END) AS score
+FROM p GROUP BY doc_id, held_out
+""")
+def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 7) == 2
+    out = lm.score(table(spark, sf, "documents"), ~held)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
