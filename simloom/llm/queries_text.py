@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import jaccard, lm
+from simloom.llm import jaccard, lm, tokens
 from simloom.llm.columns import remainder
 from simloom.llm.registry import query, table
+from simloom.session import scratch_path
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -63,3 +64,15 @@ def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 7) == 2
     out = lm.score(table(spark, sf, "documents"), ~held)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_token_ids")
+def op8_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    out = tokens.encode(docs, tokenizer, scratch_path(docs.sparkSession, "shards"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
