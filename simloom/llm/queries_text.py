@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import jaccard, lm, tokens
+from simloom.llm import html_text, jaccard, lm, tokens
 from simloom.llm.columns import remainder
 from simloom.llm.registry import query, table
 from simloom.session import scratch_path
@@ -76,3 +76,9 @@ def op8_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     out = tokens.encode(docs, tokenizer, scratch_path(docs.sparkSession, "shards"))
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
