@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import html_text, jaccard, lm, tokens
+from simloom.llm import html_text, jaccard, lm, quality, tokens, toxicity
 from simloom.llm.columns import remainder
 from simloom.llm.registry import query, table
 from simloom.session import scratch_path
@@ -82,3 +82,17 @@ def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
     out = html_text.extract(table(spark, sf, "pages"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    learn = remainder(F.col("doc_id"), 3) != 1
+    out = toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"), learn)
+    return out.select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    learn = remainder(F.col("doc_id"), 3) != 1
+    out = quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"), learn)
+    return out.select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
