@@ -4,28 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
 from simloom.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
-#: What separates words when only letters, digits and everything beyond ASCII count as word characters.
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is. Pure ASCII takes the quick built-in way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+#: ASCII characters between words: all but letters and digits.
+BETWEEN_WORDS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of letters, digits and non-ASCII characters; none for NULL."""
-    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN_WORDS)
-    # Only the first and the last part can be empty.
-    size = F.size(parts)
-    skip = (F.element_at(parts, 1) == "").cast("int")
-    cut = F.when(size > 1, (F.element_at(parts, -1) == "").cast("int")).otherwise(0)
-    return F.slice(parts, skip + 1, F.greatest(size - skip - cut, F.lit(0)))
+    """Lower-case words of letters, digits and non-ASCII characters; none for NULL.
+
+    A translation and a split at spaces is several times quicker than splitting by a pattern.
+    """
+    spaced = F.translate(F.coalesce(text.cast("string"), F.lit("")), BETWEEN_WORDS + UPPER, " " * len(BETWEEN_WORDS) + LOWER)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text: Column) -> Column:
@@ -40,10 +35,20 @@ def remainder(key: Column, divisor: int) -> Column:
 
 def row_hash(df: DataFrame) -> Column:
     """128 bits over all columns that can be hashed."""
-    cols = [F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant", "void")]
+    cols = [F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant", "void")]
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of the row as one struct, safe from names that clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def with_columns(row: DataType, **more: str) -> StructType:
+    """Schema of a column ``row`` and further ones, given as DDL types."""
+    return StructType([StructField("row", row), *[StructField(c, _parse_datatype_string(t)) for c, t in more.items()]])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder as Parquet and read from there."""
     spark: SparkSession = df.sparkSession

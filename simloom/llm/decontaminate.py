@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import row_hash, staged, words
+from simloom.llm.columns import row_hash, staged, whole, words
 
 WINDOW = 13
 #: Tables of the benchmark side are broadcast up to this many windows (about 200 bytes each), and joined by a
@@ -48,15 +48,15 @@ def _hits(found: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-                  item: str = "item_id", item_text: str = "text", size: int = WINDOW, share: float = 0.05,
+                  item: str = "item_id", item_text: str = "text", size: int = WINDOW, per: int = 20,
                   small_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The rows of ``docs`` as a struct ``doc`` with n_words, n_hit, n_items, items, contaminated.
 
     A word is hit if it lies in an occurrence of a window of any item. A document is contaminated if its hit words
-    are at least ``share`` of its words. NULL and empty texts have no words and are clean. Equal rows get equal
+    are at least one in ``per`` of its words. NULL and empty texts have no words and are clean. Equal rows get equal
     results. An empty benchmark, or one without words, leaves all documents clean.
     """
-    held = docs.select(row_hash(docs).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("doc"))
+    held = docs.select(row_hash(docs).alias("_id"), F.col(text).alias("_text"), whole(docs).alias("doc"))
     cut = staged(windows(benchmark, item, item_text, size), "windows")
     small = cut.count() <= small_windows
     known = cut.select(F.explode("window").alias("word")).distinct()
@@ -72,23 +72,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     )
     first = staged(first, "prefixes")
     asked = first.groupBy("word").agg(F.collect_list(F.struct("off", "window", "items")).alias("asks"))
-    positions = docs.select(row_hash(docs).alias("_id"), words(F.col(text)).alias("w")).select(
-        "_id", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
-    met = positions.join(_small(asked, small), "word").select("_id", "n_words", "pos", F.explode("asks").alias("a"))
+    # The hash is taken below the explode, not once per word above it.
+    hashed = docs.select(row_hash(docs).alias("_id"), F.col(text).alias("_text"))
+    positions = hashed.select("_id", F.posexplode(words(F.col("_text"))).alias("pos", "word"))
+    met = positions.join(_small(asked, small), "word").select("_id", "pos", F.explode("asks").alias("a"))
     start = F.col("pos") - F.col("a.off")
-    fits = (start >= 0) & (start + F.size("a.window") <= F.col("n_words"))
-    wanted = met.filter(fits).select("_id", F.struct(start.alias("start"), "a.window", "a.items").alias("c"))
+    wanted = met.filter(start >= 0).select("_id", F.struct(start.alias("start"), "a.window", "a.items").alias("c"))
     per_doc = wanted.groupBy("_id").agg(F.sort_array(F.collect_set("c")).alias("wanted"))
     read = held.join(per_doc, "_id", "left").withColumn("_words", words(F.col("_text")))
     exact = F.filter(F.coalesce(F.col("wanted"), F.array().cast(per_doc.schema["wanted"].dataType)),
-                     lambda c: F.slice(F.col("_words"), c["start"] + 1, F.size(c["window"])) == c["window"])
+                     lambda c: (c["start"] + F.size(c["window"]) <= F.size("_words"))
+                     & (F.slice(F.col("_words"), c["start"] + 1, F.size(c["window"])) == c["window"]))
     out = read.select("doc", F.size("_words").cast("bigint").alias("n_words"), exact.alias("_found"))
     out = out.select(
         "doc", "n_words", _hits(F.col("_found")).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["items"])))).alias("items"))
     return out.select(
         "doc", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+        ((F.col("n_hit") > 0) & (per * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
