@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm.columns import with_columns
 from simloom.llm.learners import Node, fit_tree, predict_tree
 
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
@@ -177,13 +178,12 @@ def extract(pages: DataFrame, html: str = "html", result: str = "text") -> DataF
     stay as they are. Rows are handled one by one, so repeated rows get equal results.
     """
     keep = [c for c in pages.columns if c not in (html, result)]
-    picked = pages.select(F.struct(F.lit(0).alias("_none"), *keep).alias("row"), F.col(html).cast("string").alias("html"))
+    picked = pages.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(html).cast("string").alias("html"))
 
     def run(batches):
         for b in batches:
             texts = [main_text(h) for h in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    kind = picked.schema["row"].dataType.simpleString()
-    out = picked.mapInArrow(run, f"row {kind}, text string")
+    out = picked.mapInArrow(run, with_columns(picked.schema["row"].dataType, text="string"))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("text").alias(result))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import join_groups, row_hash, staged
+from simloom.llm.columns import join_groups, row_hash, staged, whole, with_columns
 from simloom.llm.hashing import grams, mixed, word_hashes
 from simloom.operators.components import connected_components
 
@@ -51,13 +51,12 @@ def set_sizes(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str,
         for b in batches:
             sets = _sets(b.column(1), size)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_signature(s) if len(s) else 0 for s in sets], pa.int64())], names=["key", "carry", "n", "sig"])
+                b.column(2), b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_signature(s) if len(s) else 0 for s in sets], pa.int64())], names=["row", "key", "n", "sig"])
 
     picked = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"),
-                         F.struct(F.lit(0).alias("_none"), *carry).alias("carry"))
-    kind = picked.schema["carry"].dataType.simpleString()
-    return picked.mapInArrow(run, f"key bigint, carry {kind}, n bigint, sig bigint")
+                         F.struct(F.lit(0).alias("_none"), *carry).alias("row"))
+    return picked.mapInArrow(run, with_columns(picked.schema["row"].dataType, key="bigint", n="bigint", sig="bigint"))
 
 
 def _own(left: pa.Table, right: pa.Table, size: int):
@@ -264,7 +263,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     bare = sized.filter("n = 0").select("*", F.col("key").alias("component_id"))
     return has.unionByName(bare, allowMissingColumns=True).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("comp").alias("component"),
-        *[F.col(f"carry.{c}").alias(c) for c in carry])
+        *[F.col(f"row.{c}").alias(c) for c in carry])
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -273,10 +272,11 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Texts without words are linked with nothing, so all of them stay. Of rows that agree in every column and have words,
     one stays.
     """
-    named = docs.withColumn("_row_hash", row_hash(docs))
-    marks = near_duplicates(named, key, text, carry=("_row_hash",), **how)
-    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row_hash").alias("_row_hash")))
+    named = docs.select(whole(docs).alias("doc"), row_hash(docs).alias("_row_hash"), F.col(key).alias("key"),
+                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    marks = near_duplicates(named, "key", "text", carry=("_row_hash",), **how)
+    first = F.min(F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("_row_hash").alias("_row_hash")))
     stays = marks.filter("n_shingles > 0").groupBy("component").agg(first.alias("f")).select("f._row_hash")
-    bare = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     met = named.filter(~bare).join(stays, "_row_hash", "left_semi").dropDuplicates(["_row_hash"])
-    return met.select(*docs.columns).unionByName(docs.filter(bare))
+    return met.select("doc").unionByName(named.filter(bare).select("doc")).select("doc.*")

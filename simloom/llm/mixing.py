@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import row_hash, staged, word_count
+from simloom.llm.columns import row_hash, staged, whole, word_count
 from simloom.operators.prefix import running
 
 WEIGHTS, BUDGET, PASSES = (3.0, 1.0, 2.0), 1.5, 2
@@ -94,6 +94,6 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     Rows that agree in every column are one document with several copies.
     """
     takes = mix(docs, text, key, source, **how).groupBy("_row_hash").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.withColumn("_row_hash", row_hash(docs)).dropDuplicates(["_row_hash"])
+    rows = docs.select(whole(docs).alias("doc"), row_hash(docs).alias("_row_hash")).dropDuplicates(["_row_hash"])
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_i")
-    return rows.join(takes, "_row_hash").select(*docs.columns, times).drop("_i")
+    return rows.join(takes, "_row_hash").select("doc", times).select("doc.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import row_hash, staged
+from simloom.llm.columns import row_hash, staged, with_columns
 from simloom.llm.hashing import word_hashes
 from simloom.llm.learners import Rule, fires, fit_lasso, fit_tree, paths
 
@@ -54,8 +54,7 @@ def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ())
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["row", *STATISTICS])
 
     picked = docs.select(F.struct(F.lit(0).alias("_none"), *carry).alias("row"), F.col(text).cast("string").alias("text"))
-    kind = picked.schema["row"].dataType.simpleString()
-    return picked.mapInArrow(run, f"row {kind}, " + ", ".join(f"{c} double" for c in STATISTICS))
+    return picked.mapInArrow(run, with_columns(picked.schema["row"].dataType, **dict.fromkeys(STATISTICS, "double")))
 
 
 def bounded_sample(labels: DataFrame, limit: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import staged
+from simloom.llm.columns import staged, whole, with_columns
 from simloom.llm.hashing import _buffers, lowered
 from simloom.llm.learners import fit_lasso
 from simloom.llm.quality import bounded_sample
@@ -238,11 +238,12 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))))], names=["row", "score"])
 
     picked = docs.select(F.struct(F.col(key).alias("_key"), *carry).alias("row"), F.col(text).cast("string").alias("text"))
-    out = picked.mapInArrow(run, f"row {picked.schema['row'].dataType.simpleString()}, score double")
+    out = picked.mapInArrow(run, with_columns(picked.schema["row"].dataType, score="double"))
     return out.select(F.col("row._key").alias(key), "score", *[F.col(f"row.`{c}`").alias(c) for c in carry])
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, limit: float = 0.7, **how) -> DataFrame:
     """The rows of ``docs`` that score under ``limit``, with their columns."""
-    named = docs.withColumn("_doc", F.struct(*docs.columns))
-    return score(named, labels, learn, carry=("_doc",), **how).filter(F.col("score") < limit).select("_doc.*")
+    key, text = how.pop("key", "doc_id"), how.pop("text", "text")
+    named = docs.select(whole(docs).alias("_doc"), F.col(key).alias(key), F.col(text).alias(text))
+    return score(named, labels, learn, key, text, carry=("_doc",), **how).filter(F.col("score") < limit).select("_doc.*")
