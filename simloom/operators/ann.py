@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -13,7 +15,8 @@ from pyspark.sql import types as T
 from simloom.functions import vectors
 from simloom.operators.similarity import _arrow_schema, _matrix, ranked, search
 
-MAX_CELLS = 1024
+#: Items that should share a bucket or a cell, and items that cells are trained on, at most.
+BUCKET_ROWS, CELL_ROWS, TRAIN_ROWS = 32, 64, 200_000
 
 
 def _keyed(df: DataFrame, keys_of, setup) -> DataFrame:
@@ -39,13 +42,16 @@ def _best(hits: DataFrame, top_n: int) -> DataFrame:
     return ranked(once, top_n)
 
 
-def lsh_neighbours(queries: DataFrame, items: DataFrame, top_n: int, tables: int = 8, planes: int = 4,
+def lsh_neighbours(queries: DataFrame, items: DataFrame, top_n: int, tables: int = 48, planes: int | None = None,
                    seed: int = 7, **layout) -> DataFrame:
     """Signed random projections: ``tables`` keys of ``planes`` bits each.
 
-    A bucket of any size is split into blocks by the join, and only top-n rows leave it.
+    Planes follow from the item count, so that buckets keep their size as the table grows. A bucket of any size is
+    split into blocks by the join, and only top-n rows leave it.
     """
     dim = items.select(F.size("vec")).first()
+    if planes is None:
+        planes = max(1, math.ceil(math.log2(max(items.count(), 2) / BUCKET_ROWS)))
     if dim is None:
         return search(queries, items, top_n=top_n, skip="id").select("query_id", "item_id", "dist", "rank")
     normals = np.random.default_rng(seed).normal(size=(dim[0], tables * planes))
@@ -62,19 +68,28 @@ def lsh_neighbours(queries: DataFrame, items: DataFrame, top_n: int, tables: int
 
 
 def train_cells(items: DataFrame, cells: int | None = None, seed: int = 7) -> np.ndarray:
-    """Coarse centroids of the item table (at most MAX_CELLS of them)."""
+    """Coarse centroids: about the square root of the item count, so cells and items per cell grow alike.
+
+    They are trained on a sample of at most about TRAIN_ROWS items; every item is put into a cell.
+    """
+    total = items.count()
     if cells is None:
-        cells = max(1, min(MAX_CELLS, int(items.count() ** 0.5) // 2))
+        cells = max(1, min(math.ceil(total / CELL_ROWS), math.ceil(total**0.5)))
     data = items.select(array_to_vector(vectors.doubles(F.col("vec"))).alias("features"))
+    if total > TRAIN_ROWS:
+        data = data.sample(TRAIN_ROWS / total, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(data)
     return np.array(model.clusterCenters())
 
 
 def cell_neighbours(queries: DataFrame, items: DataFrame, top_n: int, centres: np.ndarray | None = None,
-                    probes: int = 4, **layout) -> DataFrame:
-    """Inverted file: an item lies in its nearest cell, a query probes its ``probes`` nearest."""
+                    probes: int | None = None, **layout) -> DataFrame:
+    """Inverted file: an item lies in its nearest cell, a query probes its ``probes`` nearest (by default a
+    number that grows with the square root of the cells)."""
     if centres is None:
         centres = train_cells(items)
+    if probes is None:
+        probes = min(len(centres), 8 + math.isqrt(len(centres)))
 
     def cells_of(count: int):
         def keys_of(mat: np.ndarray, c: np.ndarray) -> list[list[str]]:

@@ -14,8 +14,8 @@ from simloom.session import cut
 
 RADIUS_STEPS = tuple(round(0.1 * i, 1) for i in range(1, 10))
 TOP_N_STEPS = (1, 3, 5, 10, 20, 40)
-RESOLUTION = 4
-"""Decimals kept of a distance in pair counts: bounds a histogram to 10^4 bins."""
+RESOLUTION = 6
+"""Decimals kept of a distance in pair counts, as in searches: bounds a histogram of distances under 1 to 10^6 bins."""
 
 
 def recall(match: Column, given: Column) -> Column:

@@ -63,9 +63,12 @@ def set_distance(pairs: DataFrame, rows: DataFrame, scale: float = 1.0,
     )
 
 
-def crosscheck(hits: DataFrame) -> DataFrame:
-    """Keep a pair only if each side is in the other's list."""
-    swapped = hits.select(F.col("item_id").alias("query_id"), F.col("query_id").alias("item_id"))
+def crosscheck(hits: DataFrame, back: DataFrame | None = None) -> DataFrame:
+    """Keep a pair only if each side is in the other's list.
+
+    ``back`` holds the lists of the other set (its query_id are items of ``hits``); without it, both are one set.
+    """
+    swapped = (hits if back is None else back).select(F.col("item_id").alias("query_id"), F.col("query_id").alias("item_id"))
     return hits.join(swapped, ["query_id", "item_id"], "left_semi")
 
 

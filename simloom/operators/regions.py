@@ -125,8 +125,18 @@ def assign_ids(regions: DataFrame, base: str, has_id: str = "region_id") -> Data
 
 
 def clip_regions(regions: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Clip to the boundary (img, bw, bh) and drop what lies outside."""
+    """Clip to the boundary (img, bw, bh) and drop what lies outside.
+
+    Regions with a column ``subs`` first grow over their children; afterwards the children are cropped to them.
+    """
     frame = rects.rect(F.lit(0), F.lit(0), F.col("bw"), F.col("bh"))
+    if "subs" in regions.columns:
+        grown = regions.join(bounds, "img").withColumn("_g", rects.enclose(F.col("r"), F.col("subs")))
+        # Children are relative to their parent's corner, which moves with each step.
+        clipped = grown.withColumn("_c", rects.intersect(F.col("_g"), frame)).filter(F.col("_c.w") > 0)
+        moved = F.transform("subs", lambda s: s.withField("x", s["x"] + F.col("r.x") - F.col("_c.x")).withField(
+            "y", s["y"] + F.col("r.y") - F.col("_c.y")))
+        return clipped.withColumn("subs", rects.crop_subs(F.col("_c"), moved)).withColumn("r", F.col("_c")).select(*regions.columns)
     return (
         regions.join(bounds, "img")
         .withColumn("r", rects.intersect(F.col("r"), frame))
@@ -157,9 +167,10 @@ def primary_region(ordered: DataFrame, kinds: tuple[str, ...] = ("f", "p")) -> D
     )
 
 
-def prime_region(ordered: DataFrame, points: DataFrame) -> DataFrame:
-    """Regions containing the image's point (img, px, py) move to the front."""
-    inside = F.coalesce(rects.contains_point(F.col("r"), F.col("px"), F.col("py")), F.lit(False))
+def prime_region(ordered: DataFrame, points: DataFrame, kinds: tuple[str, ...] = ("f", "p", "u")) -> DataFrame:
+    """Regions of the face kinds that contain the image's point (img, px, py) move to the front."""
+    at = F.col("kind").isin(*kinds) & rects.contains_point(F.col("r"), F.col("px"), F.col("py"))
+    inside = F.coalesce(at, F.lit(False))
     moved = ordered.join(points, "img", "left").withColumn("_o", F.when(inside, 0).otherwise(1))
     return numbered(moved.drop("px", "py"), ["img"], ["_o", "rank"], "new_rank").drop("_o")
 
@@ -222,17 +233,26 @@ def _slabs(regions: DataFrame, reach: Column) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame, mode: str = "avg", tol: float = rects.MATCH_TOLERANCE,
-                  min_dim: int = rects.MIN_DIMENSION, min_aspect: float = 0.5) -> DataFrame:
+                  min_dim: int = rects.MIN_DIMENSION, min_aspect: float = 0.5, meet: bool = False) -> DataFrame:
     """Merge overlapping regions of each image, added one by one in id order.
 
+    Kind "s" is of any shape; an optional column ``ear`` marks profiles that show an ear and so win over faces. With
+    ``meet``, regions come in lists (column ``line``) that are intersected: those of a list after the first stay out unless
+    they merge with a region that is there.
+
     The outcome depends on that order, so the merging itself runs on one group per *independent
     part* of an image: parts whose regions, with the slack of the swallow test, cannot meet.
     Output: img, rid (of the last region merged in), kind, r, n (regions merged into it).
     """
     tall, wide = F.col("r.h"), F.col("r.w")
     fit = regions.filter(
-        (F.greatest(tall, wide) >= min_dim) & (F.least(wide / tall, tall / wide) >= min_aspect)
-    )
+        (F.greatest(tall, wide) >= min_dim) & ((F.col("kind") == "s") | (F.least(wide / tall, tall / wide) >= min_aspect))
+    ).withColumn("_ear", F.coalesce(F.col("ear"), F.lit(False)) if "ear" in regions.columns else F.lit(False))
+    if meet:
+        opened = fit.groupBy("img").agg(F.min("line").alias("_line"))
+        fit = fit.join(opened, "img").withColumn("_must", F.col("line") > F.col("_line")).drop("_line")
+    else:
+        fit = fit.withColumn("_must", F.lit(False))
     big = fit.groupBy("img").count().filter(F.col("count") > PART_ROWS).select("img")
     if big.isEmpty():
         parts = fit.withColumn("_slab", F.lit(""))
@@ -247,7 +267,7 @@ def merge_regions(regions: DataFrame, mode: str = "avg", tol: float = rects.MATC
         cut_up = _slabs(ready.drop("_m", "_e"), F.col("_k")).drop("_k")
         parts = fit.join(big, "img", "left_anti").withColumn("_slab", F.lit("")).unionByName(cut_up)
     rows = (
-        parts.select("img", "_slab", "rid", "kind", *[F.col(f"r.{k}").cast("int").alias(k) for k in "xywh"])
+        parts.select("img", "_slab", "rid", "kind", *[F.col(f"r.{k}").cast("int").alias(k) for k in "xywh"], "_ear", "_must")
         .repartition("img", "_slab")
         .sortWithinPartitions("img", "_slab", "rid")
     )

@@ -39,11 +39,13 @@ MODELS = Registry("model")
 
 
 def register_metric(name: str, expr: Callable[[Column, Column], Column],
-                    block: Callable[..., Any] | None = None, triangle: bool = False, replace: bool = False) -> None:
-    """A distance as a column expression and, for block joins, as a NumPy kernel over two matrices.
+                    block: Callable[..., Any], triangle: bool = False, replace: bool = False) -> None:
+    """A distance as a column expression and as a NumPy kernel over two matrices, which searches use.
 
     ``triangle`` says that the triangle inequality holds, which lets joins skip far cells.
     """
+    if not callable(block):
+        raise ValueError(f"metric {name!r} needs a block kernel: searches compare blocks of rows")
     METRICS.add(name, similarity.Metric(name, expr, block, triangle), replace)
 
 

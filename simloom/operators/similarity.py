@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,12 +127,13 @@ def _flat(col: pa.Array) -> np.ndarray:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    values = col.flatten().to_numpy(zero_copy_only=False)
     if len(col) == 0:
         return np.empty((0, 1))
-    if len(values) % len(col):
+    lengths = pc.list_value_length(col)
+    width = lengths[0].as_py()
+    if pc.any(pc.not_equal(lengths, width)).as_py():
         raise ValueError("vectors of one search must have one length")
-    return values.reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
 def _groups(by: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
@@ -145,6 +147,8 @@ def _groups(by: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def _tiles(fn: BlockFn, q: Block, x: Block) -> Iterator[list[np.ndarray]]:
+    if len(q.ids) and len(x.ids) and q.mat.shape[1] != x.mat.shape[1]:
+        raise ValueError(f"queries have {q.mat.shape[1]} values and items {x.mat.shape[1]}")
     step = max(1, TILE_CELLS // max(1, len(q.ids)))
     for s in range(0, len(x.ids), step):
         yield fn(q, x.rows(slice(s, s + step)))
@@ -161,11 +165,14 @@ def _emit(cols: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _prepare(df: DataFrame, key: str) -> DataFrame:
-    """Uniform columns (id, by, tag, vec); rows without a vector have no neighbours."""
+    """Uniform columns (id, by, tag, vec); rows without a vector have no neighbours.
+
+    A NULL ``by`` is a group of its own, named by the empty text.
+    """
     cols = df.columns
     return df.select(
         F.col(key).alias("id"),
-        (F.col("by") if "by" in cols else F.lit("")).cast("string").alias("by"),
+        F.coalesce((F.col("by") if "by" in cols else F.lit("")).cast("string"), F.lit("")).alias("by"),
         (F.col("tag") if "tag" in cols else F.lit(0)).cast("bigint").alias("tag"),
         vectors.doubles(F.col("vec")).alias("vec"),
     ).filter(F.size("vec") > 0)

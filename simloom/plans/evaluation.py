@@ -92,12 +92,12 @@ def eval_prf(spark, sf):
 _PAIRS = (
     E + ", p AS (SELECT a.id AS qid, b.id AS iid, a.label = b.label AS same, list_distance(a.v, b.v) AS d FROM e a, e b WHERE a.id <> b.id), "
     "gv AS (SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS given FROM (SELECT count(*) AS n FROM e GROUP BY label)), "
-    f"b AS (SELECT CAST(round(round({unit('d')}, 4) * 10000) AS BIGINT) AS bin, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, sum(CASE WHEN same THEN 0 ELSE 1 END) AS other FROM p GROUP BY ALL), "
+    f"b AS (SELECT CAST(round(round({unit('d')}, 6) * 1000000) AS BIGINT) AS bin, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, sum(CASE WHEN same THEN 0 ELSE 1 END) AS other FROM p GROUP BY ALL), "
     "k AS (SELECT qid, same, row_number() OVER (PARTITION BY qid ORDER BY round(d, 6), iid) AS r FROM p QUALIFY r <= 40)"
 )
 _SWEEP = (
     _PAIRS + ", sw AS (SELECT t, coalesce(sum(same), 0) AS match, coalesce(sum(same + other), 0) AS found FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS t) x "
-    "LEFT JOIN b ON b.bin <= round(t * 10000) GROUP BY t UNION ALL "
+    "LEFT JOIN b ON b.bin <= round(t * 1000000) GROUP BY t UNION ALL "
     "SELECT t, sum(CASE WHEN same THEN 1 ELSE 0 END), count(*) FROM (SELECT unnest([1, 3, 5, 10, 20, 40])::DOUBLE AS t) x JOIN k ON r <= t GROUP BY t)"
 )
 
@@ -211,9 +211,9 @@ _RANKS = (
     "rs AS (SELECT r, sum(same) OVER (ORDER BY r) AS match, sum(n) OVER (ORDER BY r) AS found FROM rk), "
     "rf AS (SELECT r, " + prf_sql("match", "found", "given") + " FROM rs, gv), "
     "bs AS (SELECT bin, sum(same) OVER (ORDER BY bin) AS match, sum(same + other) OVER (ORDER BY bin) AS found FROM b), "
-    "bf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM bs, gv WHERE bin < 10000), "
+    "bf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM bs, gv WHERE bin < 1000000), "
     "tn AS (SELECT CAST(r AS DOUBLE) AS t, f FROM rf ORDER BY f DESC, r DESC LIMIT 1), "
-    "tr AS (SELECT round(bin / 10000.0, 6)::DOUBLE AS t, f FROM bf ORDER BY f DESC, bin DESC LIMIT 1)"
+    "tr AS (SELECT round(bin / 1000000.0, 6)::DOUBLE AS t, f FROM bf ORDER BY f DESC, bin DESC LIMIT 1)"
 )
 
 
@@ -233,10 +233,10 @@ def tune_either(spark, sf):
 
 
 @query("tune_scale",
-       f"WITH {_PAIRS}, c AS (SELECT CAST(round(round(d, 4) * 10000) AS BIGINT) AS bin, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, count(*) AS n FROM p GROUP BY ALL), "
+       f"WITH {_PAIRS}, c AS (SELECT CAST(round(round(d, 6) * 1000000) AS BIGINT) AS bin, sum(CASE WHEN same THEN 1 ELSE 0 END) AS same, count(*) AS n FROM p GROUP BY ALL), "
        "cs AS (SELECT bin, sum(same) OVER (ORDER BY bin) AS match, sum(n) OVER (ORDER BY bin) AS found FROM c), "
        "cf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM cs, gv WHERE bin > 0), "
-       "o AS (SELECT bin, f FROM cf ORDER BY f DESC, bin DESC LIMIT 1) SELECT round(2 / pi() * tan(pi() / 2 * 0.5) * 10000 / bin, 6) AS scale, f FROM o")
+       "o AS (SELECT bin, f FROM cf ORDER BY f DESC, bin DESC LIMIT 1) SELECT round(2 / pi() * tan(pi() / 2 * 0.5) * 1000000 / bin, 6) AS scale, f FROM o")
 def tune_scale(spark, sf):
     return tune.tune_scale(items(spark, sf), t=0.5)
 
@@ -249,7 +249,7 @@ _LOGS = ", ".join(f"ln({unit(f'list_distance(a.v[{16 * i + 1}:{16 * i + 16}], b.
        "w AS (SELECT row_number() OVER (ORDER BY a, b, c, d) - 1 AS candidate, a, b, c, d FROM (SELECT unnest([0.3, 0.9])::DOUBLE AS a), "
        "(SELECT unnest([0.3, 0.9])::DOUBLE AS b), (SELECT unnest([0.3, 0.9])::DOUBLE AS c), (SELECT unnest([0.3, 0.9])::DOUBLE AS d)), "
        "gv AS (SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS given FROM (SELECT count(*) AS n FROM e GROUP BY label)), "
-       f"s AS (SELECT candidate, sum(CASE WHEN same THEN 1 ELSE 0 END) AS match, count(*) AS found FROM p, w WHERE round({unit('1.6473 * exp(a * l0 + b * l1 + c * l2 + d * l3)')}, 4) <= 0.6 GROUP BY ALL), "
+       f"s AS (SELECT candidate, sum(CASE WHEN same THEN 1 ELSE 0 END) AS match, count(*) AS found FROM p, w WHERE round({unit('1.6473 * exp(a * l0 + b * l1 + c * l2 + d * l3)')}, 6) <= 0.6 GROUP BY ALL), "
        "z AS (SELECT w.candidate, coalesce(match, 0) AS match, coalesce(found, 0) AS found FROM w LEFT JOIN s USING (candidate)) "
        "SELECT candidate, CAST(match AS BIGINT) AS match, CAST(found AS BIGINT) AS found, " + prf_sql("match", "found", "given") + " FROM z, gv")
 def tune_weights(spark, sf):

@@ -66,7 +66,7 @@ def register_predicate(spark, sf):
 
 @query("register_objective",
        f"WITH {_PAIRS}, bs AS (SELECT bin, sum(same) OVER (ORDER BY bin) AS match, sum(same + other) OVER (ORDER BY bin) AS found FROM b), "
-       "bf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM bs, gv) SELECT round(bin / 10000.0, 6)::DOUBLE AS t, recall AS best FROM bf WHERE precision >= 0.095 ORDER BY recall DESC, bin DESC LIMIT 1")
+       "bf AS (SELECT bin, " + prf_sql("match", "found", "given") + " FROM bs, gv) SELECT round(bin / 1000000.0, 6)::DOUBLE AS t, recall AS best FROM bf WHERE precision >= 0.095 ORDER BY recall DESC, bin DESC LIMIT 1")
 def register_objective(spark, sf):
     registry.register_objective(
         "recall_at_precision", lambda sweep: sweep.filter("precision >= 0.095").withColumn("f", F.col("recall")), replace=True

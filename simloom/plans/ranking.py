@@ -109,7 +109,7 @@ def primary_region(spark, sf):
 
 @query("prime_region",
        f"WITH {BOXES}, {_CENTRAL}, p AS (SELECT o_orderkey AS img, o_orderkey % 200 AS px, o_custkey % 100 AS py FROM orders) "
-       "SELECT o.img, rid, row_number() OVER (PARTITION BY o.img ORDER BY CASE WHEN px >= x AND px < x + w AND py >= y AND py < y + h THEN 0 ELSE 1 END, rank) AS new_rank "
+       "SELECT o.img, rid, row_number() OVER (PARTITION BY o.img ORDER BY CASE WHEN kind IN ('f', 'p', 'u') AND px >= x AND px < x + w AND py >= y AND py < y + h THEN 0 ELSE 1 END, rank) AS new_rank "
        "FROM o LEFT JOIN p ON o.img = p.img")
 def prime_region(spark, sf):
     points = table(spark, sf, "orders").select(

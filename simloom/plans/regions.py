@@ -20,8 +20,9 @@ FACES = (
 )
 
 
-def merged(spark, sf, mode):
-    out = regions.merge_regions(boxes(spark, sf), mode)
+def merged(spark, sf, mode="avg", **how):
+    listed = boxes(spark, sf).withColumn("line", F.expr("rid div 1000000000000000"))
+    out = regions.merge_regions(listed, mode, **how)
     return out.select("img", "rid", "kind", *[F.col(f"r.{k}").cast("bigint").alias(k) for k in "xywh"], F.col("n").cast("bigint").alias("n"))
 
 
@@ -36,13 +37,14 @@ def merge_regions(spark, sf):
 
 @query("union_regions")
 def union_regions(spark, sf):
-    return merged(spark, sf, "max")
+    """Lists of one image in line order: every region is added to what is there."""
+    return merged(spark, sf)
 
 
 @query("intersect_regions")
 def intersect_regions(spark, sf):
-    # Only regions that met another one stay.
-    return merged(spark, sf, "min").filter("n > 1")
+    """Lists of one image in line order: those after the first only add what meets a region that is there."""
+    return merged(spark, sf, meet=True)
 
 
 @query("last_regions",

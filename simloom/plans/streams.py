@@ -38,10 +38,10 @@ def log(spark, sf):
 
 
 @query("stream_ingest",
-       "SELECT user_id AS item_id, event_id AS seq, value FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+       "SELECT item_id, seq, value FROM (SELECT user_id AS item_id, event_id AS seq, value, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'")
 def stream_ingest(spark, sf):
     store = LogTable(spark, scratch_path(spark, "live"))
-    rows = log(spark, sf).filter("op <> 'r'").select("item_id", "seq", "value", F.lit(False).alias("deleted"))
+    rows = log(spark, sf).select("item_id", "seq", "value", (F.col("op") == "r").alias("deleted"))
     feed(spark, rows, "seq", 3, lambda s, c: live.ingest(s, store, c))
     store.compact()
     return store.read().select("item_id", "seq", "value")

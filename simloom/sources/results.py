@@ -25,25 +25,38 @@ def result_lines(hits: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def _listed(hits: DataFrame, top_n: int, entry: Column) -> DataFrame:
-    """Entries of each query in rank order; the bound keeps a query's list small."""
-    few = hits.filter(F.col("rank") <= top_n)
-    return few.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("es"))
+#: Entries of one document: a longer ranking goes on in numbered parts.
+PART_ENTRIES = 10_000
 
 
-def results_text(hits: DataFrame, top_n: int) -> DataFrame:
-    """One text document per query with at most ``top_n`` lines."""
+def _listed(hits: DataFrame, top_n: int | None, entry: Column, *keys: str) -> DataFrame:
+    """Entries of each query in rank order, in parts of bounded length (``part`` from 0)."""
+    few = hits if top_n is None else hits.filter(F.col("rank") <= top_n)
+    part = F.expr(f"(rank - 1) div {PART_ENTRIES}").alias("part")
+    return few.select(*keys, part, F.struct("rank", entry.alias("e")).alias("_e")).groupBy(*keys, "part").agg(
+        F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["e"]).alias("es"))
+
+
+def _documents(docs: DataFrame, top_n: int | None, *cols: str) -> DataFrame:
+    """A ranking that a limit keeps in one part has no part number."""
+    return docs.select(*cols) if top_n is not None and top_n <= PART_ENTRIES else docs.select(*cols, "part")
+
+
+def results_text(hits: DataFrame, top_n: int | None = None) -> DataFrame:
+    """One text document per query and part: whole rankings, or their ``top_n``. The head counts all of the query's lines."""
     line = F.concat_ws("\t", _score(F.col("dist")), F.col("item_id").cast("string"))
-    lines = F.array_join(F.transform("es", lambda e: e["e"]), "\n")
-    head = F.concat(F.col("query_id").cast("string"), F.lit(" found "), F.size("es").cast("string"), F.lit("\n"))
-    return _listed(hits, top_n, line).select("query_id", F.concat(head, lines).alias("doc"))
+    few = hits if top_n is None else hits.filter(F.col("rank") <= top_n)
+    counts = few.groupBy("query_id").agg(F.count("*").alias("n"))
+    head = F.concat(F.col("query_id").cast("string"), F.lit(" found "), F.col("n").cast("string"), F.lit("\n"))
+    docs = _listed(hits, top_n, line, "query_id").join(counts, "query_id").withColumn("doc", F.concat(head, F.array_join("es", "\n")))
+    return _documents(docs, top_n, "query_id", "doc")
 
 
-def results_nested(hits: DataFrame, top_n: int) -> DataFrame:
-    """One JSON document per query: query -> results [{score, RegID}]."""
+def results_nested(hits: DataFrame, top_n: int | None = None) -> DataFrame:
+    """One JSON document per query and part: query -> results [{score, RegID}]."""
     entry = F.struct(F.col("dist").alias("score"), F.col("item_id").cast("string").alias("RegID"))
-    doc = F.struct(F.col("query_id").cast("string").alias("query"), F.transform("es", lambda e: e["e"]).alias("results"))
-    return _listed(hits, top_n, entry).select("query_id", F.to_json(doc).alias("doc"))
+    doc = F.struct(F.col("query_id").cast("string").alias("query"), F.col("es").alias("results"))
+    return _documents(_listed(hits, top_n, entry, "query_id").withColumn("doc", F.to_json(doc)), top_n, "query_id", "doc")
 
 
 def parse_results_text(docs: DataFrame, key: str, text: str = "doc") -> DataFrame:
@@ -79,16 +92,13 @@ def parse_service_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     )
 
 
-def results_by_collection(hits: DataFrame, top_n: int) -> DataFrame:
-    """One JSON document per query over its collections: [{eventid, result, matches}]."""
-    few = hits.filter(F.col("rank") <= top_n)
+def results_by_collection(hits: DataFrame, top_n: int | None = None) -> DataFrame:
+    """One JSON document per query and part over its collections: [{eventid, result, matches}].
+
+    A document holds the same part of every collection's ranking.
+    """
     line = F.concat_ws("\t", _score(F.col("dist")), F.col("item_id").cast("string"))
-    each = few.groupBy("query_id", "event_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", line.alias("e")))).alias("es")
-    )
-    entry = F.struct(
-        F.col("event_id").alias("eventid"),
-        F.array_join(F.transform("es", lambda e: e["e"]), "\n").alias("result"),
-        F.size("es").alias("matches"),
-    )
-    return each.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(entry)), {"pretty": "true"}).alias("doc"))
+    each = _listed(hits, top_n, line, "query_id", "event_id")
+    entry = F.struct(F.col("event_id").alias("eventid"), F.array_join("es", "\n").alias("result"), F.size("es").alias("matches"))
+    docs = each.groupBy("query_id", "part").agg(F.to_json(F.array_sort(F.collect_list(entry)), {"pretty": "true"}).alias("doc"))
+    return _documents(docs, top_n, "query_id", "doc")

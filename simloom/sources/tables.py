@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tables of a listing that one scan reads, and items of one bucket of payloads, about.
+NAMES_A_SCAN, BUCKET_ITEMS = 1000, 100_000
+
 ITEM_SCHEMA = T.StructType(
     [
         T.StructField("item_id", T.LongType()),
@@ -55,12 +61,17 @@ def load_items(spark: SparkSession, *paths: str, schema: T.StructType | None = N
 
 
 def load_listed(spark: SparkSession, listing: str) -> DataFrame:
-    """Item tables named one per line in a text file; comments and blanks skipped."""
+    """Item tables named one per line in a text file; comments and blanks skipped.
+
+    Names come to the driver a partition at a time, as a scan needs them there, and each ``NAMES_A_SCAN`` of them
+    become one scan.
+    """
     lines = spark.read.text(listing).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    names = [r[0].strip() for r in lines.limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("more than 10000 tables in one list: partition a table instead")
-    return load_items(spark, *names)
+    names = (r[0].strip() for r in lines.toLocalIterator())
+    scans = []
+    while group := list(itertools.islice(names, NAMES_A_SCAN)):
+        scans.append(load_items(spark, *group))
+    return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], ITEM_SCHEMA)
 
 
 def clear_partition(spark: SparkSession, path: str, values: dict) -> None:
@@ -70,15 +81,17 @@ def clear_partition(spark: SparkSession, path: str, values: dict) -> None:
     fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
 
 
-def save_per_item(items: DataFrame, path: str, weights: dict[str, float], buckets: int = 64) -> None:
+def save_per_item(items: DataFrame, path: str, weights: dict[str, float], buckets: int | None = None) -> None:
     """Manifest and payloads kept per item: (item_id, file) beside one folder of payloads per bucket.
 
     One file per item does not last at scale; a bucket of the id's hash stands for it, and the
-    manifest names the bucket an item's payload is in.
+    manifest names the bucket an item's payload is in. Buckets grow with the items unless their number is given.
     """
     spark = items.sparkSession
+    if buckets is None:
+        buckets = max(1, -(-items.count() // BUCKET_ITEMS))
     placed = items.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int"))
-    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path + "/payload")
+    placed.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path + "/payload")
     placed.select("item_id", F.concat(F.lit("bucket="), F.col("bucket")).alias("file")).write.mode(
         "overwrite").parquet(path + "/manifest")
     spark.createDataFrame(list(weights.items()), "dtype string, weight double").write.mode(

@@ -14,12 +14,19 @@ def _plain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_list(spark: SparkSession, path: str, keep_comments: bool = False, top: int | None = None) -> DataFrame:
-    """Lines of an annotated list: (file, line), blanks and (unless kept) comments skipped."""
-    lines = _plain(spark, path).filter(F.col("line") != "")
+    """Lines of an annotated list: (file, line), blanks and (unless kept) comments skipped.
+
+    ``top`` takes the first lines in file order: by path, split and place in the split.
+    """
+    raw = spark.read.text(path).select(
+        F.btrim("value", F.lit(" \t\r\n")).alias("line"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    lines = raw.filter(F.col("line") != "")
     if not keep_comments:
         lines = lines.filter(~F.col("line").startswith("#"))
-    out = lines.select(F.substring_index("line", "\t", 1).alias("file"), "line")
-    return out if top is None else out.limit(top)
+    if top is not None:
+        lines = lines.orderBy("_path", "_start", "_at").limit(top)
+    return lines.select(F.substring_index("line", "\t", 1).alias("file"), "line")
 
 
 def _box(text: Column) -> Column:
