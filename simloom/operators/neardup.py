@@ -7,7 +7,10 @@ whose agreement by position measures likeness.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from simloom.functions.scalars import rounded, unit01
 from simloom.session import cut
 
 TEXT_SCALE = 0.27
-GROUP_ROWS = 256
-MAX_DEPTH = 2
+#: Rows of a band that are compared with each other at once.
+GROUP_ROWS = 512
 
 
 def sketched(texts: DataFrame, *keys: str, text: str = "text", positions: int = 16) -> DataFrame:
@@ -52,91 +55,85 @@ def _bands(positions: list[int], misses: int) -> list[list[int]]:
     return [positions[i::n] for i in range(n)]
 
 
-def _band_keys(sketch: Column, bands: list[list[int]]) -> Column:
-    return F.array(
-        *[
-            F.concat_ws("|", F.lit(str(i)), *[sketch[p] for p in band])
-            for i, band in enumerate(bands)
-        ]
-    )
-
-
 ASKS, ANSWERS = 1, 2
 
 
-def _members() -> Column:
-    return F.collect_list(F.struct("seq", "sketch", "role")).alias("members")
-
-
-def _closest(rows: Column, others: Column, least: int) -> Column:
-    """For each asking row, its best earlier answer: struct(agree, -seq); far ones are left out."""
-    rows = F.filter(rows, lambda r: r["role"].bitwiseAND(ASKS) > 0)
-    others = F.filter(others, lambda o: o["role"].bitwiseAND(ANSWERS) > 0)
-
-    def best(row: Column) -> Column:
-        earlier = F.filter(others, lambda o: o["seq"] < row["seq"])
-        scored = F.transform(
-            earlier,
-            lambda o: F.struct(
-                vectors.agreement(row["sketch"], o["sketch"]).alias("agree"), (-o["seq"]).alias("back")
-            ),
-        )
-        return F.struct(
-            row["seq"].alias("seq"),
-            F.array_max(F.filter(scored, lambda s: s["agree"] >= least)).alias("best"),
-        )
-
-    return F.filter(F.transform(rows, best), lambda r: r["best"].isNotNull())
+def _key(sketch: Column, *at: tuple[int, list[int]]) -> Column:
+    """Hash of the values on one band, or on a band and one of the bands of the positions left."""
+    return F.xxhash64(*[c for i, band in at for c in (F.lit(i), *[sketch[p] for p in band])])
 
 
-def _unfold(df: DataFrame, found: Column) -> DataFrame:
-    return df.select(F.explode(found).alias("f")).select("f.seq", "f.best")
+def _meetings(rows: DataFrame, positions: int, misses: int, group_rows: int) -> DataFrame:
+    """``rows`` (seq, sketch, role) once per tile in which they meet others: (key, tile, seq, sketch, role).
 
-
-def _candidates(rows: DataFrame, left: list[int], misses: int, least: int, depth: int, group_rows: int
-                ) -> list[DataFrame]:
-    """Best earlier item per row, bucket by bucket.
-
-    ``rows`` is (bucket, seq, sketch, role): a row asks, answers or does both. Buckets of bounded size are compared whole. Larger ones are
-    banded again over the positions not yet used; what is still large after that is compared as
-    pairs of bounded blocks. Only a row's best partner leaves a bucket.
+    Rows that disagree on at most ``misses`` positions agree on a whole band. Bands that more than ``group_rows`` rows share
+    ask for a band of the other positions as well, which such rows share too. What is still large is
+    dealt to a triangle of tiles, so a tile has about two thirds of ``group_rows`` rows at most.
     """
-    bands = _bands(left, misses)
-    keyed = rows.select(
-        F.explode(_band_keys(F.col("sketch"), bands)).alias("band"), "bucket", "seq", "sketch", "role"
-    ).select(F.concat_ws("#", "bucket", "band").alias("bucket"), "seq", "sketch", "role")
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes = cut(sizes)
-    largest = sizes.agg(F.max("size")).first()[0] or 0
-    shared = keyed.join(sizes, "bucket")
-    whole = shared.filter(F.col("size") <= group_rows).groupBy("bucket").agg(_members())
-    out = [_unfold(whole, _closest(F.col("members"), F.col("members"), least))]
-    if largest <= group_rows:
-        return out
-    hot = cut(shared.filter(F.col("size") > group_rows))
-    if depth < MAX_DEPTH:
-        # A hot bucket agrees on one band; each band leaves its own positions over.
-        for i, band in enumerate(bands):
-            rest = [p for p in left if p not in band]
-            mine = hot.filter(F.element_at(F.split("bucket", "#"), -1).startswith(f"{i}|"))
-            if len(rest) > misses:
-                out += _candidates(mine.drop("size"), rest, misses, least, depth + 1, group_rows)
-            else:
-                out.append(_block_pairs(mine, least, group_rows))
-        return out
-    return [*out, _block_pairs(hot, least, group_rows)]
-
-
-def _block_pairs(hot: DataFrame, least: int, group_rows: int) -> DataFrame:
-    split = hot.withColumn("n", F.ceil(F.col("size") / group_rows).cast("int")).withColumn(
-        "part", F.pmod(F.xxhash64("seq"), F.col("n")).cast("int")
-    )
-    blocks = split.groupBy("bucket", "part", "n").agg(_members())
-    rows = blocks.select(
-        "bucket", F.col("members").alias("rows"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
-    )
-    met = rows.join(blocks, ["bucket", "part"])
-    return _unfold(met, _closest(F.col("rows"), F.col("members"), least))
+    bands = _bands(list(range(positions)), misses)
+    x = F.col("sketch")
+    deep = []
+    for i, band in enumerate(bands):
+        rest = [p for p in range(positions) if p not in band]
+        more = _bands(rest, misses) if len(rest) > misses else [rest]
+        deep.append(F.array(*[_key(x, (i, band), (100 + k, b)) for k, b in enumerate(more)]))
+    keyed = rows.select("seq", "sketch", "role", F.posexplode(F.array(*[_key(x, (i, b)) for i, b in enumerate(bands)])).alias("band", "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = keyed.join(sizes, "key")
+    deeper = F.element_at(F.array(*deep), F.col("band") + 1)
+    finer = met.filter(F.col("size") > group_rows).select("seq", "sketch", "role", F.explode(deeper).alias("key"))
+    left = finer.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    ready = met.filter(F.col("size") <= group_rows).select("key", "size", "seq", "sketch", "role").unionByName(
+        finer.join(left, "key").select("key", "size", "seq", "sketch", "role"))
+    n = F.ceil(F.col("size") * 3 / group_rows).cast("int")
+    part = F.pmod(F.xxhash64("seq", "role"), F.col("n")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.least(k, F.col("part")) * F.col("n") + F.greatest(k, F.col("part")))
+    split = ready.withColumn("n", F.when(F.col("size") <= group_rows, F.lit(1)).otherwise(n)).withColumn("part", part)
+    return split.select("key", F.explode(tiles).alias("tile"), "seq", "sketch", "role")
+
+
+def _agreeing(meetings: DataFrame, least: int, every: bool) -> DataFrame:
+    """(seq, other, agree): for each asking row its closest earlier answer in a tile, or with ``every`` all answers."""
+    dealt = meetings.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+    def tile(seqs: np.ndarray, values: np.ndarray, roles: np.ndarray):
+        q, x = np.flatnonzero(roles & ASKS), np.flatnonzero(roles & ANSWERS)
+        agree = np.zeros((len(q), len(x)), np.int16)
+        for p in range(values.shape[1]):
+            agree += values[q, p][:, None] == values[x, p][None, :]
+        if every:
+            a, b = np.nonzero(agree >= least)
+            return seqs[q[a]], seqs[x[b]], agree[a, b]
+        agree = np.where(seqs[x][None, :] < seqs[q][:, None], agree, -1)
+        order = np.argsort(seqs[x], kind="stable")  # of equal ones the earliest
+        best = order[agree[:, order].argmax(1)] if len(x) else np.zeros(len(q), int)
+        score = agree[np.arange(len(q)), best] if len(x) else np.full(len(q), -1)
+        found = score >= least
+        return seqs[q[found]], seqs[x[best[found]]], score[found]
+
+    def run(batches):
+        held = None
+        for b in chain(batches, [None]):
+            if b is not None:
+                held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if held is None or not held.num_rows:
+                continue
+            keys, tiles = held.column(0).to_numpy(), held.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
+            # The last tile may go on in the next batch.
+            done = len(keys) if b is None else starts[-1]
+            whole = held.slice(0, done)
+            held = held.slice(done) if done < len(keys) else None
+            if not done:
+                continue
+            seqs, roles = whole.column(2).to_numpy(), whole.column(4).to_numpy()
+            values = whole.column(3).flatten().to_numpy(zero_copy_only=False).reshape(done, -1)
+            out = [tile(seqs[a:z], values[a:z], roles[a:z]) for a, z in zip(starts, np.r_[starts[1:], len(keys)]) if a < done and z - a > 1]
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["seq", "other", "agree"])
+
+    return dealt.mapInArrow(run, "seq bigint, other bigint, agree bigint")
 
 
 def link(items: DataFrame, scale: float = TEXT_SCALE, threshold: float = vectors.NEARDUP_THRESHOLD,
@@ -162,18 +159,12 @@ def link(items: DataFrame, scale: float = TEXT_SCALE, threshold: float = vectors
 
 
 def _best_links(rows: DataFrame, scale: float, least: int, positions: int, group_rows: int) -> DataFrame:
-    start = rows.select(F.lit("").alias("bucket"), "seq", "sketch", "role")
-    found = _candidates(start, list(range(positions)), positions - least, least, 0, group_rows)
-    best = found[0]
-    for part in found[1:]:
-        best = best.unionByName(part)
+    met = _meetings(rows.select("seq", "sketch", "role"), positions, positions - least, group_rows)
+    best = F.max(F.struct("agree", (-F.col("other")).alias("back"))).alias("b")
     agree = F.col("b.agree")
     d = F.when(agree == positions, 0.0).otherwise(unit01(F.lit(-scale) * agree))
-    return (
-        best.groupBy("seq")
-        .agg(F.max("best").alias("b"))
-        .select("seq", (-F.col("b.back")).alias("parent"), rounded(d).alias("dist"))
-    )
+    return _agreeing(met, least, False).groupBy("seq").agg(best).select(
+        "seq", (-F.col("b.back")).alias("parent"), rounded(d).alias("dist"))
 
 
 def link_probes(probes: DataFrame, items: DataFrame, scale: float = TEXT_SCALE,
@@ -233,31 +224,24 @@ def unique(grouped: DataFrame) -> DataFrame:
 
 
 def against(queries: DataFrame, items: DataFrame, scale: float = TEXT_SCALE,
-            threshold: float = vectors.NEARDUP_THRESHOLD, positions: int = 16) -> DataFrame:
+            threshold: float = vectors.NEARDUP_THRESHOLD, positions: int = 16, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(query_id, item_id, dist) of all items near each query, through shared bands.
 
-    Any pair under the threshold agrees on a whole band, so nothing is missed; a band shared by
-    both sides is verified pair by pair. Queries with one sketch meet the items once.
+    Any pair under the threshold agrees on a whole band, so nothing is missed; bands that many rows share are
+    split as in ``link``. Queries with one sketch meet the items once.
     """
     least = min_agreement(scale, threshold, positions)
-    bands = _bands(list(range(positions)), positions - least)
     queries, items = cut(queries.select("query_id", "sketch")), cut(items.select("item_id", "sketch"))
-    q_sketch = queries.groupBy("sketch").agg(F.min("query_id").alias("_q"))
-    x_sketch = items.groupBy("sketch").agg(F.min("item_id").alias("_x"))
-    key = F.explode(_band_keys(F.col("sketch"), bands)).alias("band")
-    a = q_sketch.select(key, F.col("sketch").alias("q_sketch"))
-    b = x_sketch.select(key, F.col("sketch").alias("x_sketch"))
-    agree = vectors.agreement(F.col("q_sketch"), F.col("x_sketch"))
-    near = (
-        a.join(b, "band")
-        .select("q_sketch", "x_sketch", agree.alias("agree"))
-        .filter(F.col("agree") >= least)
-        .distinct()
-    )
+    asks = queries.groupBy("sketch").agg(F.min("query_id").alias("seq")).withColumn("role", F.lit(ASKS))
+    answers = items.groupBy("sketch").agg(F.min("item_id").alias("seq")).withColumn("role", F.lit(ANSWERS))
+    met = _meetings(asks.unionByName(answers).select("seq", "sketch", "role"), positions, positions - least, group_rows)
+    near = _agreeing(met, least, True).distinct()
     d = F.when(F.col("agree") == positions, 0.0).otherwise(unit01(F.lit(-scale) * F.col("agree")))
     return (
-        near.join(queries.select("query_id", F.col("sketch").alias("q_sketch")), "q_sketch")
-        .join(items.select("item_id", F.col("sketch").alias("x_sketch")), "x_sketch")
+        near.join(asks.select("seq", F.col("sketch").alias("_qs")), "seq")
+        .join(answers.select(F.col("seq").alias("other"), F.col("sketch").alias("_xs")), "other")
+        .join(queries.withColumnRenamed("sketch", "_qs"), "_qs")
+        .join(items.withColumnRenamed("sketch", "_xs"), "_xs")
         .select("query_id", "item_id", rounded(d).alias("dist"))
     )
 

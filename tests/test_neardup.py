@@ -106,3 +106,28 @@ def test_running_over_a_hot_key(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
     whole = running(df.filter("k is not null"), [], ["i"], n=("count", None)).collect()
     assert sorted(r.n for r in whole) == list(range(1, 501))
+
+
+def test_a_band_that_half_of_the_rows_share(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(600):
+        s = [rnd.randrange(40) for _ in range(16)]
+        if i % 2:
+            s[0::5] = [7, 7, 7, 7]
+        rows.append((i, s if i % 10 else [*rows[i - 5][1][:15], 3] if i > 10 else s))
+    want = brute(rows, rows, 12)
+    for group_rows in (512, 16):
+        got = neardup.link(table(spark, rows), group_rows=group_rows).collect()
+        assert {r.seq: r.parent for r in got} == want
+
+
+@pytest.mark.parametrize("group_rows", [512, 5])
+def test_against_matches_brute_force(spark, group_rows):
+    rows = list(enumerate(sketches(90)))
+    asks, answers = rows[:30], rows[20:]
+    q = spark.createDataFrame(asks, "query_id bigint, sketch array<bigint>")
+    x = spark.createDataFrame(answers, "item_id bigint, sketch array<bigint>")
+    want = {(a, b) for a, s in asks for b, t in answers if sum(u == v for u, v in zip(s, t)) >= 12}
+    got = neardup.against(q, x, group_rows=group_rows).collect()
+    assert {(r.query_id, r.item_id) for r in got} == want and len(got) == len(want)
