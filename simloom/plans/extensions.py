@@ -74,7 +74,7 @@ def register_objective(spark, sf):
     x = items(spark, sf)
     sweep = tune.running_prf(evaluate.pair_counts(x), "bin", evaluate.given_pairs(x))
     best = tune.best_row(registry.OBJECTIVES.get("recall_at_precision")(sweep), "bin")
-    return best.select(rounded(F.col("t") / 10_000).alias("t"), F.col("f").alias("best"))
+    return best.select(rounded(F.col("t") / 10**evaluate.RESOLUTION).alias("t"), F.col("f").alias("best"))
 
 
 @query("register_model",
