@@ -22,7 +22,7 @@ from simloom.llm.quality import bounded_sample
 
 #: Labelled documents to fit on, and features of the model, at most; words that a task remembers.
 FIT_ROWS, FEATURES, MEMO_WORDS = 20_000, 512, 300_000
-STRENGTH, LEAST_TOXIC, CHANCE = 2e-4, 4, 1e-4
+STRENGTH, LEAST_TOXIC, CHANCE = 4e-5, 4, 1e-4
 #: 0 stands between words, 1-26 are letters, 27 is any byte beyond ASCII. The model looks at four characters.
 SYMBOLS, SPAN, BLOCK = 28, 4, 4096
 
