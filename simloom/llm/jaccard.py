@@ -28,7 +28,7 @@ MAX_MATCHES = 12
 POSTINGS_PER_CHECK = 8
 #: Rounds in which every posting list is compared with one of its members only, before all pairs that are still in
 #: different groups are. They end early when there are fewer such pairs than this many per posting.
-STAR_ROUNDS, PAIRS_PER_POSTING = 6, 2
+STAR_ROUNDS, PAIRS_PER_POSTING = 6, 50
 
 
 def _sets(texts, size: int):
@@ -167,12 +167,12 @@ def _prefixes(size: int, parts: int, num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs whose sets overlap enough."""
+    """The pairs (a, b, more) whose sets overlap enough."""
     one = sets.select(F.col("sig").alias("a"), F.col("n").alias("_na"), F.col("tokens").alias("_ta"))
     two = sets.select(F.col("sig").alias("b"), F.col("n").alias("_nb"), F.col("tokens").alias("_tb"))
     both = F.size(F.array_intersect("_ta", "_tb"))
     met = pairs.join(one, "a").join(two, "b").withColumn("_both", both)
-    return met.filter(F.expr(f"{den} * _both >= {num} * (_na + _nb - _both)")).select("a", "b")
+    return met.filter(F.expr(f"{den} * _both >= {num} * (_na + _nb - _both)")).select(*pairs.columns)
 
 
 def _fits(num: int, den: int):
@@ -180,44 +180,66 @@ def _fits(num: int, den: int):
     return F.expr(f"{den} * least(m, _m) >= {num} * (n + _n - least(m, _m))")
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _outer(num: int, den: int):
+    """May sets (n, m) and (_n, _m) that share ``c`` tokens of their prefixes overlap enough?
+
+    Shared tokens behind the prefix that ends first are among the ``need - ell`` that this set has left.
+    """
+    rest = [f"(({num} * {n} + {den - 1}) div {den} - {e})" for n, e in (("n", "ell"), ("_n", "_ell"))]
+    most = f"least(m, _m, c + greatest({rest[0]}, {rest[1]}))"
+    return F.expr(f"c >= least(ell, _ell) AND {den} * {most} >= {num} * (n + _n - {most})")
+
+
+def _joined_labels(edges: DataFrame) -> DataFrame:
+    """(u, to): components (u, v) that links connect get the smallest label within two steps."""
+    both = staged(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    one = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    near = both.join(one.select(F.col("u").alias("v"), F.col("m").alias("_m")), "v").groupBy("u").agg(F.min("_m").alias("_m"))
+    return one.join(near, "u").select("u", F.least("m", "_m").alias("to"))
+
+
+def _links(sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """(a, b) edges that connect all sets which links connect."""
-    posts = staged(sets.select(F.explode("prefix").alias("token"), "sig", "n", "m", "ell").withColumn("comp", F.col("sig")), "postings")
-    heads = posts.groupBy("token").count().filter("count > 1").select("token")
-    posts = staged(posts.join(heads, "token"), "postings")
-    size = posts.count()
-    found = None
+    cols = ("sig", "n", "m", "ell", "comp")
+    every = sets.select(F.explode("prefix").alias("token"), "sig", "n", "m", "ell").withColumn("comp", F.col("sig"))
+    # A set needs a partner of a size in reach: den * i >= num * (n + _n - i) with i <= m and i <= _n.
+    heads = every.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("k > 1")
+    reach = F.expr(f"{num} * (n + lo) <= {num + den} * m AND {num} * n <= {den} * hi")
+    posts = staged(every.join(heads, "token").filter(reach).select("token", *cols), "postings")
+    size, found, before = posts.count(), None, float("inf")
     for turn in range(STAR_ROUNDS + 1):
         groups = posts.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(
             F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        open_lists = groups.filter("k * k > kk")
+        open_lists = staged(groups.filter("k * k > kk"), "open")
         left = open_lists.agg(F.sum((F.col("k").cast("double") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
         if not left:
             break
         posts = posts.join(open_lists.select("token"), "token")
-        last = turn == STAR_ROUNDS or left <= PAIRS_PER_POSTING * size
+        # The last round asks all pairs; it comes early when few are left or rounds stop helping.
+        last = turn == STAR_ROUNDS or left <= PAIRS_PER_POSTING * size or left > 0.9 * before
+        before = left
         if last:
-            other = posts.select("token", *[F.col(c).alias(f"_{c}") for c in ("sig", "n", "m", "ell", "comp")])
+            other = posts.select("token", *[F.col(c).alias(f"_{c}") for c in cols])
             met = posts.join(other, "token").filter((F.col("sig") < F.col("_sig")) & (F.col("comp") != F.col("_comp")))
         else:
-            # The middle of a group shares most of its set; later rounds ask other members.
-            rank = F.struct((-F.col("m") / F.col("n")).alias("r"), F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "m", "ell", "comp")
-            if turn % 2:
-                rank = F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), (-F.col("m") / F.col("n")).alias("r"), "sig", "n", "m", "ell", "comp")
-            leads = posts.groupBy("token").agg(F.min(rank).alias("l")).select(
-                "token", *[F.col(f"l.{c}").alias(f"_{c}") for c in ("sig", "n", "m", "ell", "comp")])
+            # The middle of a group shares most of its set; every second round asks any member.
+            first = (-F.col("m") / F.col("n")).alias("r"), F.xxhash64("sig", F.lit(turn)).alias("h")
+            rank = F.struct(*(first if turn % 2 == 0 else first[::-1]), *cols)
+            leads = posts.groupBy("token").agg(F.min(rank).alias("l")).select("token", *[F.col(f"l.{c}").alias(f"_{c}") for c in cols])
             met = posts.join(leads, "token").filter(F.col("comp") != F.col("_comp"))
-        need = F.least("ell", "_ell")
-        pairs = met.filter(_fits(num, den)).groupBy(F.col("sig").alias("a"), F.col("_sig").alias("b")).agg(
-            F.count("*").alias("c"), F.first(need).alias("need")).filter("c >= need").select("a", "b")
+        traits = [F.first(c).alias(c) for c in ("n", "m", "ell", "comp", "_n", "_m", "_ell", "_comp")]
+        pairs = met.filter(_fits(num, den)).groupBy("sig", "_sig").agg(F.count("*").alias("c"), *traits)
+        # One member per list sees only a part of what two sets share, so the bound on the overlap is for the last round.
+        pairs = pairs.filter(_outer(num, den) if last else F.expr("c >= least(ell, _ell)"))
+        pairs = pairs.select(F.col("sig").alias("a"), F.col("_sig").alias("b"), F.col("comp").alias("u"), F.col("_comp").alias("v"))
         linked = staged(_verified(pairs, sets, num, den), "links")
         found = linked if found is None else found.unionByName(linked)
         if last:
             break
-        comps = connected_components(found).select(F.col("node").alias("sig"), F.col("component").alias("_to"))
-        posts = staged(posts.join(comps, "sig", "left").select(
-            "token", "sig", "n", "m", "ell", F.coalesce("_to", "sig").alias("comp")), "postings")
-    return found
+        labels = _joined_labels(linked.select("u", "v"))
+        posts = staged(posts.join(labels, F.col("comp") == F.col("u"), "left").select(
+            "token", "sig", "n", "m", "ell", F.coalesce("to", "comp").alias("comp")), "postings")
+    return None if found is None else found.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
