@@ -28,7 +28,7 @@ from simloom.llm.hashing import mixed, word_hashes
 
 ORDER, DISCOUNT, ESCAPE, DECAY = 2, 0.75, 0.75, -0.3
 #: Tokens of one batch of documents and n-grams of one hash range, about.
-BATCH_TOKENS, PART_GRAMS = 2_000_000, 2_000_000
+BATCH_TOKENS, PART_GRAMS = 1_000_000, 1_500_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -83,7 +83,7 @@ def _send(order: int, parts: int):
                 cols[0].append(k + 1)
                 cols[1].append(int(part[a]))
                 cols[2].append(_packed(known[a:b]))
-                cols[3].append(count[a:b].astype(np.int32).tobytes())
+                cols[3].append(_planes(count[a:b]))
         n = len(cols[0])
         return pa.table({"n": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int64()),
                          "batch": pa.array([docs.column("batch")[0].as_py()] * n, pa.int64()),
@@ -94,22 +94,29 @@ def _send(order: int, parts: int):
 
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte planes apart: the high ones are mostly zero and compress away."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpacked(data) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(data), dtype=np.uint64)
 
 
-_ANSWER = "batch bigint, n int, keys binary, totals binary, distinct bigint"
+def _planes(values: np.ndarray) -> bytes:
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+_ANSWER = "batch bigint, n int, part bigint, changed binary, totals binary, distinct bigint"
 
 
 def _answer(sent: pa.Table) -> pa.Table:
-    """Totals of each batch's n-grams where they differ from its own; how many n-grams training has."""
+    """Totals of each batch's n-grams where they differ from its own, as flags in the order of its keys and the totals of
+    the flagged ones; how many n-grams training has."""
     keys = [_unpacked(x.as_buffer()) for x in sent.column("keys")]
-    counts = [np.frombuffer(x.as_buffer(), np.int32) for x in sent.column("counts")]
+    counts = [_from_planes(x.as_buffer()).astype(np.int64) for x in sent.column("counts")]
     known, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
     batches, packed, totals, at = [-1], [None], [None], 0
@@ -119,18 +126,19 @@ def _answer(sent: pa.Table) -> pa.Table:
         other = own != c
         if other.any():
             batches.append(batch)
-            packed.append(_packed(k[other]))
-            totals.append(own[other].tobytes())
+            packed.append(np.packbits(other).tobytes())
+            totals.append(_planes(own[other]))
     m = len(batches)
     return pa.table({"batch": pa.array(batches, pa.int64()), "n": pa.array([sent.column("n")[0].as_py()] * m, pa.int32()),
-                     "keys": pa.array(packed, pa.binary()), "totals": pa.array(totals, pa.binary()),
+                     "part": pa.array([sent.column("part")[0].as_py()] * m, pa.int64()),
+                     "changed": pa.array(packed, pa.binary()), "totals": pa.array(totals, pa.binary()),
                      "distinct": pa.array([int((total > 0).sum())] + [0] * (m - 1), pa.int64())})
 
 
 _SCORED = "key {0}, train boolean, n_tokens bigint, n_known bigint, base double, score double, n int, distinct bigint"
 
 
-def _score(order: int, train_tokens: int, train_docs: int, kind: pa.DataType):
+def _score(order: int, parts: int, train_tokens: int, train_docs: int, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["key", "train", "n_tokens", "n_known", "base", "score", "n", "distinct"]
         if not docs.num_rows:  # the row of a hash range: only its number of n-grams
@@ -144,8 +152,11 @@ def _score(order: int, train_tokens: int, train_docs: int, kind: pa.DataType):
         for k, (keys, inside) in enumerate(_grams(tokens, at, order)):
             known, count, back = _counted(keys, inside, train)
             mine = answers.filter(pa.compute.equal(answers.column("n"), k + 1))
-            for x, t in zip(mine.column("keys"), mine.column("totals")):
-                count[np.searchsorted(known, _unpacked(x.as_buffer()))] = np.frombuffer(t.as_buffer(), np.int64)
+            part = _parts(known, parts)
+            for p, flags, t in zip(mine.column("part").to_pylist(), mine.column("changed"), mine.column("totals")):
+                a, b = np.searchsorted(part, [p, p + 1])
+                other = np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8), count=b - a).astype(bool)
+                count[a:b][other] = _from_planes(t.as_buffer()).astype(np.int64)
             c = np.zeros(len(tokens))
             c[inside] = count[back]
             if k == 0:
@@ -201,7 +212,7 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order
     from pyspark.sql.pandas.types import to_arrow_type
 
     scored = staged(dealt.cogroup(answers.groupBy("batch")).applyInArrow(
-        _score(order, n_train, n_docs, to_arrow_type(kind)), _SCORED.format(kind.simpleString())), "scores")
+        _score(order, parts, n_train, n_docs, to_arrow_type(kind)), _SCORED.format(kind.simpleString())), "scores")
     vocabulary = scored.filter("n = 1").agg(F.sum("distinct")).first()[0] or 0
     unknown = float(np.log10(DISCOUNT * vocabulary / n_train)) if n_train else 0.0
     plus = float(np.log10(n_train + vocabulary + 1))
