@@ -11,6 +11,7 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x589965CC75374CC3))
 #: Bytes that are hashed at once; a longer text is hashed on its own.
 CHUNK = 1 << 20
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -45,17 +46,24 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
 
 
-def _chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts between the offsets, and words per text."""
-    data = lowered(raw[offsets[0]:offsets[-1]])
+def _chunk(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, marks: np.ndarray | None = None):
+    """Word hashes of the texts between the offsets, words per text, and each word's first and last byte.
+
+    With ``marks``, 256 flags, a word also ends at a letter or digit of ASCII before a marked byte.
+    """
+    data = raw[offsets[0]:offsets[-1]]
+    data = lowered(data) if lower else data
     cuts = offsets - offsets[0]
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), none, none
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = cuts[(cuts > 0) & (cuts < n)]
+    if marks is not None:
+        inner = np.union1d(inner, 1 + np.flatnonzero(_ALNUM[data[:-1]] & marks[data[1:]]))
     begins[inner] = solid[inner]
     starts = np.flatnonzero(begins)
     ends = solid.copy()
@@ -66,7 +74,7 @@ def _chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     head = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     value = (sums[stops] - head) * _power(_BACK, n)[starts]
     hashes = mixed(value ^ ((stops - starts + 1).astype(np.uint64) * _PLACES[1]))
-    return hashes, np.diff(np.searchsorted(starts, cuts))
+    return hashes, np.diff(np.searchsorted(starts, cuts)), starts + offsets[0], stops + offsets[0]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,16 +83,23 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of bytes other than white space, with A-Z in lower case; NULL has none.
     """
     raw, offsets = _buffers(texts)
-    parts, counts, at, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-        h, c = _chunk(raw, offsets[at:to + 1])
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in pieces(offsets):
+        h, c, _, _ = _chunk(raw, offsets[a:b + 1])
         parts.append(h)
         counts.append(c)
-        at = to
     return np.concatenate(parts), np.concatenate(counts)
 
 
+def pieces(offsets: np.ndarray):
+    """Runs of texts of about CHUNK bytes, as (first, behind the last)."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def grams(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words inside a text, and their number per text.
 

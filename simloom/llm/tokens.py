@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,53 +21,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.llm.columns import staged
-from simloom.llm.hashing import mixed
+from simloom.llm.hashing import _buffers, _chunk, mixed, pieces
 
 #: Text of one task and ids of one shard file, in bytes; keys of one index bucket, about; words that a task remembers.
-TASK_BYTES, SHARD_BYTES, BUCKET_KEYS, MEMO_WORDS = 16 << 20, 64 << 20, 4096, 400_000
-MAX_LEVELS = 64
+TASK_BYTES, SHARD_BYTES, BUCKET_KEYS, MEMO_WORDS = 16 << 20, 64 << 20, 4096, 800_000
+#: Punctuation that a tokenizer may part from the word before it.
+_BEHIND = ".,;:!?#$%&*|()"
+#: Encoders of this worker process, with the words that they remember.
+_encoders: dict[str, WordEncoder] = {}
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that splits at white space: every word is encoded once and remembered."""
+    """Ids of whole texts for a tokenizer that splits at white space: every word is encoded once and remembered by its hash.
+
+    If the tokenizer parts a word from the punctuation behind it, they are remembered apart, and if it lowers
+    letters, A-Z and a-z are one; both is tried out on the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.lower = one("Ab") == one("ab") and one("Éa") == one("ÉA")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        apart = all(one(f"w{a}{b}") == one("w" if a == "" else f"w{a}") + one(b) for a in ("", "o", "0") for b in (*_BEHIND, _BEHIND))
+        self.marks = np.array([apart and b < 128 and chr(b) in _BEHIND for b in range(256)])
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes: dict[int, int] = {}
         self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.pool = np.concatenate((self.pool, np.array([i for ids in found for i in ids], np.uint32)))
-
-    def __call__(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by ``end``; ids per text)."""
-        if len(self.codes) > MEMO_WORDS:
-            self.clear()
-        split = [(t or b"").split() for t in texts]  # white space of ASCII, at which the tokenizer splits too
-        new = {w for words in split for w in words}.difference(self.codes)
-        if new:
-            self._learn(list(new))
-        codes = self.codes
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((codes[w] for words in split for w in words), np.int64, int(per_text.sum()))
-        size = self.lengths[flat]
-        ends = np.cumsum(size)
-        take = np.arange(int(size.sum())) + np.repeat(self.starts[flat] - (ends - size), size)
-        ids = self.pool[take] if len(take) else np.zeros(0, np.uint32)
-        upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
-        return np.insert(ids, upto, end).astype(np.uint32), np.diff(upto, prepend=0) + 1
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))))
+        self.codes.update(zip(hashes, range(len(self.codes), len(self.codes) + len(hashes))))
+
+    def __call__(self, texts: pa.Array, end: int):
+        """Pieces of (ids of some texts in order, each text followed by ``end``; ids per text)."""
+        raw, offsets = _buffers(texts)
+        for a, b in pieces(offsets):
+            if len(self.codes) > MEMO_WORDS:
+                self.clear()
+            whole = raw[offsets[a]:offsets[b]].tobytes()
+            # Special tokens are found as they are written.
+            folds = not any(x in whole for x in self.special)
+            hashes, per_text, first, last = _chunk(raw, offsets[a:b + 1], self.lower and folds, self.marks if folds else None)
+            known, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            names = known.tolist()
+            new = [i for i, h in enumerate(names) if h not in self.codes]
+            if new:
+                at = where[new]
+                self._learn([names[i] for i in new], [raw[x:y + 1].tobytes().decode() for x, y in zip(first[at].tolist(), last[at].tolist())])
+            code = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))
+            starts, size = self.starts[code][back], self.lengths[code][back]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self.pool[np.arange(total) + np.repeat(starts - (ends - size), size)] if total else np.zeros(0, np.uint32)
+            upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
+            yield np.insert(ids, upto, end).astype(np.uint32), np.diff(upto, prepend=0) + 1
 
 
 def _open(folder: str):
@@ -88,34 +107,35 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, key
     picked = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranged = picked.repartitionByRange(max(1, -(-total // task_bytes)), "key").sortWithinPartitions("key", "text")
-    encoders: dict[str, WordEncoder] = {}
 
     def run(batches):
         store, root = _open(folder)
-        encode = encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordEncoder(tokenizer)
+        encode = _encoders[tokenizer]
         width = 2 if max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else 4
         store.create_dir(root, recursive=True)
         part, turn, at, out, name, last, seq = TaskContext.get().partitionId(), 0, 0, None, "", object(), 0
         tag = uuid.uuid4().hex
         try:
             for b in batches:
-                ids, sizes = encode(b.column(1).cast(pa.binary()).to_pylist(), end)
-                payload = memoryview(ids.astype(f"<u{width}").tobytes())
-                rows, upto = ([], [], []), 0
-                seqs = []
-                for k, n in zip(b.column(0).to_pylist(), sizes.tolist()):
-                    seq, last = (seq + 1 if k == last else 0), k
-                    if out is None or at * width >= shard_bytes:
-                        if out is not None:
-                            out.close()
-                        name, at = f"{part:08d}-{turn:06d}-{tag}.bin", 0
-                        out, turn = store.open_output_stream(f"{root}/{name}"), turn + 1
-                    out.write(payload[upto * width:(upto + n) * width])
-                    seqs.append(seq)
-                    rows[0].append(name)
-                    rows[1].append(at)
-                    rows[2].append(n)
-                    at, upto = at + n, upto + n
+                rows, seqs, keys = ([], [], []), [], iter(b.column(0).to_pylist())
+                for ids, sizes in encode(b.column(1), end):
+                    payload, upto = memoryview(ids.astype(f"<u{width}").tobytes()), 0
+                    for n in sizes.tolist():
+                        k = next(keys)
+                        seq, last = (seq + 1 if k == last else 0), k
+                        if out is None or at * width >= shard_bytes:
+                            if out is not None:
+                                out.close()
+                            name, at = f"{part:08d}-{turn:06d}-{tag}.bin", 0
+                            out, turn = store.open_output_stream(f"{root}/{name}"), turn + 1
+                        out.write(payload[upto * width:(upto + n) * width])
+                        seqs.append(seq)
+                        rows[0].append(name)
+                        rows[1].append(at)
+                        rows[2].append(n)
+                        at, upto = at + n, upto + n
                 m = b.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(seqs, pa.int32()), pa.array(rows[0], pa.string()), pa.array([width] * m, pa.int32()),
