@@ -79,11 +79,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     start = F.col("pos") - F.col("a.off")
     wanted = met.filter(start >= 0).select("_id", F.struct(start.alias("start"), "a.window", "a.items").alias("c"))
     per_doc = wanted.groupBy("_id").agg(F.sort_array(F.collect_set("c")).alias("wanted"))
-    read = held.join(per_doc, "_id", "left").withColumn("_words", words(F.col("_text")))
-    exact = F.filter(F.coalesce(F.col("wanted"), F.array().cast(per_doc.schema["wanted"].dataType)),
-                     lambda c: (c["start"] + F.size(c["window"]) <= F.size("_words"))
-                     & (F.slice(F.col("_words"), c["start"] + 1, F.size(c["window"])) == c["window"]))
-    out = read.select("doc", F.size("_words").cast("bigint").alias("n_words"), exact.alias("_found"))
+    none = F.array().cast(per_doc.schema["wanted"].dataType)
+
+    def exact(w: Column) -> Column:
+        same = F.filter(F.coalesce(F.col("wanted"), none), lambda c: (c["start"] + F.size(c["window"]) <= F.size(w))
+                        & (F.slice(w, c["start"] + 1, F.size(c["window"])) == c["window"]))
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), same.alias("_found"))
+
+    # A row is split into words once: the explode of one element keeps what reads the result from repeating it.
+    read = held.join(per_doc, "_id", "left")
+    out = read.select("doc", F.explode(F.transform(F.array(words(F.col("_text"))), exact)).alias("r")).select("doc", "r.*")
     out = out.select(
         "doc", "n_words", _hits(F.col("_found")).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda c: c["items"])))).alias("items"))
