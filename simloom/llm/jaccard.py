@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.columns import join_groups, row_hash, staged, whole, with_columns
-from simloom.llm.hashing import grams, mixed, word_hashes
+from simloom.llm.hashing import _buffers, grams, mixed, pieces, word_hashes
 from simloom.operators.components import connected_components
 
 #: Shingles that one task counts, and that one batch of documents holds, about.
@@ -28,14 +28,16 @@ MAX_MATCHES = 12
 POSTINGS_PER_CHECK = 8
 #: Rounds in which every posting list is compared with one of its members only, before all pairs that are still in
 #: different groups are. They end early when there are fewer such pairs than this many per posting.
-STAR_ROUNDS, PAIRS_PER_POSTING = 6, 50
+STAR_ROUNDS, PAIRS_PER_POSTING = 6, 4
 
 
 def _sets(texts, size: int):
-    """For each text its distinct shingles, sorted."""
-    hashes, n = grams(*word_hashes(texts), size)
-    ends = np.cumsum(n)
-    return [np.unique(hashes[e - k:e]) for e, k in zip(ends.tolist(), n.tolist())]
+    """For each text its distinct shingles, sorted; texts are hashed a few at a time."""
+    _, offsets = _buffers(texts)
+    for a, b in pieces(offsets):
+        hashes, n = grams(*word_hashes(texts.slice(a, b - a)), size)
+        ends = np.cumsum(n)
+        yield from (np.unique(hashes[e - k:e]) for e, k in zip(ends.tolist(), n.tolist()))
 
 
 def _signature(s: np.ndarray) -> int:
@@ -49,10 +51,10 @@ def set_sizes(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str,
 
     def run(batches):
         for b in batches:
-            sets = _sets(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([
-                b.column(2), b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_signature(s) if len(s) else 0 for s in sets], pa.int64())], names=["row", "key", "n", "sig"])
+            signed = [(len(s), _signature(s) if len(s) else 0) for s in _sets(b.column(1), size)]
+            n, sig = zip(*signed) if signed else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64())],
+                                             names=["row", "key", "n", "sig"])
 
     picked = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"),
                          F.struct(F.lit(0).alias("_none"), *carry).alias("row"))
@@ -176,8 +178,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _fits(num: int, den: int):
-    """Can sets of n (shared: m) and _n (_m) overlap enough?"""
-    return F.expr(f"{den} * least(m, _m) >= {num} * (n + _n - least(m, _m))")
+    """May sets of n (m of them shared with anyone) and _n (_m) that meet at places pos and _pos overlap enough?
+
+    They share no more before the places than the smaller of them, and no more behind than the shorter rest.
+    """
+    most = "(least(pos, _pos) + least(m - pos, _m - _pos))"
+    return F.expr(f"{den} * {most} >= {num} * (n + _n - {most})")
 
 
 def _outer(num: int, den: int):
@@ -200,8 +206,8 @@ def _joined_labels(edges: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """(a, b) edges that connect all sets which links connect."""
-    cols = ("sig", "n", "m", "ell", "comp")
-    every = sets.select(F.explode("prefix").alias("token"), "sig", "n", "m", "ell").withColumn("comp", F.col("sig"))
+    cols = ("sig", "n", "m", "ell", "comp", "pos")
+    every = sets.select(F.posexplode("prefix").alias("pos", "token"), "sig", "n", "m", "ell").withColumn("comp", F.col("sig"))
     # A set needs a partner of a size in reach: den * i >= num * (n + _n - i) with i <= m and i <= _n.
     heads = every.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("k > 1")
     reach = F.expr(f"{num} * (n + lo) <= {num + den} * m AND {num} * n <= {den} * hi")
@@ -238,7 +244,7 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame | None:
             break
         labels = _joined_labels(linked.select("u", "v"))
         posts = staged(posts.join(labels, F.col("comp") == F.col("u"), "left").select(
-            "token", "sig", "n", "m", "ell", F.coalesce("to", "comp").alias("comp")), "postings")
+            "token", "sig", "n", "m", "ell", "pos", F.coalesce("to", "comp").alias("comp")), "postings")
     return None if found is None else found.select("a", "b")
 
 

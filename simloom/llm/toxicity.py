@@ -234,7 +234,8 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     def run(batches):
         reader = Reader(model, kept)
         for b in batches:
-            total = np.array([bias + sum(weights[i] for i in reader(t)) for t in b.column(1).to_pylist()], float)
+            some = (t for i in range(0, b.num_rows, 256) for t in b.column(1).slice(i, 256).to_pylist())
+            total = np.array([bias + sum(weights[i] for i in reader(t)) for t in some], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))))], names=["row", "score"])
 
     picked = docs.select(F.struct(F.col(key).alias("_key"), *carry).alias("row"), F.col(text).cast("string").alias("text"))
