@@ -35,7 +35,8 @@ def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ())
     """The carried columns in a struct ``row`` and one DOUBLE per name of STATISTICS, over whole texts; NULL is empty."""
 
     def run(batches):
-        for b in batches:
+        # A few texts at a time: a batch of very long ones would need much memory.
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, max(whole.num_rows, 1), 256)):
             hashes, n = word_hashes(b.column(1))
             ends = np.cumsum(n)
             again = np.concatenate(([0], np.cumsum(hashes[1:] == hashes[:-1]) if len(hashes) else []))
