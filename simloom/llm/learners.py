@@ -72,7 +72,28 @@ def fires(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_lasso(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 300) -> tuple[float, np.ndarray]:
+class Ones:
+    """A matrix of zeros and ones, kept as the columns of the ones in each row; for fit_lasso, which multiplies by vectors only."""
+
+    def __init__(self, hits, columns: int):
+        self.shape = len(hits), columns
+        self.at = np.fromiter((j for h in hits for j in h), np.int64)
+        self.row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+
+    def astype(self, kind) -> Ones:
+        return self
+
+    @property
+    def T(self) -> Ones:
+        out = object.__new__(Ones)
+        out.shape, out.at, out.row = self.shape[::-1], self.row, self.at
+        return out
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.at], self.shape[0])
+
+
+def fit_lasso(x: np.ndarray | Ones, y: np.ndarray, strength: float, steps: int = 300) -> tuple[float, np.ndarray]:
     """(bias, weights) of a logistic model with an L1 penalty, by accelerated proximal gradient descent."""
     n = max(len(y), 1)
     start = float(np.clip(y.mean() if len(y) else 0.5, 0.5 / n, 1 - 0.5 / n))

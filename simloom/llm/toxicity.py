@@ -1,14 +1,15 @@
 """Toxicity of texts, read through obfuscation.
 
-Writers hide words by digits and signs that look like letters, by spacing letters out and by repeating them. For every piece of
-text that may be such a disguise, the readings of each sign form a lattice; Viterbi decoding finds the likeliest path
-under a character language model of the corpus and the costs of the disguises. The words of the text and
-the restored words are then scored by a logistic model over words and word beginnings.
+Writers hide words by digits and signs that look like letters, by spacing letters out and by repeating them. For every word with
+a sign or a repeat and every run of spaced letters, the readings of each sign form a lattice; Viterbi decoding finds the likeliest
+path under a character language model of the corpus and the costs of the disguises. A separator may be dropped or part two
+words. The words of the text and the restored words are then scored by a logistic model over words and word beginnings.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +18,28 @@ from pyspark.sql import functions as F
 
 from simloom.llm.columns import staged, whole, with_columns
 from simloom.llm.hashing import _buffers, lowered
-from simloom.llm.learners import fit_lasso
+from simloom.llm.learners import Ones, fit_lasso
 from simloom.llm.quality import bounded_sample
 
-#: Labelled documents to fit on, and features of the model, at most; words that a task remembers.
-FIT_ROWS, FEATURES, MEMO_WORDS = 20_000, 512, 300_000
+#: Labelled documents to fit on at most; words that a task remembers.
+FIT_ROWS, MEMO_WORDS = 20_000, 300_000
 STRENGTH, LEAST_TOXIC, CHANCE = 4e-5, 4, 1e-4
 #: 0 stands between words, 1-26 are letters, 27 is any byte beyond ASCII. The model looks at four characters.
 SYMBOLS, SPAN, BLOCK = 28, 4, 4096
 
 # Letters that a sign may stand for.
-LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
+LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il",
               "|": "il", "+": "t", "(": "c", "*": "aeioustnrl", "€": "e", "£": "l"}
-#: Costs in natural log units: a sign read as a letter, a repeated letter dropped, a separator dropped.
-SIGN_COST, REPEAT_COST, GAP_COST = 0.5, 0.5, 0.2
+#: Costs in natural log units: a sign read as a letter, a repeated letter dropped, a separator dropped or read as the end of a word.
+SIGN_COST, REPEAT_COST, GAP_COST, BREAK_COST = 0.5, 0.5, 0.2, 0.2
 GAPS = " \t\n\x0b\x0c\r._-*~'"
 _EDGE = ".,;:!?…\"'()[]{}<>#$%&*|/\\«»¿¡-_~^`"
 _LETTER = re.compile(r"[^\W\d_]")
-_SIGN_INSIDE = re.compile(r"[a-z][0-9@$!|+(*€£]+[a-z]|^[0-9@$!|+(€£]+[a-z]{2}|[a-z]{2}[0-9@$+€£]+$")
-_REPEATED = re.compile(r"([a-z])\1\1")
-_GAP_INSIDE = re.compile(r"[a-z0-9@$!][._\-*~'][a-z0-9@$!]")
-_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
+_MUTE_EDGE = "".join(c for c in _EDGE if c not in LOOKALIKES)
+_REPEATED = re.compile(r"([^\W\d_])\1")
+_READABLE = re.compile(r"[^\W\d_]|[" + re.escape("".join(LOOKALIKES)) + "]")
+_ONE = r"[\"'(\[]*+[^\s\"'(\[][.,;:!?…\"')\]]*+"
+_SPACED = re.compile(rf"(?<!\S){_ONE}(?:\s++{_ONE}){{2,}}(?!\S)")
 
 
 def _table() -> np.ndarray:
@@ -90,47 +92,95 @@ def character_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).reshape(-1, SYMBOLS).astype(np.float32)
 
 
-def _readings(piece: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each run of one sign, the letters it may stand for and their cost."""
-    lattice, i = [], 0
-    while i < len(piece):
-        c, j = piece[i], i
-        while j < len(piece) and piece[j] == c:
+@lru_cache(maxsize=10_000)
+def _sign(c: str, n: int) -> tuple[tuple[str, float], ...]:
+    """The letters that a run of n equal signs may stand for and their cost; three stands for more."""
+    if "a" <= c <= "z":
+        return ((c, 0.0),) if n == 1 else ((c * 2, 0.0 if n == 2 else REPEAT_COST), (c, REPEAT_COST))
+    if _LETTER.match(c):
+        return ((c, 0.0),)
+    like = LOOKALIKES.get(c, "")
+    some = [(x, SIGN_COST) for x in like]
+    if n > 1:
+        some += [(x * 2, SIGN_COST) for x in like]
+    if c in GAPS or not some:
+        some += [("", GAP_COST), (" ", BREAK_COST)]
+    return tuple(some)
+
+
+def _lattice(piece: str):
+    """For each run of one sign, or of white space, what it may stand for and the cost."""
+    i, size = 0, len(piece)
+    while i < size:
+        c, j = piece[i], i + 1
+        blank = c.isspace()
+        while j < size and (piece[j] == c or blank and piece[j].isspace()):
             j += 1
-        n, i = j - i, j
-        if "a" <= c <= "z":
-            some = [(c, 0.0)] if n == 1 else [(c * 2, 0.0 if n == 2 else REPEAT_COST), (c, REPEAT_COST)]
-        elif _LETTER.match(c):
-            some = [(c, 0.0)]
-        else:
-            some = [(x, SIGN_COST) for x in LOOKALIKES.get(c, "")]
-            if n > 1:
-                some += [(x * 2, SIGN_COST) for x in LOOKALIKES.get(c, "")]
-            if c in GAPS or not some:
-                some.append(("", GAP_COST))
-        lattice.append(some)
-    return lattice
+        yield _sign(" " if blank else c, min(j - i, 3))
+        i = j
 
 
 def restore(piece: str, model: np.ndarray) -> str:
-    """The likeliest word behind a piece of lower-case text."""
-    code = lambda x: ord(x) - 96 if "a" <= x <= "z" else 27
-    best = {0: (0.0, "")}  # last three characters -> cost and text of the cheapest path
-    for readings in [*_readings(piece), None]:
-        step: dict[int, tuple[float, str]] = {}
-        for state, (cost, text) in best.items():
-            for reading, extra in readings if readings is not None else ((None, 0.0),):
+    """The likeliest word, or words with a space between them, behind a piece of lower-case text."""
+    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # last three characters -> cost and end of the cheapest path
+    square, at = SYMBOLS * SYMBOLS, model.item
+    for readings in _lattice(piece):
+        step: dict[int, tuple[float, tuple]] = {}
+        for state, (cost, path) in best.items():
+            for reading, extra in readings:
                 now, total = state, cost + extra
-                for x in reading if reading is not None else "\0":
-                    k = 0 if reading is None else code(x)
-                    total -= float(model[now, k])
-                    now = now % (SYMBOLS * SYMBOLS) * SYMBOLS + k
-                # Per character, so that dropping one is not cheap in itself.
-                total -= 2.5 * len(reading or "")
-                if now not in step or (total, text + (reading or "")) < step[now]:
-                    step[now] = (total, text + (reading or ""))
+                for x in reading:
+                    k = 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
+                    total -= at(now, k)
+                    now = now % square * SYMBOLS + k
+                # Per letter, so that dropping one is not cheap in itself.
+                total -= 2.5 * len(reading.strip())
+                if now not in step or total < step[now][0]:
+                    step[now] = (total, (path, reading) if reading else path)
         best = step
-    return min(best.values())[1]
+    path, out = min((cost - at(state, 0), i, path) for i, (state, (cost, path)) in enumerate(best.items()))[2], []
+    while path:
+        path, reading = path
+        out.append(reading)
+    return " ".join("".join(reversed(out)).split())
+
+
+def _spellings(features) -> dict:
+    """The features letter by letter; under "" what a spelling is: 1 a word, 2 a beginning, 3 both."""
+    top: dict = {}
+    for f in features:
+        node = top
+        for x in f.removesuffix("^"):
+            node = node.setdefault(x, {})
+        node[""] = node.get("", 0) | (2 if f.endswith("^") else 1)
+    return top
+
+
+def _may_spell(piece: str, top: dict) -> bool:
+    """Can any path through the lattice of the piece give one of the spelt features?"""
+    nodes = [top]
+    for readings in _lattice(piece):
+        step, again = [], False
+        for reading, _ in readings:
+            if reading == " ":
+                if any(node.get("", 0) & 1 for node in nodes):
+                    return True
+                again = True
+                continue
+            for node in nodes:
+                for x in reading:
+                    node = node.get(x)
+                    if node is None:
+                        break
+                    if node.get("", 0) & 2:
+                        return True
+                else:
+                    if not any(node is x for x in step):
+                        step.append(node)
+        if again and not any(top is x for x in step):
+            step.append(top)
+        nodes = step
+    return any(node.get("", 0) & 1 for node in nodes)
 
 
 class Reader:
@@ -138,13 +188,18 @@ class Reader:
 
     def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None):
         self.model, self.wanted, self.memo = model, wanted, {}
+        self.spelt = None if wanted is None else _spellings(wanted)
+
+    def _restored(self, piece: str) -> set[str]:
+        """Words behind the piece, with and without the signs at its ends; left out if none can have a wanted feature."""
+        return {x for p in {piece, piece.strip(_EDGE)} if self.spelt is None or _may_spell(p, self.spelt)
+                for x in restore(p, self.model).split()}
 
     def readings(self, word: str) -> set[str]:
-        bare = word.strip(_EDGE)
-        found = {bare}
-        if _SIGN_INSIDE.search(word) or _REPEATED.search(word) or _GAP_INSIDE.search(word):
-            found |= {restore(bare, self.model), restore(word, self.model)}
-        return {x for x in found if x}
+        found, core = {word.strip(_EDGE)} - {""}, word.strip(_MUTE_EDGE)
+        if _READABLE.search(core) and (not core.isalpha() or _REPEATED.search(core)):
+            found |= self._restored(word)
+        return found
 
     def _features(self, readings) -> tuple:
         some = {f for x in readings for f in (x, *(f"{x[:n]}^" for n in range(3, 7) if len(x) >= n))}
@@ -162,11 +217,11 @@ class Reader:
             if known:
                 found.update(known)
         for piece in _SPACED.findall(text):
-            found.update(self._features({restore(piece, self.model)} - {""}))
+            found.update(self._features(self._restored(piece)))
         return found
 
 
-def _select(counts: DataFrame, toxic: int, clean: int, limit: int) -> list[str]:
+def _select(counts: DataFrame, toxic: int, clean: int) -> list[str]:
     """Features that toxic texts have more often than chance would give: P(all by chance) at most CHANCE."""
     share = toxic / max(toxic + clean, 1)
     n = F.col("toxic") + F.col("clean")
@@ -174,11 +229,11 @@ def _select(counts: DataFrame, toxic: int, clean: int, limit: int) -> list[str]:
     q = F.col("toxic") / n
     bound = n * (q * F.log(q / F.lit(share)) + F.when(q < 1, (1 - q) * F.log((1 - q) / F.lit(1 - share))).otherwise(0.0))
     some = counts.filter((F.col("toxic") >= LEAST_TOXIC) & (q > 2 * share)).withColumn("bound", bound)
-    rows = some.filter(F.col("bound") > float(-np.log(CHANCE))).orderBy(F.desc("bound"), "feature").limit(limit).collect()
+    rows = some.filter(F.col("bound") > float(-np.log(CHANCE))).orderBy(F.desc("bound"), "feature").collect()
     return [r["feature"] for r in rows]
 
 
-def fit(sample: DataFrame, model: np.ndarray, limit: int = FEATURES) -> tuple[list[str], float, np.ndarray]:
+def fit(sample: DataFrame, model: np.ndarray) -> tuple[list[str], float, np.ndarray]:
     """(features, bias, weights) from a bounded table (text, y)."""
     toxic, clean = sample.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
     if not toxic or not clean:
@@ -197,7 +252,7 @@ def fit(sample: DataFrame, model: np.ndarray, limit: int = FEATURES) -> tuple[li
 
     counts = sample.mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    features = _select(counts, toxic, clean, limit)
+    features = _select(counts, toxic, clean)
     wanted = {f: i for i, f in enumerate(features)}
 
     def look(batches):
@@ -207,10 +262,7 @@ def fit(sample: DataFrame, model: np.ndarray, limit: int = FEATURES) -> tuple[li
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), b.column(1)], names=["hits", "y"])
 
     rows = sorted((tuple(r["hits"]), r["y"]) for r in sample.mapInArrow(look, "hits array<int>, y double").collect())
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, (hits, _) in enumerate(rows):
-        x[i, list(hits)] = 1
-    bias, weights = fit_lasso(x, np.array([y for _, y in rows]), STRENGTH, steps=1500)
+    bias, weights = fit_lasso(Ones([hits for hits, _ in rows], len(features)), np.array([y for _, y in rows]), STRENGTH, steps=1500)
     return features, bias, weights
 
 

@@ -279,6 +279,26 @@ def test_toxicity_through_disguise(spark):
     assert accuracy(out, labels) > 0.95
 
 
+SPELLINGS = {"f001": "fool", "h473": "hate", "d13": "die", "a55": "ass", "@55": "ass", "1d107": "idiot", "ki||": "kill", "ki!!": "kill",
+             "i..d..i..o..t": "idiot", "s--c--u--m": "scum", "what a l o s e r": "loser", "w h a t a l o s e r !": "loser", "i    d    i    o    t": "idiot"}
+
+
+def test_toxicity_through_every_spelling(spark):
+    bad, said = sorted(set(SPELLINGS.values())), "what a day and what a night for you and all of them"
+    learnt = [(i, f"{said} {bad[i // 4 % len(bad)]} {said}" if i % 4 == 0 else said, int(i % 4 == 0)) for i in range(240)]
+    asked = [(1000 + i, f"{said} {x} {said}", 1) for i, x in enumerate(SPELLINGS)] + [(2000, f"{said} 555-8394 {said}!!", 0), (2001, f"a b c {said}", 0)]
+    docs = spark.createDataFrame(learnt + asked, "doc_id bigint, text string, toxic int").repartition(4)
+    got = {r[0]: r[1] for r in toxicity.score(docs, docs, F.col("doc_id") < 240).select("doc_id", "score").collect()}
+    assert {k: got[k] >= 0.5 for k, *_ in asked} == {k: bool(y) for k, _, y in asked}
+
+
+def test_toxic_words_beyond_five_hundred_features(spark):
+    words = [a + b + c for a in ("ba", "do", "fi", "gu", "ke", "lo") for b in ("m", "n", "r", "s", "t", "v") for c in ("ax", "ep", "iq", "ob", "uz")]
+    rows = [(" ".join(words), 1.0)] * 4 + [("a fine day", 0.0)] * 60
+    features, _, weights = toxicity.fit(spark.createDataFrame(rows, "text string, y double"), toxicity.character_model(np.ones(28 ** 4, np.int64)))
+    assert set(words) <= set(features) and len(features) > 512 and len(weights) == len(features)
+
+
 @pytest.mark.parametrize("name,op", [("toxic", toxicity.score), ("quality", quality.score)])
 def test_classifiers_on_odd_rows(odd, rows, no_rows, spark, name, op):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (8, None), (100, 0), (101, 0)], f"doc_id bigint, {name} int")
