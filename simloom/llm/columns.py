@@ -34,8 +34,8 @@ def remainder(key: Column, divisor: int) -> Column:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """128 bits over all columns that can be hashed."""
-    cols = [F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant", "void")]
+    """128 bits over all columns that can be hashed, and which of them are NULL: the hash itself skips NULLs."""
+    cols = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) if df.schema[c].dataType.typeName() not in ("map", "variant", "void")]
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
 
 

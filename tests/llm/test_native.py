@@ -163,3 +163,8 @@ def test_rotation(spark):
     assert got[(1, "ann", 1)]["rendered"] == "<|assistant|>\n<|end|>\n"
     assert got[(3, "dee", 0)]["n_turns"] == 3 and got[(3, "dee", 0)]["n_trained"] == 2
     assert chat.rotate(df.filter("false")).count() == 0
+
+
+def test_rows_with_swapped_nulls_differ(spark):
+    df = spark.createDataFrame([(1, "some words", "en", None), (1, "some words", None, "en")], "doc_id int, text string, lang string, source string")
+    assert df.select(columns.row_hash(df).alias("h")).distinct().count() == 2
