@@ -2,8 +2,8 @@
 
 A page is read once into blocks of text between block-level tags. A block is described by its words and link density, those
 of the blocks before and after it, and where it stands: inside the page's article, outside of it, or on a
-page that marks none; and whether one of its ancestors is page furniture by tag, role or name. The tree is fitted
-on the small labelled table below.
+page that marks none; and whether one of its ancestors is page furniture by tag or role, or is only named like it. The tree is fitted
+on the small labelled table below; a long block with few links is main text there in spite of such a name.
 """
 
 from __future__ import annotations
@@ -38,10 +38,12 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
              "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _NAME = re.compile(r"[a-z]+")
+_ABOUT = re.compile(r"(?<!\S)(?:category|tag|has)-\S*", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Labelled blocks: words, link density, words and link density of the block before, of the block after, place (1 in
-#: the article, -1 outside the article, 0 no article marked), furniture, and whether the block is main text.
+#: the article, -1 outside the article, 0 no article marked), furniture (1 by name only, 2 by tag, role or being hidden), and
+#: whether the block is main text.
 LABELLED = (
     (40, 0.0, 35, 0.0, 50, 0.0, 1, 0, 1), (120, 0.05, 9, 0.0, 80, 0.0, 1, 0, 1), (1, 0.0, 60, 0.0, 45, 0.0, 1, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1),
     (8, 0.0, 1, 1.0, 70, 0.0, 1, 0, 1), (10, 0.0, 12, 0.0, 0, 0.0, 1, 0, 1), (25, 0.2, 30, 0.0, 4, 0.0, 1, 0, 1), (5, 0.0, 0, 0.0, 6, 0.0, 1, 0, 1),
@@ -52,18 +54,27 @@ LABELLED = (
     (5, 0.2, 11, 0.0, 40, 0.4, 1, 0, 1), (38, 0.0, 8, 0.0, 3, 0.3, 1, 0, 1), (1, 1.0, 30, 0.5, 2, 0.0, 1, 0, 1), (17, 0.0, 10, 0.9, 7, 0.8, 1, 0, 1),
     (70, 0.0, 60, 0.0, 2, 0.0, -1, 0, 0), (6, 0.0, 60, 0.0, 70, 0.0, -1, 0, 0), (2, 0.0, 2, 0.0, 2, 0.0, -1, 0, 0), (100, 0.0, 90, 0.0, 80, 0.0, -1, 0, 0),
     (12, 0.2, 0, 0.0, 0, 0.0, -1, 0, 0), (19, 0.0, 14, 0.0, 1, 1.0, -1, 0, 0), (35, 0.1, 40, 0.0, 12, 0.0, -1, 0, 0), (3, 0.0, 7, 1.0, 25, 0.0, -1, 0, 0),
-    (6, 0.0, 30, 0.0, 1, 1.0, 1, 1, 0), (40, 0.0, 60, 0.0, 60, 0.0, 1, 1, 0), (3, 1.0, 60, 0.0, 3, 1.0, 1, 1, 0), (80, 0.1, 3, 0.0, 70, 0.0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0), (25, 0.0, 2, 0.0, 24, 0.0, 1, 1, 0), (12, 0.0, 1, 0.5, 90, 0.0, 1, 1, 0), (9, 0.3, 9, 0.3, 9, 0.3, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0), (12, 0.0, 1, 1.0, 9, 0.0, -1, 1, 0), (14, 0.1, 70, 0.0, 0, 0.0, -1, 1, 0), (60, 0.0, 2, 0.0, 30, 0.0, -1, 1, 0),
+    (6, 0.0, 30, 0.0, 1, 1.0, 1, 2, 0), (40, 0.0, 60, 0.0, 60, 0.0, 1, 2, 0), (3, 1.0, 60, 0.0, 3, 1.0, 1, 2, 0), (80, 0.1, 3, 0.0, 70, 0.0, 1, 2, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 1, 2, 0), (25, 0.0, 2, 0.0, 24, 0.0, 1, 2, 0), (12, 0.0, 1, 0.5, 90, 0.0, 1, 2, 0), (9, 0.3, 9, 0.3, 9, 0.3, 1, 2, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, -1, 2, 0), (12, 0.0, 1, 1.0, 9, 0.0, -1, 2, 0), (14, 0.1, 70, 0.0, 0, 0.0, -1, 2, 0), (60, 0.0, 2, 0.0, 30, 0.0, -1, 2, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, -1, 0, 0), (8, 0.0, 0, 0.0, 1, 1.0, -1, 0, 0), (30, 0.0, 5, 0.0, 12, 0.0, -1, 0, 0), (90, 0.02, 6, 0.0, 3, 1.0, -1, 0, 0),
     (4, 0.0, 40, 0.0, 0, 0.0, -1, 0, 0), (22, 0.6, 2, 1.0, 2, 1.0, -1, 0, 0), (15, 0.0, 60, 0.0, 15, 0.0, -1, 0, 0), (45, 0.0, 45, 0.0, 45, 0.0, -1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (20, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0), (6, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (70, 0.0, 5, 0.0, 60, 0.0, 0, 1, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 2, 0), (20, 0.0, 40, 0.0, 30, 0.0, 0, 2, 0), (6, 0.0, 50, 0.0, 0, 0.0, 0, 2, 0), (70, 0.0, 5, 0.0, 60, 0.0, 0, 2, 0),
     (45, 0.0, 50, 0.0, 38, 0.0, 0, 0, 1), (28, 0.1, 7, 0.0, 60, 0.0, 0, 0, 1), (100, 0.02, 2, 1.0, 90, 0.0, 0, 0, 1), (20, 0.0, 90, 0.0, 25, 0.0, 0, 0, 1),
     (35, 0.25, 20, 0.0, 4, 1.0, 0, 0, 1), (18, 0.0, 40, 0.0, 6, 1.0, 0, 0, 1), (55, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (22, 0.05, 12, 0.0, 14, 0.0, 0, 0, 1),
     (6, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1), (3, 0.0, 60, 0.0, 55, 0.0, 0, 0, 1), (9, 0.0, 35, 0.0, 40, 0.0, 0, 0, 1), (12, 0.0, 70, 0.0, 5, 0.0, 0, 0, 1),
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.8, 2, 1.0, 4, 1.0, 0, 0, 0), (25, 0.9, 3, 1.0, 2, 1.0, 0, 0, 0), (8, 1.0, 0, 0.0, 6, 1.0, 0, 0, 0),
     (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (7, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0), (5, 0.0, 1, 1.0, 6, 0.5, 0, 0, 0), (3, 0.0, 2, 0.0, 2, 1.0, 0, 0, 0),
     (40, 0.7, 50, 0.0, 3, 1.0, 0, 0, 0), (16, 0.6, 30, 0.0, 30, 0.0, 0, 0, 0), (6, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0),
+    (45, 0.0, 50, 0.0, 60, 0.0, 1, 1, 1), (30, 0.0, 2, 0.0, 70, 0.05, 1, 1, 1), (120, 0.05, 9, 0.0, 80, 0.0, 1, 1, 1), (20, 0.0, 35, 0.0, 40, 0.0, 1, 1, 1),
+    (25, 0.1, 60, 0.0, 3, 1.0, 1, 1, 1), (80, 0.0, 1, 0.0, 0, 0.0, 1, 1, 1), (200, 0.2, 40, 0.0, 12, 0.0, 1, 1, 1), (35, 0.0, 6, 0.0, 8, 0.3, 1, 1, 1),
+    (6, 0.0, 30, 0.0, 1, 1.0, 1, 1, 0), (2, 0.0, 3, 0.0, 2, 0.0, 1, 1, 0), (5, 0.0, 2, 0.0, 0, 0.0, 1, 1, 0), (13, 0.0, 60, 0.0, 60, 0.0, 1, 1, 0),
+    (9, 0.3, 9, 0.3, 9, 0.3, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0), (10, 0.0, 1, 0.5, 90, 0.0, 1, 1, 0), (40, 0.7, 50, 0.0, 3, 1.0, 1, 1, 0),
+    (3, 1.0, 60, 0.0, 3, 1.0, 1, 1, 0), (22, 0.6, 2, 1.0, 2, 1.0, 1, 1, 0), (1, 0.0, 60, 0.0, 60, 0.0, 1, 1, 0), (14, 0.0, 8, 0.0, 70, 0.0, 1, 1, 0),
+    (120, 0.02, 90, 0.0, 80, 0.0, 0, 1, 1), (100, 0.0, 60, 0.0, 110, 0.05, 0, 1, 1), (150, 0.1, 4, 1.0, 3, 1.0, 0, 1, 1), (110, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
+    (20, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0), (13, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0), (60, 0.0, 5, 0.0, 60, 0.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0),
+    (100, 0.7, 3, 1.0, 4, 1.0, 0, 1, 0), (6, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (30, 0.1, 25, 0.1, 40, 0.0, 0, 1, 0), (5, 0.8, 2, 1.0, 4, 1.0, 0, 1, 0),
+    (14, 0.1, 70, 0.0, 0, 0.0, -1, 1, 0), (60, 0.0, 2, 0.0, 30, 0.0, -1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0), (120, 0.0, 60, 0.0, 90, 0.0, -1, 1, 0),
 )
 
 
@@ -75,7 +86,8 @@ def tree() -> Node:
 
 @lru_cache(maxsize=100_000)
 def _names(value: str) -> frozenset[str]:
-    return frozenset(_NAME.findall(_HUMP.sub(" ", value).lower()))
+    """Words of class and id names, without those that say what a page is about or has elsewhere."""
+    return frozenset(_NAME.findall(_HUMP.sub(" ", _ABOUT.sub(" ", value)).lower()))
 
 
 class _Blocks(HTMLParser):
@@ -84,13 +96,13 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, in the article, furniture, silent
+        self.open: list[tuple[str, bool, int, bool]] = []  # tag, in the article, furniture, silent
         self.links, self.pieces, self.in_links = 0, [], 0
 
     def _flush(self):
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, main, furniture, _ = self.open[-1] if self.open else ("", False, False, False)
+            _, main, furniture, _ = self.open[-1] if self.open else ("", False, 0, False)
             n = text.count(" ") + 1
             self.blocks.append([text, n, min(self.in_links, n) / n, main, furniture])
         self.pieces, self.in_links = [], 0
@@ -104,7 +116,7 @@ class _Blocks(HTMLParser):
             return
         while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
             self.open.pop()
-        _, main, furniture, silent = self.open[-1] if self.open else ("", False, False, False)
+        _, main, furniture, silent = self.open[-1] if self.open else ("", False, 0, False)
         if not attrs and tag not in _STRUCTURE:
             self.links += tag == "a"
             self.open.append((tag, main, furniture, silent or tag in SILENT))
@@ -112,17 +124,17 @@ class _Blocks(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         named = tag not in ("html", "body") and bool(FURNITURE_NAMES & _names(f"{given.get('class', '')} {given.get('id', '')}"))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        own = tag in FURNITURE_TAGS or given.get("role", "") in FURNITURE_ROLES or named or hidden
+        own = 2 if tag in FURNITURE_TAGS or given.get("role", "") in FURNITURE_ROLES or hidden else int(named)
         starts = tag in MAIN_TAGS or given.get("role") == "main" or given.get("itemprop") == "articleBody"
         if tag == "header" and not main:
-            own = True
-        if starts and not own:
+            own = 2
+        if starts and (not own or own == 1 and not main):
             # An article inside something that is only named like furniture is an article; inside a nav or aside it is none.
-            furniture = any(f and t in FURNITURE_TAGS for t, _, f, _ in self.open)
+            own, furniture = 0, 2 * any(t in FURNITURE_TAGS for t, *_ in self.open)
             main = main or not furniture
         if tag == "a":
             self.links += 1
-        self.open.append((tag, main, furniture or own, silent or tag in SILENT))
+        self.open.append((tag, main, max(furniture, own), silent or tag in SILENT))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -156,12 +168,12 @@ def blocks(html: str | None) -> list[tuple[str, tuple[float, ...]]]:
     page = _Blocks()
     page.feed(html or "")
     page.finish()
-    marked = any(main and not furniture for *_, main, furniture in page.blocks)
-    out, none = [], (None, 0, 0.0, False, False)
+    marked = any(main and furniture < 2 for *_, main, furniture in page.blocks)
+    out, none = [], (None, 0, 0.0, False, 0)
     around = [none, *page.blocks, none]
     for before, (text, n, links, main, furniture), after in zip(around, page.blocks, around[2:]):
         place = (1 if main else -1) if marked else 0
-        out.append((text, (n, links, before[1], before[2], after[1], after[2], place, int(furniture))))
+        out.append((text, (n, links, before[1], before[2], after[1], after[2], place, furniture)))
     return out
 
 

@@ -213,6 +213,16 @@ def test_main_text():
     assert html_text.main_text(plain) == ("word " * 40 + "more " * 50).strip()
 
 
+def test_names_of_furniture_do_not_hide_the_article():
+    long, more = " ".join(["word"] * 40), " ".join(["more"] * 30)
+    for start, end in (("<article class='post category-social tag-search'>", "</article>"), ("<main class='has-sidebar'>", "</main>"),
+                       ("<article class='related-post widget'>", "</article>"), ("<body class=x><main id='content-sidebar'>", "</main>")):
+        page = f"<nav><a href=/>Home</a></nav>{start}<h1>Title</h1><p>{long}</p><p>{more}</p>{end}<div class='sidebar'>{more}</div>"
+        assert html_text.main_text(page) == f"Title {long} {more}"
+    page = f"<article><p>{long}</p><section id='discussion'><p>{more}</p></section><p class='side'>{long}</p><div class='ad'>Buy it now and save</div><p>{more}</p></article>"
+    assert html_text.main_text(page) == f"{long} {more} {long} {more}"
+
+
 def test_extraction_keeps_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old", 1), (2, None, None, None, 2), (2, None, None, None, 2)], "page_id int, url string, html string, text string, `a.b` int")
     out = html_text.extract(df)
