@@ -174,6 +174,24 @@ def join_set_nearest(spark, sf):
     return matches.set_distance(pairs, rows, scale=1.0)
 
 
+@query("join_set_nearest_all",
+       f"WITH {E}, q AS (SELECT id, id // 4 AS g, v FROM e), "
+       "d AS (SELECT a.g AS ga, b.g AS gb, a.id AS ia, b.id AS ib, list_distance(a.v, b.v) AS d "
+       "FROM q a, q b WHERE b.g <> a.g AND a.g % 50 = 0), "
+       "l AS (SELECT ga, gb, avg(m) AS m FROM (SELECT ga, gb, ia, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL), "
+       "r AS (SELECT ga, gb, avg(m) AS m FROM (SELECT ga, gb, ib, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL) "
+       f"SELECT l.ga AS set_a, l.gb AS set_b, round({unit('(l.m + r.m) / 2')}, 6) AS dist FROM l JOIN r USING (ga, gb)")
+def join_set_nearest_all(spark, sf):
+    """Only the asking side is bounded: sets with an id divisible by 50 meet all sets of the table."""
+    rows = items(spark, sf).select(
+        F.floor(F.col("item_id") / 4).alias("set_id"), F.col("item_id").alias("row"), "vec"
+    )
+    sets = rows.select("set_id").distinct()
+    asking = sets.filter("set_id % 50 = 0").withColumnRenamed("set_id", "set_a")
+    pairs = asking.join(sets.withColumnRenamed("set_id", "set_b"), F.col("set_a") != F.col("set_b"))
+    return matches.set_distance(pairs, rows, scale=1.0)
+
+
 @query("join_crosscheck",
        f"WITH {neighbours(5)} SELECT a.qid AS query_id, a.iid AS item_id, a.d AS dist FROM n a "
        "JOIN n b ON a.qid = b.iid AND a.iid = b.qid")

@@ -150,3 +150,17 @@ def test_approximate_recall_with_the_layout_of_large_tables(spark):
     now = share(lsh), share(cells)
     print("recall, one bucket a table and 30 cells:", before, "measured probes:", now)
     assert min(now) >= 0.9 > max(before)
+
+
+LITTLE = "/root/testdata/sf0.01"
+
+
+def test_sets_far_apart_in_id_are_met(spark):
+    from pyspark.sql import functions as F
+
+    from simloom.plans import joins
+
+    met = joins.join_set_nearest_all(spark, LITTLE)
+    sets = spark.read.parquet(f"{LITTLE}/embeddings.parquet").select(F.floor(F.col("vec_id") / 4).alias("s")).distinct()
+    assert met.count() == sets.filter("s % 50 = 0").count() * (sets.count() - 1) > 0
+    assert met.filter("abs(set_b - set_a) > 8").count()
