@@ -103,6 +103,17 @@ def fuse_mean(spark, sf):
     return fusion.fuse_mean(slice_hits(spark, sf), WEIGHTS)
 
 
+@query("fuse_mean_uncut",
+       f"WITH {SLICED}, w AS (SELECT a.id AS qid, b.id AS iid, round({_D}, 6) AS d, "
+       "CASE a.dt WHEN 's1' THEN 0.1 WHEN 's2' THEN 0.3 WHEN 's3' THEN 0.6 ELSE 0.9 END::DOUBLE AS w "
+       "FROM s a JOIN s b ON a.dt = b.dt WHERE a.id % 50 = 0) "
+       "SELECT qid AS query_id, iid AS item_id, round(sum(w * d) / count(*), 9) AS dist FROM w GROUP BY ALL")
+def fuse_mean_uncut(spark, sf):
+    """Whole lists: items with an id divisible by 50 ask for all items."""
+    x = slices(spark, sf)
+    return fusion.fuse_mean(similarity.search(as_queries(x.filter("item_id % 50 = 0")), x, scale=1.0), WEIGHTS)
+
+
 @query("fuse_radicals",
        f"WITH {SLICE_HITS}, v AS (SELECT qid, iid, max(CASE dt WHEN 's1' THEN d END) AS d1, max(CASE dt WHEN 's2' THEN d END) AS d2, "
        "max(CASE dt WHEN 's3' THEN d END) AS d3, max(CASE dt WHEN 's4' THEN d END) AS d4 FROM w GROUP BY ALL), "

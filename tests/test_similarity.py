@@ -164,3 +164,11 @@ def test_sets_far_apart_in_id_are_met(spark):
     sets = spark.read.parquet(f"{LITTLE}/embeddings.parquet").select(F.floor(F.col("vec_id") / 4).alias("s")).distinct()
     assert met.count() == sets.filter("s % 50 = 0").count() * (sets.count() - 1) > 0
     assert met.filter("abs(set_b - set_a) > 8").count()
+
+
+def test_uncut_fusion_covers_every_item(spark):
+    from simloom.plans import aggregates
+
+    n = spark.read.parquet(f"{LITTLE}/embeddings.parquet").count()
+    got = aggregates.fuse_mean_uncut(spark, LITTLE).groupBy("query_id").count().collect()
+    assert got and {r["count"] for r in got} == {n}
