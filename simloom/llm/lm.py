@@ -1,6 +1,7 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores as a weighted backoff automaton gives them.
 
-The n-grams of the training documents are states: a state stands for the words just read, has an arc for every word
+No automaton is built or walked: the scores come from a vectorised recursion, one pass over all positions of a batch for each
+n-gram length, at order two by default (one word of history), as in the registered SQL. In the automaton that it stands for, the n-grams of the training documents are states: a state stands for the words just read, has an arc for every word
 that followed them in training, and a failure arc to the state without its oldest word. With c(h) the count of a
 history and e(h) = escape * c(h) ** decay the chance to leave it,
 
@@ -9,11 +10,10 @@ history and e(h) = escape * c(h) ** decay the chance to leave it,
 
 which sums to one over the known words and one class for all unknown ones. The empty history gives a known word
 (c - discount) / N and the unknown class the rest. Reading a text from left to right, the automaton takes the arc
-of the longest history that has one, adding the weights of the failure arcs on the way.
+of the longest history that has one, adding the weights of the failure arcs on the way; the recursion gives the same scores.
 
 Counts are never on one machine: batches of documents send their distinct n-grams with their own counts, packed by hash
-range, and get back the totals that differ from their own. So each batch holds just the part of the automaton that its
-texts can reach.
+range, and get back the totals that differ from their own. So each batch holds just the counts that its texts can reach.
 """
 
 from __future__ import annotations
