@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import BLANKS, LOWER, UPPER, staged, whole, word_count
+from simloom.llm.columns import BLANKS, staged, whole
 
 #: Documents that costs and rejections are measured on, about, and how often each cost is taken.
 SAMPLE_ROWS, TRIALS = 4000, 3
 SYMBOLS = "#*$%&|<>"
-Measure = Callable[[Column], Column]
+#: Gets a text, never NULL, and the array of its words.
+Measure = Callable[[Column, Column], Column]
 
 
 @dataclass(frozen=True)
@@ -35,16 +36,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, "")).cast("bigint")
-
-
 def _count(text: Column, chars: str) -> Column:
-    return F.char_length(text).cast("bigint") - _without(text, chars)
+    return F.regexp_count(text, F.lit(chars)).cast("bigint")
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+def words(text: Column) -> Column:
+    """Runs of characters other than white space. Replacing single characters is quicker than translating or a pattern."""
+    for blank in BLANKS.replace(" ", ""):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _lines(text: Column) -> Column:
@@ -52,8 +52,8 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def repeat_words(text: Column, size: int = 5) -> Column:
-    """Words inside windows of ``size`` words that the text holds twice or more.
+def repeat_words(found: Column, size: int = 5) -> Column:
+    """Words, of the array ``found``, inside windows of ``size`` words that it holds twice or more.
 
     Windows are compared by 64-bit hashes. Only texts with an equal pair of them sort them.
     """
@@ -73,7 +73,7 @@ def repeat_words(text: Column, size: int = 5) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - size, F.lit(0)))
         return F.when(long_enough, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)])))
 
-    return _let(F.transform(_words(text), lambda x: F.xxhash64(x)), lambda hashes: _let(
+    return _let(F.transform(found, lambda x: F.xxhash64(x)), lambda hashes: _let(
         windows(hashes),
         lambda h: F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("bigint")).otherwise(covered(h))))
 
@@ -82,20 +82,20 @@ def duplicate_lines(text: Column) -> Column:
     return _let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
 
 
-#: What rules ask of a text; the text is never NULL here.
+#: What rules ask of a text.
 MEASURES: dict[str, Measure] = {
-    "n_words": word_count,
-    "word_chars": lambda t: _without(t, BLANKS),
-    "n_symbols": lambda t: _count(t, SYMBOLS),
-    "n_dup_lines": duplicate_lines,
-    "n_repeat_words": repeat_words,
-    "n_lines": lambda t: F.size(_lines(t)).cast("bigint"),
-    "n_upper": lambda t: _count(t, UPPER),
-    "n_lower": lambda t: _count(t, LOWER),
-    "n_shouts": lambda t: _count(t, "!"),
-    "n_digits": lambda t: _count(t, "0123456789"),
-    "n_cut_lines": lambda t: F.size(F.filter(_lines(t), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("bigint"),
-    "longest_word": lambda t: F.coalesce(F.array_max(F.transform(_words(t), lambda w: F.char_length(w))), F.lit(0)).cast("bigint"),
+    "n_words": lambda t, w: F.size(w).cast("bigint"),
+    "word_chars": lambda t, w: F.char_length(F.array_join(w, "")).cast("bigint"),
+    "n_symbols": lambda t, w: _count(t, f"[{SYMBOLS}]"),
+    "n_dup_lines": lambda t, w: duplicate_lines(t),
+    "n_repeat_words": lambda t, w: repeat_words(w),
+    "n_lines": lambda t, w: F.size(_lines(t)).cast("bigint"),
+    "n_upper": lambda t, w: _count(t, "[A-Z]"),
+    "n_lower": lambda t, w: F.char_length(t).cast("bigint") - F.char_length(F.regexp_replace(t, "[a-z]+", "")),
+    "n_shouts": lambda t, w: _count(t, "!"),
+    "n_digits": lambda t, w: _count(t, "[0-9]"),
+    "n_cut_lines": lambda t, w: F.size(F.filter(_lines(t), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("bigint"),
+    "longest_word": lambda t, w: F.coalesce(F.array_max(F.transform(w, lambda x: F.char_length(x))), F.lit(0)).cast("bigint"),
 }
 #: Base rules, then those of the method. All bounds are on whole numbers, so the order of sums can't change a verdict.
 RULES = (
@@ -112,15 +112,17 @@ RULES = (
 )
 
 
-def _asked(ready: tuple[str, ...], measures: dict[str, Measure], text: Column) -> Callable[[str], Column]:
-    return lambda name: F.col(f"measure.{name}") if name in ready else measures[name](text)
+def _asked(ready: tuple[str, ...], measures: dict[str, Measure]) -> Callable[[str], Column]:
+    """Look-up of measures over the rows of ``measured``."""
+    return lambda name: F.col(f"measure.{name}") if name in ready else measures[name](F.col("_text"), F.col("_words"))
 
 
 def measured(docs: DataFrame, names: tuple[str, ...], text: str = "text", measures: dict[str, Measure] | None = None) -> DataFrame:
-    """(doc, measure): every row in a struct beside a struct of the named measures. NULL text is empty."""
+    """(doc, measure, _text, _words): every row in a struct beside a struct of the named measures. NULL text is empty."""
     full = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    found = [(measures or MEASURES)[n](full).alias(n) for n in names]
-    return docs.select(whole(docs).alias("doc"), F.struct(F.lit(0).alias("_none"), *found).alias("measure"))
+    rows = docs.select(whole(docs).alias("doc"), full.alias("_text")).withColumn("_words", words(F.col("_text")))
+    ask = _asked((), measures or MEASURES)
+    return rows.select("doc", F.struct(F.lit(0).alias("_none"), *[ask(n).alias(n) for n in names]).alias("measure"), "_text", "_words")
 
 
 def best_order(masks: list[tuple[int, int]], costs: list[float]) -> list[int]:
@@ -138,14 +140,16 @@ def best_order(masks: list[tuple[int, int]], costs: list[float]) -> list[int]:
     return order
 
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...], ready: tuple[str, ...], measures: dict[str, Measure], text: str,
+def plan(docs: DataFrame, rules: tuple[Rule, ...], report: tuple[str, ...], text: str, measures: dict[str, Measure],
          sample_rows: int = SAMPLE_ROWS) -> list[int]:
-    """Order of the rules, from a sample of about ``sample_rows`` documents of ``measured`` ones."""
+    """Order of the rules, from a sample of about ``sample_rows`` documents."""
     total = docs.count()
     if not total:
         return list(range(len(rules)))
-    sample = staged(docs.sample(min(1.0, sample_rows / total), seed=7), "cascade-sample")
-    ask = _asked(ready, measures, F.coalesce(F.col(f"doc.`{text}`").cast("string"), F.lit("")))
+    picked = docs.select(F.col(f"`{text}`").alias(text)).sample(min(1.0, sample_rows / total), seed=7)
+    # A scan has a task for every file part; the sample is brought together in a few.
+    sample = staged(measured(staged(picked.repartition(4), "cascade-sample"), report, text, measures), "cascade-measures")
+    ask = _asked(report, measures)
     tests = [F.coalesce(r.rejects(ask), F.lit(False)) for r in rules]
     bits = sum((t.cast("bigint") * (1 << i) for i, t in enumerate(tests)), F.lit(0).cast("bigint"))
     masks = [(r["bits"], r["count"]) for r in sample.groupBy(bits.alias("bits")).count().collect()]
@@ -158,7 +162,7 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...], ready: tuple[str, ...], measu
             took.append(time.perf_counter() - start)
         return min(took)
 
-    idle = seconds(F.char_length(f"doc.`{text}`") < 0)
+    idle = seconds(F.octet_length("_text") < 0)
     return best_order(masks, [max(seconds(t) - idle, 1e-3) for t in tests])
 
 
@@ -172,10 +176,10 @@ def screen(docs: DataFrame, rules: tuple[Rule, ...] = RULES, report: tuple[str,
     ``kept`` may not.
     """
     measures = measures or MEASURES
-    rows = measured(docs, report, text, measures)
-    ask = _asked(report, measures, F.coalesce(F.col(f"doc.`{text}`").cast("string"), F.lit("")))
+    order = plan(docs, rules, report, text, measures, sample_rows)
+    ask = _asked(report, measures)
     verdict = F.lit(None).cast("string")
-    for i in reversed(plan(rows, rules, report, measures, text, sample_rows)):
+    for i in reversed(order):
         verdict = F.when(F.coalesce(rules[i].rejects(ask), F.lit(False)), F.lit(rules[i].name)).otherwise(verdict)
-    judged = rows.select("doc", "measure", verdict.alias("rejected_by"))
+    judged = measured(docs, report, text, measures).select("doc", "measure", verdict.alias("rejected_by"))
     return judged.withColumn("kept", F.col("rejected_by").isNull())
