@@ -1,32 +1,105 @@
 """Phrases that occur together more often than apart, from counts of the longest windows only.
 
-Every word is counted once, together with the words behind it: lead columns, NULL where the piece of text ends. The counts
-of shorter phrases are sums over these windows by prefix, which ROLLUP gives, so texts are exploded once and not per length.
-The lead columns are taken inside the array of a piece's words; ``lead`` over a table of words would shuffle every word first.
+Every word is counted once, together with the words behind it: lead columns, empty where the piece of text ends. The counts
+of shorter phrases are sums over these windows by prefix, so texts are taken apart once and not per length. A task counts the windows
+of its own texts first (shifted columns of word numbers) and deals them by prefix: the longest prefixes are then summed where they
+lie, and only ROLLUP over what is left, the still shorter ones, shuffles again. ``lead`` over a table of words would shuffle every word.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import LOWER, UPPER, join_groups, staged
+from simloom.llm.columns import join_groups, staged
 
-#: Characters that end a piece.
-ENDS = ".,;:!?\n\x0b\x0c\r"
+#: Bytes that end a piece.
+ENDS = b".,;:!?\n\x0b\x0c\r"
+#: Text that a task counts at once, in bytes.
+CHUNK_BYTES = 16 << 20
+#: Prefixes with this share of the windows of a sample of about so many documents are dealt to several tasks.
+HOT_SHARE, SAMPLE_ROWS, SHARES = 1e-3, 4000, 64
 _EXACT = "decimal(38,0)"
+_FOLD = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_NUMBERS = 1 << 62
+
+
+def count_windows(text: bytes, lang: str, longest: int) -> pa.RecordBatch | None:
+    """(head, tail, f): the distinct windows of some pieces of one language, NULL if there are no words.
+
+    ``head`` joins all words but the last and the language by spaces, ``tail`` is the last; words beyond a piece are empty.
+    """
+    data = np.frombuffer(text.translate(_FOLD), np.uint8)
+    solid = (data != 32) & (data != 10)
+    begins = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    if not len(begins):
+        return None
+    ends = np.flatnonzero(solid & ~np.concatenate((solid[1:], [False])))
+    offsets = np.concatenate(([0], np.cumsum(ends - begins + 1))).astype(np.int64)
+    found = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[solid])).dictionary_encode()
+    word, size = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+    piece = np.cumsum(data == 10)[begins]
+    leads = [word + 1]
+    for k in range(1, longest):
+        lead = np.zeros(len(word), np.int64)
+        lead[:-k] = np.where(piece[k:] == piece[:-k], word[k:] + 1, 0) if k < len(word) else lead[:-k]
+        leads.append(lead)
+    key, span = leads[0], size + 1
+    for lead in leads[1:]:
+        if span >= _NUMBERS // (size + 1):
+            same, key = np.unique(key, return_inverse=True)
+            span = len(same)
+        key, span = key * (size + 1) + lead, span * (size + 1)
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    names = pa.concat_arrays([pa.array([""], pa.large_string()), found.dictionary]).cast(pa.string())
+    columns = [names.take(pa.array(lead[first])) for lead in leads]
+    head = pc.binary_join_element_wise(*columns[:-1], pa.scalar(lang), " ")
+    return pa.RecordBatch.from_arrays([head, columns[-1], pa.array(count, pa.int64())], names=["head", "tail", "f"])
 
 
 def windows(docs: DataFrame, longest: int, text: str = "text", lang: str = "lang", missing: str = "und") -> DataFrame:
-    """(lang, w1, ..., w<longest>): every word with the words behind it in its piece, NULL beyond its end."""
-    flat = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), UPPER + ENDS + "\t", LOWER + "\n" * len(ENDS) + " ")
-    pieces = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(missing)).alias("lang"), F.explode(F.split(flat, "\n")).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("w")).filter(F.size("w") > 0)
-    leads = [F.slice("w", i + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{i + 1}") for i in range(longest)]
-    return words.select("lang", F.explode(F.arrays_zip(*leads)).alias("x")).select("lang", "x.*")
+    """(head, tail, f): windows of ``longest`` words, counted within a task (see ``count_windows``)."""
+
+    def flush(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for name in sorted(held):
+            rows = count_windows(b"\n".join(held[name]), name, longest)
+            for at in range(0, rows.num_rows if rows is not None else 0, 1 << 16):
+                yield rows.slice(at, 1 << 16)
+        held.clear()
+
+    def run(batches):
+        held, size = defaultdict(list), 0
+        for b in batches:
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                held[name].append(t.as_py())
+                size += len(held[name][-1])
+                if size >= CHUNK_BYTES:
+                    yield from flush(held)
+                    size = 0
+        yield from flush(held)
+
+    picked = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(missing)).alias("lang"),
+                         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return picked.mapInArrow(run, "head string, tail string, f bigint")
+
+
+def _hot_heads(docs: DataFrame, longest: int, text: str, lang: str) -> list[str]:
+    """Prefixes that hold much of a sample: at most 1 / HOT_SHARE. They steer the layout only."""
+    total = docs.count()
+    if not total:
+        return []
+    seen = windows(docs.sample(min(1.0, SAMPLE_ROWS / total), seed=7), longest, text, lang).groupBy("head").agg(F.sum("f").alias("f"))
+    seen = staged(seen, "phrase-sample")
+    least = (seen.agg(F.sum("f")).first()[0] or 0) * HOT_SHARE
+    return sorted(r["head"] for r in seen.filter(F.col("f") > max(least, 1)).collect())
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -34,18 +107,32 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
 
     Size 0 is the language itself: ``f`` is then the number of its words, however few.
     """
-    names = [f"w{i + 1}" for i in range(longest)]
-    counted = windows(docs, longest, text, lang).groupBy("lang", *names).agg(F.count("*").alias("f"))
-    top = counted.filter(F.col(names[-1]).isNotNull() & (F.col("f") >= least)).select("lang", *names, "f", F.lit(longest).alias("size"))
-    # Grouping sets (lang, w1, w2), (lang, w1), (lang) and (): bits of the id count the columns that are summed away.
-    sums = counted.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
-    size = reduce(lambda c, k: c.when(F.col("g") == (1 << (longest - 1 - k)) - 1, k), range(1, longest), F.when(F.col("g") == (1 << (longest - 1)) - 1, 0))
+    hot = _hot_heads(docs, longest, text, lang)
+    share = F.pmod(F.xxhash64("tail"), F.lit(SHARES)) + 1
+    salt = F.when(F.col("head").isin(hot), share).otherwise(0) if hot else F.lit(0)
+    spread = windows(docs, longest, text, lang).withColumn("salt", salt.cast("int")).repartition("head", "salt")
+    counted = spread.groupBy("head", "salt", "tail").agg(F.sum("f").alias("f"))
+    parts = F.split("head", " ", longest)
+    name = F.get(parts, F.lit(longest - 1)).alias("lang")
+    head = F.slice(parts, 1, longest - 1)
+    # Conditions on the counts keep filters above the shuffle, so all three branches read the same one.
+    top = counted.filter(F.when(F.col("f") >= least, F.col("tail")) != "").select(
+        name, F.lit(longest).alias("size"), F.concat(head, F.array("tail")).alias("phrase"), "f")
+    heads = counted.groupBy("head", "salt").agg(F.sum("f").alias("f"))
+    whole = heads.filter((F.col("f") >= least) | (F.col("salt") > 0)).groupBy("head").agg(F.sum("f").alias("f"))
+    whole = whole.filter(F.col("f") >= least).select(name, F.lit(longest - 1).alias("size"), head.alias("phrase"), "f")
+    whole = whole.filter(F.element_at("phrase", -1) != "")
+    # ROLLUP to (lang, w1, ...), ..., (lang, w1), (lang) and (): bits of the id count the columns that are summed away.
+    names = [f"w{i + 1}" for i in range(longest - 2)]
+    sums = heads.select(name, *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)], "f")
+    sums = sums.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
+    size = reduce(lambda c, k: c.when(F.col("g") == (1 << (longest - 2 - k)) - 1, k), range(1, longest - 1),
+                  F.when(F.col("g") == (1 << (longest - 2)) - 1, 0))
     sums = sums.withColumn("size", size).filter("size IS NOT NULL")
-    # A NULL in the last column of a set is the end of a piece: no phrase of that size.
-    full = reduce(lambda c, k: c | ((F.col("size") == k) & F.col(names[k - 1]).isNotNull()), range(1, longest), F.col("size") == 0)
-    shorter = sums.filter(full & ((F.col("size") == 0) | (F.col("f") >= least)))
-    both = shorter.select("lang", *names[:-1], F.lit(None).cast("string").alias(names[-1]), "f", "size").unionByName(top)
-    return both.select("lang", "size", F.slice(F.array(*names), F.lit(1), F.col("size")).alias("phrase"), "f")
+    sums = sums.select("lang", "size", (F.slice(F.array(*names), F.lit(1), F.col("size")) if names else F.array().cast("array<string>")).alias("phrase"), "f")
+    # An empty last word is the end of a piece: no phrase of that size.
+    sums = sums.filter((F.col("size") == 0) | ((F.col("f") >= least) & (F.get("phrase", F.col("size") - 1) != "")))
+    return top.unionByName(whole).unionByName(sums)
 
 
 def _score(a: Column, first: Column, rest: Column, scale: int) -> Column:
@@ -63,8 +150,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, first: int
     A phrase met ``a`` times is as good as its worst cut: with ``l`` and ``r`` the counts of both sides, scale * a * a / (l * r),
     rounded down, ties to the shorter left side. ``n`` counts the words of the language. A phrase is left out if a longer one that holds
     it has at least ``share`` per cent of its count. Ranks go by score and ``a``, descending, then by the bytes of the phrase.
-    NULL text is empty, a NULL language is ``und``, an empty table gives no rows, other columns are left out.
+    NULL text is empty, a NULL language is ``und``, an empty table gives no rows, other columns are left out. Counts are exact: words are
+    told apart by their bytes and scores have 38 digits.
     """
+    if longest < 2:
+        raise ValueError("phrases have at least two words")
     counts = staged(phrase_counts(docs, longest, least, text, lang), "phrase-counts")
     languages = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
     total = languages.agg(F.sum("n")).first()[0] or 0
