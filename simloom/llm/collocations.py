@@ -120,8 +120,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
         name, F.lit(longest).alias("size"), F.concat(head, F.array("tail")).alias("phrase"), "f")
     heads = counted.groupBy("head", "salt").agg(F.sum("f").alias("f"))
     whole = heads.filter((F.col("f") >= least) | (F.col("salt") > 0)).groupBy("head").agg(F.sum("f").alias("f"))
-    whole = whole.filter(F.col("f") >= least).select(name, F.lit(longest - 1).alias("size"), head.alias("phrase"), "f")
-    whole = whole.filter(F.element_at("phrase", -1) != "")
+    whole = whole.select(name, F.lit(longest - 1).alias("size"), head.alias("phrase"), "f")
+    whole = whole.filter(F.when(F.col("f") >= least, F.element_at("phrase", -1)) != "")
     # ROLLUP to (lang, w1, ...), ..., (lang, w1), (lang) and (): bits of the id count the columns that are summed away.
     names = [f"w{i + 1}" for i in range(longest - 2)]
     sums = heads.select(name, *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)], "f")
