@@ -111,28 +111,29 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     share = F.pmod(F.xxhash64("tail"), F.lit(SHARES)) + 1
     salt = F.when(F.col("head").isin(hot), share).otherwise(0) if hot else F.lit(0)
     spread = windows(docs, longest, text, lang).withColumn("salt", salt.cast("int")).repartition("head", "salt")
-    counted = spread.groupBy("head", "salt", "tail").agg(F.sum("f").alias("f"))
     parts = F.split("head", " ", longest)
-    name = F.get(parts, F.lit(longest - 1)).alias("lang")
-    head = F.slice(parts, 1, longest - 1)
-    # Conditions on the counts keep filters above the shuffle, so all three branches read the same one.
-    top = counted.filter(F.when(F.col("f") >= least, F.col("tail")) != "").select(
-        name, F.lit(longest).alias("size"), F.concat(head, F.array("tail")).alias("phrase"), "f")
-    heads = counted.groupBy("head", "salt").agg(F.sum("f").alias("f"))
-    whole = heads.filter((F.col("f") >= least) | (F.col("salt") > 0)).groupBy("head").agg(F.sum("f").alias("f"))
-    whole = whole.select(name, F.lit(longest - 1).alias("size"), head.alias("phrase"), "f")
-    whole = whole.filter(F.when(F.col("f") >= least, F.element_at("phrase", -1)) != "")
-    # ROLLUP to (lang, w1, ...), ..., (lang, w1), (lang) and (): bits of the id count the columns that are summed away.
-    names = [f"w{i + 1}" for i in range(longest - 2)]
-    sums = heads.select(name, *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)], "f")
-    sums = sums.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
-    size = reduce(lambda c, k: c.when(F.col("g") == (1 << (longest - 2 - k)) - 1, k), range(1, longest - 1),
-                  F.when(F.col("g") == (1 << (longest - 2)) - 1, 0))
-    sums = sums.withColumn("size", size).filter("size IS NOT NULL")
-    sums = sums.select("lang", "size", (F.slice(F.array(*names), F.lit(1), F.col("size")) if names else F.array().cast("array<string>")).alias("phrase"), "f")
+    name, head = F.get(parts, F.lit(longest - 1)).alias("lang"), F.slice(parts, 1, longest - 1)
+    # Conditions on the counts keep filters above the shuffle, so both branches read the same one.
+    counted = spread.groupBy("head", "salt", "tail").agg(F.sum("f").alias("f"))
+    top = counted.filter(F.when(F.col("f") >= least, F.col("tail")) != "").select(name, F.lit(longest).alias("size"), F.concat(head, F.array("tail")).alias("phrase"), "f")
+    # Prefixes that can be met often enough, and the next shorter one of all of them.
+    heads = spread.groupBy("head", "salt").agg(F.sum("f").alias("f"), F.max(F.octet_length("tail")).alias("bytes"))
+    frequent = (F.col("f") >= least) | (F.col("salt") > 0) | (F.col("bytes") < 0)
+    sizes = F.when(frequent, F.array(F.lit(longest - 2), F.lit(longest - 1))).otherwise(F.array(F.lit(longest - 2)))
+    sums = heads.select("head", "f", F.explode(sizes).alias("size")).select(
+        name, "size", F.call_function("substring_index", "head", F.lit(" "), "size").alias("words"), "f").groupBy("lang", "size", "words").agg(F.sum("f").alias("f"))
+    phrase = F.slice(F.split("words", " "), F.lit(1), F.col("size")).alias("phrase")
+    # ROLLUP to the still shorter ones, down to (lang) and (): bits of the id count the columns that are summed away.
+    below = max(longest - 3, 0)
+    names = [f"w{i + 1}" for i in range(below)]
+    rolled = sums.filter(F.col("size") == longest - 2).select("lang", *[F.get(F.split("words", " "), F.lit(i)).alias(n) for i, n in enumerate(names)], "f")
+    rolled = rolled.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
+    size = reduce(lambda c, k: c.when(F.col("g") == (1 << (below - k)) - 1, k), range(1, below + 1), F.when(F.col("g") == (1 << below) - 1, 0))
+    rolled = rolled.withColumn("size", size).filter("size IS NOT NULL")
+    rolled = rolled.select("lang", "size", F.slice(F.array(*names, F.lit("")), F.lit(1), F.col("size")).alias("phrase"), "f")
     # An empty last word is the end of a piece: no phrase of that size.
-    sums = sums.filter((F.col("size") == 0) | ((F.col("f") >= least) & (F.get("phrase", F.col("size") - 1) != "")))
-    return top.unionByName(whole).unionByName(sums)
+    both = sums.filter(F.col("size") > 0).select("lang", "size", phrase, "f").unionByName(rolled)
+    return top.unionByName(both.filter((F.col("size") == 0) | ((F.col("f") >= least) & (F.get("phrase", F.col("size") - 1) != ""))))
 
 
 def _score(a: Column, first: Column, rest: Column, scale: int) -> Column:
