@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from simloom.llm.columns import staged
 from simloom.llm.hashing import _buffers, _chunk, mixed, pieces
 
-#: Text of one task and ids of one shard file, in bytes; keys of one index bucket, about; words that a task remembers.
-TASK_BYTES, SHARD_BYTES, BUCKET_KEYS, MEMO_WORDS = 16 << 20, 64 << 20, 4096, 800_000
+#: Text of one task and ids of one shard file, in bytes; keys of one index bucket, about.
+TASK_BYTES, SHARD_BYTES, BUCKET_KEYS = 16 << 20, 64 << 20, 4096
+#: Words that a worker remembers, at most, and ids of all of them; a power of two and a bound.
+MEMO_WORDS, MEMO_IDS = 1 << 21, 1 << 23
 #: Punctuation that a tokenizer may part from the word before it.
 _BEHIND = ".,;:!?#$%&*|()"
 #: Encoders of this worker process, with the words that they remember.
@@ -52,35 +54,52 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[int, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Forgets all words. A word has two places by its hash; a third word for a place drives out the one that is there."""
+        self.known = np.zeros(MEMO_WORDS, np.uint64)
+        self.starts, self.lengths = np.zeros(MEMO_WORDS, np.int64), np.zeros(MEMO_WORDS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(MEMO_WORDS - 1)
+        return (hashes & mask).astype(np.int64), (hashes >> np.uint64(32) & mask).astype(np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length in the pool of distinct new words, which are remembered too."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))))
-        self.codes.update(zip(hashes, range(len(self.codes), len(self.codes) + len(hashes))))
+        starts = self.used + np.cumsum(lengths) - lengths
+        end = self.used + int(lengths.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), end - len(self.pool)), np.uint32)))
+        self.pool[self.used:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+        self.used = end
+        first, second = self._places(hashes)
+        place = np.where((self.known[first] != 0) & (self.known[second] == 0), second, first)
+        _, one = np.unique(place, return_index=True)
+        place = place[one]
+        self.known[place], self.starts[place], self.lengths[place] = hashes[one], starts[one], lengths[one]
+        return starts, lengths
 
     def __call__(self, texts: pa.Array, end: int):
         """Pieces of (ids of some texts in order, each text followed by ``end``; ids per text)."""
         raw, offsets = _buffers(texts)
         for a, b in pieces(offsets):
-            if len(self.codes) > MEMO_WORDS:
+            if self.used > MEMO_IDS:
                 self.clear()
             whole = raw[offsets[a]:offsets[b]].tobytes()
             # Special tokens are found as they are written.
             folds = not any(x in whole for x in self.special)
             hashes, per_text, first, last = _chunk(raw, offsets[a:b + 1], self.lower and folds, self.marks if folds else None)
-            known, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-            names = known.tolist()
-            new = [i for i, h in enumerate(names) if h not in self.codes]
-            if new:
-                at = where[new]
-                self._learn([names[i] for i in new], [raw[x:y + 1].tobytes().decode() for x, y in zip(first[at].tolist(), last[at].tolist())])
-            code = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))
-            starts, size = self.starts[code][back], self.lengths[code][back]
+            hashes |= hashes == 0  # 0 is an empty place
+            place, other = self._places(hashes)
+            place = np.where(self.known[place] == hashes, place, other)
+            missing = np.flatnonzero(self.known[place] != hashes)
+            starts, size = self.starts[place], self.lengths[place].astype(np.int64)
+            if len(missing):
+                new, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+                at = missing[where]
+                learnt = self._learn(new, [raw[x:y + 1].tobytes().decode() for x, y in zip(first[at].tolist(), last[at].tolist())])
+                starts[missing], size[missing] = learnt[0][back], learnt[1][back]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             ids = self.pool[np.arange(total) + np.repeat(starts - (ends - size), size)] if total else np.zeros(0, np.uint32)
