@@ -113,7 +113,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     spread = windows(docs, longest, text, lang).withColumn("salt", salt.cast("int")).repartition("head", "salt")
     parts = F.split("head", " ", longest)
     name, head = F.get(parts, F.lit(longest - 1)).alias("lang"), F.slice(parts, 1, longest - 1)
-    # Conditions on the counts keep filters above the shuffle, so both branches read the same one.
+    # Conditions on the counts keep filters above the shuffles, so all branches read the same ones.
     counted = spread.groupBy("head", "salt", "tail").agg(F.sum("f").alias("f"))
     top = counted.filter(F.when(F.col("f") >= least, F.col("tail")) != "").select(name, F.lit(longest).alias("size"), F.concat(head, F.array("tail")).alias("phrase"), "f")
     # Prefixes that can be met often enough, and the next shorter one of all of them.
@@ -122,6 +122,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     sizes = F.when(frequent, F.array(F.lit(longest - 2), F.lit(longest - 1))).otherwise(F.array(F.lit(longest - 2)))
     sums = heads.select("head", "f", F.explode(sizes).alias("size")).select(
         name, "size", F.call_function("substring_index", "head", F.lit(" "), "size").alias("words"), "f").groupBy("lang", "size", "words").agg(F.sum("f").alias("f"))
+    sums = sums.withColumn("size", F.when(F.col("f") > 0, F.col("size")))
     phrase = F.slice(F.split("words", " "), F.lit(1), F.col("size")).alias("phrase")
     # ROLLUP to the still shorter ones, down to (lang) and (): bits of the id count the columns that are summed away.
     below = max(longest - 3, 0)
