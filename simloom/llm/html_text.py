@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' shape.
 
 A page is read once into blocks of text between block-level tags. A block is described by its words and link density, those
-of the blocks before and after it, and where it stands: inside the page's article, outside of it, or on a
-page that marks none; and whether one of its ancestors is page furniture by tag or role, or is only named like it. The tree is fitted
-on the small labelled table below; a long block with few links is main text there in spite of such a name.
+of the blocks before and after it, its kind (heading, paragraph, other) and where it stands: inside the page's article, outside of it, or on a
+page that marks none; and whether one of its ancestors is page furniture by tag, role or the name of a container such as comments, adverts or
+sidebars, or has a name that says less. The tree is fitted on the small labelled table below; a long block with few links is main text
+there in spite of a name of the last kind.
 """
 
 from __future__ import annotations
@@ -31,7 +32,14 @@ FURNITURE_NAMES = frozenset(
     " notification alert popup modal overlay newsletter subscribe signup login register sidebar side widget widgets related recommended"
     " recommendations trending popular share sharing social comment comments commentlist disqus reply replies respond discussion nav navbar navigation"
     " menu menus breadcrumb breadcrumbs pagination pager toolbar footer masthead skip skiplink topbar tags copyright disclaimer form search".split())
+#: Of these, names of containers that hold no main text whatever its shape.
+CONTAINER_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification"
+    " popup modal overlay newsletter subscribe signup login sidebar comment comments commentlist disqus breadcrumb breadcrumbs pagination disclaimer".split())
+#: Names of containers when they stand alone or with one of the others: ``related`` and ``related-posts``, not ``related-work``.
+LISTING_NAMES, LISTED_NAMES = frozenset("related recommended recommendations trending popular".split()), frozenset("article articles post posts story stories news links reading".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _STRUCTURE = FURNITURE_TAGS | MAIN_TAGS | {"header"}
 #: An open element is closed by the start of one of these.
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -42,9 +50,9 @@ _ABOUT = re.compile(r"(?<!\S)(?:category|tag|has)-\S*", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Labelled blocks: words, link density, words and link density of the block before, of the block after, place (1 in
-#: the article, -1 outside the article, 0 no article marked), furniture (1 by name only, 2 by tag, role or being hidden), and
-#: whether the block is main text.
-LABELLED = (
+#: the article, -1 outside the article, 0 no article marked), furniture (1 by a name that says little, 2 by tag, role, the name of a container
+#: or being hidden), and whether the block is main text. These hold for paragraphs and for other blocks but headings.
+_SHAPES = (
     (40, 0.0, 35, 0.0, 50, 0.0, 1, 0, 1), (120, 0.05, 9, 0.0, 80, 0.0, 1, 0, 1), (1, 0.0, 60, 0.0, 45, 0.0, 1, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1),
     (8, 0.0, 1, 1.0, 70, 0.0, 1, 0, 1), (10, 0.0, 12, 0.0, 0, 0.0, 1, 0, 1), (25, 0.2, 30, 0.0, 4, 0.0, 1, 0, 1), (5, 0.0, 0, 0.0, 6, 0.0, 1, 0, 1),
     (60, 0.4, 50, 0.1, 40, 0.0, 1, 0, 1), (3, 1.0, 40, 0.0, 52, 0.0, 1, 0, 1), (15, 0.0, 15, 0.0, 15, 0.0, 1, 0, 1), (1, 1.0, 1, 0.0, 20, 0.0, 1, 0, 1),
@@ -76,12 +84,31 @@ LABELLED = (
     (100, 0.7, 3, 1.0, 4, 1.0, 0, 1, 0), (6, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (30, 0.1, 25, 0.1, 40, 0.0, 0, 1, 0), (5, 0.8, 2, 1.0, 4, 1.0, 0, 1, 0),
     (14, 0.1, 70, 0.0, 0, 0.0, -1, 1, 0), (60, 0.0, 2, 0.0, 30, 0.0, -1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0), (120, 0.0, 60, 0.0, 90, 0.0, -1, 1, 0),
 )
+#: The same with the kind of block (0 other, 1 paragraph, 2 heading) before the label, where the kind decides: short paragraphs and
+#: headings beside text on pages that mark no article, and the same shapes without such a neighbour.
+_KINDS = (
+    (6, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 1), (4, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 1), (3, 0.0, 80, 0.05, 2, 1.0, 0, 0, 1, 1), (8, 0.0, 22, 0.0, 3, 0.0, 0, 0, 1, 1),
+    (5, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1, 1), (2, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1, 1), (9, 0.0, 6, 0.0, 40, 0.0, 0, 0, 1, 1), (4, 0.0, 2, 1.0, 55, 0.0, 0, 0, 1, 1),
+    (6, 1.0, 50, 0.0, 2, 1.0, 0, 0, 1, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (5, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 0), (4, 0.8, 60, 0.0, 3, 1.0, 0, 0, 1, 0),
+    (50, 0.0, 40, 0.0, 1, 1.0, 0, 0, 1, 1), (30, 0.0, 2, 0.0, 3, 0.0, 0, 0, 1, 1), (70, 0.0, 60, 0.0, 2, 1.0, 0, 0, 1, 1), (25, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1, 1),
+    (90, 0.0, 4, 0.0, 2, 1.0, 0, 0, 1, 1), (16, 0.0, 55, 0.0, 1, 1.0, 0, 0, 1, 1), (12, 0.0, 3, 0.0, 30, 0.0, 0, 0, 1, 1), (40, 0.1, 5, 0.0, 4, 0.0, 0, 0, 1, 1),
+    (2, 0.0, 40, 0.0, 30, 0.0, 1, 1, 2, 1), (1, 0.0, 80, 0.0, 50, 0.0, 1, 1, 2, 1), (6, 0.0, 25, 0.0, 30, 0.0, 1, 1, 2, 1), (3, 0.0, 60, 0.0, 90, 0.0, 1, 1, 2, 1),
+    (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 2, 1), (3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 2, 1), (8, 0.0, 1, 1.0, 25, 0.1, 0, 0, 2, 1), (2, 0.0, 70, 0.0, 50, 0.0, 0, 0, 2, 1),
+    (4, 0.0, 30, 0.0, 18, 0.0, 0, 0, 2, 1), (12, 0.0, 3, 1.0, 90, 0.0, 0, 0, 2, 1), (6, 0.0, 4, 1.0, 35, 0.0, 0, 0, 2, 1), (1, 0.0, 55, 0.0, 45, 0.0, 0, 0, 2, 1),
+    (2, 0.0, 60, 0.0, 1, 1.0, 0, 0, 2, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 2, 0), (2, 0.0, 40, 0.0, 3, 1.0, 0, 0, 2, 0), (4, 1.0, 1, 1.0, 2, 1.0, 0, 0, 2, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 2, 0), (3, 0.0, 50, 0.0, 0, 0.0, 0, 0, 2, 0), (6, 0.0, 0, 0.0, 60, 0.0, 1, 0, 2, 1), (2, 0.0, 40, 0.0, 1, 1.0, 1, 0, 2, 1),
+    (3, 0.0, 45, 0.0, 60, 0.0, 1, 1, 2, 1), (2, 0.0, 30, 0.0, 45, 0.0, 1, 1, 2, 1), (4, 0.0, 70, 0.0, 25, 0.0, 1, 1, 2, 1), (2, 0.0, 60, 0.0, 3, 1.0, 1, 1, 2, 0),
+    (3, 0.0, 20, 0.0, 2, 1.0, 1, 1, 2, 0), (5, 0.0, 0, 0.0, 60, 0.0, -1, 0, 2, 0), (3, 0.0, 60, 0.0, 9, 0.0, -1, 0, 2, 0), (6, 0.0, 9, 0.0, 60, 0.0, 1, 2, 2, 0),
+    (2, 0.0, 60, 0.0, 60, 0.0, 0, 2, 2, 0), (4, 0.0, 3, 1.0, 50, 0.0, 0, 2, 2, 0), (5, 0.0, 4, 1.0, 2, 0.0, 1, 0, 2, 1), (4, 0.0, 12, 0.0, 30, 0.0, -1, 1, 2, 0),
+    (5, 0.0, 40, 0.0, 30, 0.0, 1, 0, 2, 1), (5, 0.0, 40, 0.0, 30, 0.0, 0, 1, 2, 0), (2, 0.0, 3, 1.0, 3, 1.0, 0, 1, 2, 0), (3, 0.0, 60, 0.0, 20, 0.0, 0, 1, 2, 0),
+)
+LABELLED = (*((*row[:-1], kind, row[-1]) for row in _SHAPES for kind in (0, 1) if (*row[:-1], kind) not in {r[:-1] for r in _KINDS}), *_KINDS)
 
 
 @lru_cache(maxsize=1)
 def tree() -> Node:
     rows = np.array(LABELLED, float)
-    return fit_tree(rows[:, :-1], rows[:, -1], depth=6)
+    return fit_tree(rows[:, :-1], rows[:, -1], depth=8)
 
 
 @lru_cache(maxsize=100_000)
@@ -90,8 +117,13 @@ def _names(value: str) -> frozenset[str]:
     return frozenset(_NAME.findall(_HUMP.sub(" ", _ABOUT.sub(" ", value)).lower()))
 
 
+def _whole_names(value: str) -> frozenset[str]:
+    """Class names that are one word: ``related``, not ``related-work``."""
+    return frozenset(value.lower().split())
+
+
 class _Blocks(HTMLParser):
-    """Collects (text pieces, words, words in links, in the article, furniture) per block."""
+    """Collects (text pieces, words, words in links, kind, in the article, furniture) per block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -103,8 +135,9 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         if text:
             _, main, furniture, _ = self.open[-1] if self.open else ("", False, 0, False)
+            tag = next((t for t, *_ in reversed(self.open) if t not in INLINE), "")
             n = text.count(" ") + 1
-            self.blocks.append([text, n, min(self.in_links, n) / n, main, furniture])
+            self.blocks.append([text, n, min(self.in_links, n) / n, 2 if tag in HEADINGS else int(tag == "p"), main, furniture])
         self.pieces, self.in_links = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -122,10 +155,16 @@ class _Blocks(HTMLParser):
             self.open.append((tag, main, furniture, silent or tag in SILENT))
             return
         given = {k: v or "" for k, v in attrs}
-        named = tag not in ("html", "body") and bool(FURNITURE_NAMES & _names(f"{given.get('class', '')} {given.get('id', '')}"))
+        names = _names(f"{given.get('class', '')} {given.get('id', '')}") if tag not in ("html", "body") else frozenset()
+        named = bool(FURNITURE_NAMES & names)
+        # Headings and inline tags name what they are about; the first article or main tag is the article whatever it is called.
+        contains = tag not in INLINE and tag not in HEADINGS and bool(
+            CONTAINER_NAMES & names or LISTING_NAMES & names and (LISTED_NAMES & names or LISTING_NAMES & _whole_names(f"{given.get('class', '')} {given.get('id', '')}")))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        own = 2 if tag in FURNITURE_TAGS or given.get("role", "") in FURNITURE_ROLES or hidden else int(named)
         starts = tag in MAIN_TAGS or given.get("role") == "main" or given.get("itemprop") == "articleBody"
+        if starts and not main:
+            contains = bool((CONTAINER_NAMES | LISTING_NAMES) & _whole_names(given.get("class", "")))
+        own = 2 if tag in FURNITURE_TAGS or given.get("role", "") in FURNITURE_ROLES or hidden or contains else int(named)
         if tag == "header" and not main:
             own = 2
         if starts and (not own or own == 1 and not main):
@@ -169,11 +208,11 @@ def blocks(html: str | None) -> list[tuple[str, tuple[float, ...]]]:
     page.feed(html or "")
     page.finish()
     marked = any(main and furniture < 2 for *_, main, furniture in page.blocks)
-    out, none = [], (None, 0, 0.0, False, 0)
+    out, none = [], (None, 0, 0.0, 0, False, 0)
     around = [none, *page.blocks, none]
-    for before, (text, n, links, main, furniture), after in zip(around, page.blocks, around[2:]):
+    for before, (text, n, links, kind, main, furniture), after in zip(around, page.blocks, around[2:]):
         place = (1 if main else -1) if marked else 0
-        out.append((text, (n, links, before[1], before[2], after[1], after[2], place, furniture)))
+        out.append((text, (n, links, before[1], before[2], after[1], after[2], place, furniture, kind)))
     return out
 
 

@@ -223,6 +223,37 @@ def test_names_of_furniture_do_not_hide_the_article():
     assert html_text.main_text(page) == f"{long} {more} {long} {more}"
 
 
+LONG, MORE, SAID = " ".join(["word"] * 40), " ".join(["more"] * 30), " ".join(["said"] * 45)
+
+
+@pytest.mark.parametrize("other", [
+    f"<section class='comments'><p>{SAID}</p><p>{SAID}</p></section>", f"<div id='comments'><p>{SAID}</p></div>", f"<div class='cookie-notice'><p>{SAID}</p></div>",
+    f"<div class='sidebar'><p>{SAID}</p></div>", f"<div class='advert'><p>{SAID}</p></div>", f"<article class='comment'><p>{SAID}</p></article>",
+    f"<div class='newsletter-signup'>{SAID}</div>", f"<ul class='commentlist'><li>{SAID}<li>{SAID}</ul>", f"<div class='related-posts'><p>{SAID}</p></div>",
+    f"<div class='related'><p>{SAID}</p></div>"])
+def test_containers_of_other_text(other):
+    for tag in ("article", "main"):
+        page = f"<nav><a href=/>Home</a></nav><{tag}><h1>Title</h1><p>{LONG}</p>{other}<p>{MORE}</p></{tag}><footer>foot</footer>"
+        assert html_text.main_text(page) == f"Title {LONG} {MORE}"
+    assert html_text.main_text(f"<div><h1>Title</h1><p>{LONG}</p><p>{MORE}</p></div>{other}") == f"Title {LONG} {MORE}"
+    assert html_text.main_text(f"<main><h1>Title</h1><p>{LONG}</p></main><article class='related'><p>{SAID}</p></article>") == f"Title {LONG}"
+
+
+def test_names_that_say_little():
+    kept = f"<section id='discussion'><h2 id='related-work'>Related work</h2><p>{MORE}</p></section><section class='related-work'><p>{MORE}</p></section>"
+    assert html_text.main_text(f"<article><p>{LONG}</p>{kept}</article>") == f"{LONG} Related work {MORE} {MORE}"
+
+
+def test_pages_without_an_article():
+    page = f"<div><a href=1>Home</a> <a href=2>News</a></div><div><h1>A short title</h1><p>{LONG}</p><h2>Next part</h2><p>{MORE}</p><p>The end.</p></div><div><a href=3>next</a></div>"
+    assert html_text.main_text(page) == f"A short title {LONG} Next part {MORE} The end."
+
+
+def test_very_long_and_broken_pages():
+    page = "<article>" + "".join(f"<p>{LONG}" for _ in range(3000)) + "<div>" * 300 + f"<p>{MORE}"
+    assert html_text.main_text(page) == " ".join([LONG] * 3000 + [MORE])
+
+
 def test_extraction_keeps_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old", 1), (2, None, None, None, 2), (2, None, None, None, 2)], "page_id int, url string, html string, text string, `a.b` int")
     out = html_text.extract(df)
