@@ -22,10 +22,9 @@ BROADCAST_WINDOWS = 100_000
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """(window, items): the distinct windows of ``size`` words with the sorted ids of their items, as text.
 
-    A shorter item that has words is one window. Items without words or id have none.
+    A shorter item that has words is one window. Items without words have none; windows of items without an id count, but name no item.
     """
-    parts = benchmark.select(F.col(item).cast("string").alias("i"), words(F.col(text)).alias("w")).filter(
-        "size(w) > 0 AND i IS NOT NULL")
+    parts = benchmark.select(F.col(item).cast("string").alias("i"), words(F.col(text)).alias("w")).filter("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))))
     each = parts.select("i", "w", starts.alias("at")).select("i", F.slice("w", F.col("at"), size).alias("window"))
     return each.groupBy("window").agg(F.sort_array(F.collect_set("i")).alias("items"))

@@ -142,10 +142,22 @@ def test_contamination(odd, rows, spark, small):
 
 
 def test_nothing_to_search_for(odd, rows, spark):
-    bench = spark.createDataFrame([(1, None), (None, "two words")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, None), (None, " ")], "item_id bigint, text string")
     assert decontaminate.clean(odd, bench).count() == len(rows)
 
 
+def test_items_without_an_id_hit(odd, rows, spark):
+    bench = spark.createDataFrame([(None, "two words"), (4, "two words"), (None, "x")], "item_id bigint, text string")
+    got = decontaminate.contamination(odd, bench).select("doc.text", "n_hit", "n_items", "items", "contaminated").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = lower(r["text"]).split()
+        pair = {p for i in range(len(w) - 1) if w[i:i + 2] == ["two", "words"] for p in (i, i + 1)}
+        hit = len(pair) + w.count("x")
+        assert (r["n_hit"], r["items"], r["n_items"]) == (hit, ["4"] if pair else [], int(bool(pair)))
+        assert r["contaminated"] == (hit > 0 and 20 * hit >= len(w))
+
+
 def test_rotation(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "ho"), (1, 3, "ann", None), (2, 0, "system", "alone"),
              (None, 0, "cy", "x"), (3, None, "", "nobody"), (3, 1, "dee", "d"), (3, 1, "dee", "d")]
