@@ -118,11 +118,17 @@ def pair_counts(items: DataFrame, metric: str = "l2", scale: float | None = 1.0,
         bins = np.rint(np.round(d, digits) * step).astype(np.int64)
         keep = q.ids[:, None] != x.ids[None, :]
         alike = q.tag[:, None] == x.tag[None, :]
-        top = int(bins.max(initial=0)) + 1
-        same = np.bincount(bins[keep & alike], minlength=top)
-        other = np.bincount(bins[keep & ~alike], minlength=top)
-        used = np.flatnonzero(same + other)
-        return [used, same[used], other[used]]
+        low = int(bins.min(initial=0))
+        span = int(bins.max(initial=0)) - low + 1
+        if span <= max(4 * bins.size, 1 << 16):
+            same = np.bincount(bins[keep & alike] - low, minlength=span)
+            other = np.bincount(bins[keep & ~alike] - low, minlength=span)
+            used = np.flatnonzero(same + other)
+            return [used + low, same[used], other[used]]
+        # Distances far apart: as many counters as pairs, not as the largest distance.
+        used, at = np.unique(bins[keep], return_inverse=True)
+        same = np.bincount(at, alike[keep], len(used)).astype(np.int64)
+        return [used, same, np.bincount(at, minlength=len(used)) - same]
 
     def merge(cols: list[np.ndarray]) -> list[np.ndarray]:
         bins, at = np.unique(cols[0], return_inverse=True)

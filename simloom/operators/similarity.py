@@ -5,9 +5,11 @@ Queries are ``(query_id, vec)`` and items ``(item_id, vec)``, each with an optio
 
 * *scan*: the query set fits a checked bound, so it is broadcast and every task walks its own items
   once; nothing is shuffled but the per-task winners.
-* *blocks*: both sides are packed into blocks of bounded size inside cells around pivots. Cell
-  pairs that the triangle inequality rules out are dropped, the others meet through an equi-join
-  of blocks. A cell of any size is split, so one hot region of space does not land on one task.
+* *grid*: rows lie in cells around pivots, and cell pairs that the triangle inequality rules out are
+  dropped. What is left of a pair of cells is a grid of tiles: the queries of the cell are cut into a few parts, its
+  items into others, and a row is sent to every tile of its part (fragment and replicate). A task holds the queries of
+  a tile, whose number is bounded, and streams its items past them. So a row is copied as often as the other side
+  has parts, not blocks, and a hot region of space is many tiles.
 
 In both, a task reduces a block of distances on the spot (top-k, radius, counts): candidate pairs
 never become rows.
@@ -32,7 +34,10 @@ from simloom.session import cut
 SCAN_ROWS = 4096
 SCAN_BYTES = 64 << 20
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 64
+#: Blocks of queries that a tile holds, and of items that it streams.
+HELD_BLOCKS, STREAMED_BLOCKS = 8, 64
+#: Pivots grow with the square root of the rows up to this number per ``by`` value, and over all of them.
+MAX_PIVOTS = 512
 ALL_PIVOTS = 1024
 MAX_KINDS = 512
 TILE_CELLS = 1 << 22
@@ -189,12 +194,13 @@ def pair_reduce(
     top_n: int | None = None,
     scan_rows: int = SCAN_ROWS,
     block_rows: int = BLOCK_ROWS,
+    grid: int | None = None,
 ) -> DataFrame:
     """Apply ``fn`` to every (query block, item block) and return the rows it emits.
 
     ``merge`` reduces what one task has gathered so far (it must be associative). ``max_dist`` and
-    ``top_n`` say which cell pairs may be skipped; without either, all pairs meet. The output has
-    a leading ``by`` column.
+    ``top_n`` say which cell pairs may be skipped; without either, all pairs meet. ``grid`` cuts each
+    side of a pair of cells into that many parts instead of parts of bounded size. The output has a leading ``by`` column.
     """
     q, x = _prepare(queries, "query_id"), _prepare(items, "item_id")
     out = T.StructType([T.StructField("by", T.StringType()), *schema.fields])
@@ -202,7 +208,7 @@ def pair_reduce(
     held = q.limit(scan_rows + 1).toArrow().combine_chunks()
     if held.num_rows <= scan_rows and held.nbytes <= SCAN_BYTES:
         return _scan(x, held, fn, out, merge).select(*fields)
-    return _blocks(q, x, fn, out, merge, metric_of(metric), max_dist, top_n, block_rows).select(
+    return _gridded(q, x, fn, out, merge, metric_of(metric), max_dist, top_n, block_rows, grid).select(
         *fields
     )
 
@@ -299,11 +305,10 @@ def _with_cells(df: DataFrame, pivots, metric: Metric) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _cell_stats(df: DataFrame, block_rows: int) -> DataFrame:
-    """Rows, reach and number of blocks per cell."""
-    return df.groupBy("by", "cell").agg(F.count("*").alias("n"), F.max("reach").alias("r")).withColumn(
-        "splits", F.ceil(F.col("n") / block_rows).cast("int")
-    )
+def _cell_stats(df: DataFrame, part_rows: int, grid: int | None) -> DataFrame:
+    """Rows, reach and number of parts per cell."""
+    parts = F.lit(grid) if grid else F.ceil(F.col("n") / part_rows)
+    return df.groupBy("by", "cell").agg(F.count("*").alias("n"), F.max("reach").alias("r")).withColumn("splits", parts.cast("int"))
 
 
 def _held(stats: DataFrame) -> dict[str, dict[int, tuple[int, float, int]]]:
@@ -313,17 +318,6 @@ def _held(stats: DataFrame) -> dict[str, dict[int, tuple[int, float, int]]]:
     return out
 
 
-def _pack(df: DataFrame, stats: DataFrame, side: str, small: bool) -> DataFrame:
-    """One row per block: cells are split by a hash of the id into blocks of bounded size."""
-    splits = stats.select("by", "cell", "splits")
-    return (
-        df.join(F.broadcast(splits) if small else splits, ["by", "cell"])
-        .withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
-        .groupBy("by", F.col("cell").alias(f"{side}_cell"), F.col("split").alias(f"{side}_split"))
-        .agg(F.collect_list(F.struct("id", "tag", "vec")).alias(f"{side}_rows"))
-    )
-
-
 def _kept_cells(metric, pivots, qs, xs, max_dist, top_n):
     """Cell pairs that can hold a wanted pair, per ``by`` value."""
     kept = []
@@ -344,49 +338,81 @@ def _kept_cells(metric, pivots, qs, xs, max_dist, top_n):
     return kept
 
 
-def _blocks(q, x, fn, out, merge, metric, max_dist, top_n, block_rows) -> DataFrame:
+_TILE = ("by", "q_cell", "q_split", "x_cell", "x_split")
+
+
+def tile_rows(q: DataFrame, x: DataFrame, metric: Metric, max_dist: float | None = None, top_n: int | None = None,
+              block_rows: int = BLOCK_ROWS, grid: int | None = None) -> DataFrame:
+    """(by, q_cell, q_split, x_cell, x_split, side, q_id, x_id, tag, vec): every row once per tile that it belongs to."""
     pivots = _pivots(x) if metric.triangle else {}
     if pivots:
         q = q.filter(F.col("by").isin(list(pivots)))
     q, x = _with_cells(q, pivots, metric), _with_cells(x, pivots, metric)
-    q_stats, x_stats = _cell_stats(q, block_rows), _cell_stats(x, block_rows)
+    q_stats, x_stats = _cell_stats(q, HELD_BLOCKS * block_rows, grid), _cell_stats(x, STREAMED_BLOCKS * block_rows, grid)
     if pivots:  # both tables of cells are bounded by the number of pivots
-        kept = _kept_cells(metric, pivots, _held(q_stats), _held(x_stats), max_dist, top_n)
-        schema = "by string, q_cell int, x_cell int, x_splits int"
+        qs, xs = _held(q_stats), _held(x_stats)
+        kept = [(by, c, qs[by][c][2], d, splits) for by, c, d, splits in _kept_cells(metric, pivots, qs, xs, max_dist, top_n)]
+        schema = "by string, q_cell int, q_splits int, x_cell int, x_splits int"
         pairs = F.broadcast(x.sparkSession.createDataFrame(kept, schema))
     else:
-        pairs = q_stats.select("by", F.col("cell").alias("q_cell")).join(
+        pairs = q_stats.select("by", F.col("cell").alias("q_cell"), F.col("splits").alias("q_splits")).join(
             x_stats.select("by", F.col("cell").alias("x_cell"), F.col("splits").alias("x_splits")), "by"
         )
-    met = (
-        _pack(q, q_stats, "q", bool(pivots))
-        .join(pairs, ["by", "q_cell"])
-        .withColumn("x_split", F.explode(F.sequence(F.lit(0), F.col("x_splits") - 1)))
-        .join(_pack(x, x_stats, "x", bool(pivots)), ["by", "x_cell", "x_split"])
-        .select("by", "q_rows", "x_rows")
-    )
 
-    def side(rows: pa.Array) -> Block:
-        s = rows.flatten()
-        return Block(_flat(s.field("id")), _matrix(s.field("vec")), s.field("tag").to_numpy())
+    kinds = {"q": q.schema["id"].dataType, "x": x.schema["id"].dataType}
+
+    def side(df: DataFrame, own: str, other: str, code: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col(f"{own}_splits")).cast("int").alias(f"{own}_split")
+        met = df.withColumnRenamed("cell", f"{own}_cell").join(pairs, ["by", f"{own}_cell"])
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_splits") - 1)).alias(f"{other}_split")
+        ids = [(F.col("id") if s == own else F.lit(None).cast(kind)).alias(f"{s}_id") for s, kind in kinds.items()]
+        return met.select("by", "q_cell", "x_cell", part, every, *ids, "tag", "vec").select(
+            *_TILE, F.lit(code).alias("side"), "q_id", "x_id", "tag", "vec")
+
+    return side(q, "q", "x", 0).unionByName(side(x, "x", "q", 1))
+
+
+def _gridded(q, x, fn, out, merge, metric, max_dist, top_n, block_rows, grid) -> DataFrame:
+    rows = tile_rows(q, x, metric, max_dist, top_n, block_rows, grid)
+    dealt = rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "side").select(
+        F.concat_ws("|", *_TILE[1:], "by").alias("tile"), "by", "side", "q_id", "x_id", "tag", "vec")
+
+    def block(rows: pa.RecordBatch, side: str) -> Block:
+        return Block(_flat(rows.column(f"{side}_id")), _matrix(rows.column("vec")), rows.column("tag").to_numpy())
 
     def run(batches):
         schema = _arrow_schema(out)
+        tile, name, held = None, None, []  # held: [block of queries, what its pairs came to]
+
+        def finish():
+            for _, cols in held:
+                for s in range(0, len(cols[0]) if cols else 0, 100_000):
+                    part = [c[s : s + 100_000] for c in cols]
+                    yield _emit([np.full(len(part[0]), name, object), *part], schema)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_block = side(batch.column("q_rows").slice(i, 1))
-                x_block = side(batch.column("x_rows").slice(i, 1))
-                name = batch.column("by")[i].as_py()
-                held = None
-                for cols in _tiles(fn, q_block, x_block):
-                    if merge is not None:
-                        held = merge(cols) if held is None else merge(_joined([held, cols]))
-                    elif len(cols[0]):
-                        yield _emit([np.full(len(cols[0]), name, object), *cols], schema)
-                if held is not None and len(held[0]):
-                    yield _emit([np.full(len(held[0]), name, object), *held], schema)
-
-    return met.mapInArrow(run, out)
+            runs = pc.run_end_encode(batch.column("tile"))
+            start = 0
+            for end, key in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                part, start = batch.slice(start, end - start), end
+                if key != tile:
+                    yield from finish()
+                    tile, name, held = key, part.column("by")[0].as_py(), []
+                n = int(np.searchsorted(part.column("side").to_numpy(), 1))
+                for s in range(0, n, block_rows):
+                    held.append([block(part.slice(s, min(block_rows, n - s)), "q"), None])
+                if n == part.num_rows or not held:
+                    continue
+                items = block(part.slice(n), "x")
+                for entry in held:
+                    for cols in _tiles(fn, entry[0], items):
+                        if merge is not None:
+                            entry[1] = merge(cols) if entry[1] is None else merge(_joined([entry[1], cols]))
+                        elif len(cols[0]):
+                            yield _emit([np.full(len(cols[0]), name, object), *cols], schema)
+        yield from finish()
+
+    return dealt.mapInArrow(run, out)
 
 
 # ---------------------------------------------------------------- ranked search

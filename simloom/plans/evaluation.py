@@ -113,6 +113,18 @@ def eval_sweep(spark, sf):
     return evaluate.with_prf(both).select("t", "match", "found", "given", *PRF)
 
 
+@query("eval_sweep_grid",
+       f"WITH {_SWEEP} SELECT t, CAST(match AS BIGINT) AS match, CAST(found AS BIGINT) AS found, given, " + prf_sql("match", "found", "given") + " FROM sw, gv")
+def eval_sweep_grid(spark, sf):
+    """The same through the grid, however small the table."""
+    x = items(spark, sf)
+    given = evaluate.given_pairs(x)
+    radius = evaluate.radius_sweep(evaluate.pair_counts(x, scan_rows=0), given)
+    near = similarity.search(as_queries(x), x, top_n=max(evaluate.TOP_N_STEPS), skip="id", scale=1.0, scan_rows=0)
+    both = radius.unionByName(evaluate.top_n_sweep(evaluate.rank_counts(near, x), given))
+    return evaluate.with_prf(both).select("t", "match", "found", "given", *PRF)
+
+
 # Two entries per item: the vector itself and its reverse, sharing the label.
 @query("eval_non_variant",
        f"WITH {E}, x AS (SELECT id * 2 AS id, label, v FROM e UNION ALL SELECT id * 2 + 1, label, list_reverse(v) FROM e), "

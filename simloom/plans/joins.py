@@ -47,6 +47,21 @@ def join_knn(spark, sf):
     return similarity.search(as_queries(x), x, top_n=5, skip="id").select(*HITS)
 
 
+#: A layout for queries that take their rows through the grid, however small the table.
+GRID = {"scan_rows": 0, "block_rows": 64}
+
+
+@query("join_radius_grid", f"WITH {centroid_hits()} " + _ranked("h", "d <= 0.99"))
+def join_radius_grid(spark, sf):
+    return similarity.search(centroids(spark, sf), items(spark, sf), max_dist=0.99, rank=True, **GRID).select(*HITS)
+
+
+@query("join_knn_grid", f"WITH {neighbours(5)} SELECT qid AS query_id, iid AS item_id, d AS dist, r AS rank FROM n")
+def join_knn_grid(spark, sf):
+    x = items(spark, sf)
+    return similarity.search(as_queries(x), x, top_n=5, skip="id", scan_rows=0).select(*HITS)
+
+
 @query("join_knn_within",
        f"WITH {neighbours(5)} SELECT qid AS query_id, iid AS item_id, d AS dist, r AS rank FROM n "
        "WHERE d <= 1.1")

@@ -172,3 +172,39 @@ def test_uncut_fusion_covers_every_item(spark):
     n = spark.read.parquet(f"{LITTLE}/embeddings.parquet").count()
     got = aggregates.fuse_mean_uncut(spark, LITTLE).groupBy("query_id").count().collect()
     assert got and {r["count"] for r in got} == {n}
+
+
+@pytest.mark.parametrize("grid", [2, 5])
+def test_rows_of_the_grid_do_not_grow_with_the_table(spark, grid):
+    for n in (60, 240):
+        x = similarity._prepare(frame(spark, hot(n)), "item_id")
+        rows = similarity.tile_rows(x, x, similarity.metric_of("chi2"), grid=grid)
+        assert rows.count() == 2 * grid * n
+
+
+@pytest.mark.parametrize("metric", ["l2", "chi2"])
+def test_the_grid_gives_the_rows_of_a_scan(spark, metric):
+    mat = np.abs(hot(300))
+    x = frame(spark, mat, ids=[f"i{n:03d}" for n in range(300)], by=["a" if n % 3 else "b" for n in range(300)])
+    q = x.withColumnRenamed("item_id", "query_id")
+    one = rows(similarity.search(q, x, metric, top_n=4, skip="id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        for layout in ({"block_rows": 7}, {"block_rows": 5, "grid": 3}, {"block_rows": 1000}):
+            assert rows(similarity.search(q, x, metric, top_n=4, skip="id", scan_rows=0, **layout)) == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("layout", [{}, BLOCKS])
+def test_pair_counts_of_distances_far_apart(spark, layout):
+    mat = np.array([[0.0, 0.0], [3.0, 4.0], [9000.0, 0.0], [900_000.0, 5.0]])
+    got = {r["bin"]: (r["same"], r["other"]) for r in evaluate.pair_counts(frame(spark, mat, label=[1, 1, 2, 2]), scale=None, **layout).collect()}
+    want = {}
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                key = int(np.rint(np.round(np.sqrt(((mat[i] - mat[j]) ** 2).sum()), evaluate.RESOLUTION) * 10**evaluate.RESOLUTION))
+                same, other = want.get(key, (0, 0))
+                want[key] = (same + ((i < 2) == (j < 2)), other + ((i < 2) != (j < 2)))
+    assert got == want
