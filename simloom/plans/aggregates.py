@@ -81,26 +81,40 @@ SLICE_HITS = (
 )
 
 
+# The 20 nearest by the fusion of whole lists: items with an id divisible by 50 ask for all items.
+_BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, item_id) <= 20"
+WHOLE = (
+    SLICED + f", h AS (SELECT a.dt AS dt, a.id AS qid, b.id AS iid, round({_D}, 6) AS d, "
+    f"row_number() OVER (PARTITION BY a.dt, a.id ORDER BY round({_D}, 6), b.id) AS r FROM s a JOIN s b ON a.dt = b.dt WHERE a.id % 50 = 0), "
+    "w AS (SELECT *, CASE dt WHEN 's1' THEN 0.1 WHEN 's2' THEN 0.3 WHEN 's3' THEN 0.6 ELSE 0.9 END::DOUBLE AS w FROM h)"
+)
+
+
+def best_fused(spark, sf, how, **options):
+    x = slices(spark, sf).select("item_id", "by", "vec")
+    return fusion.top_fused(as_queries(x.filter("item_id % 50 = 0")), x, WEIGHTS, how, 20, **options)
+
+
 @query("fuse_borda",
-       f"WITH {SLICE_HITS}, l AS (SELECT qid, max(n) AS len FROM (SELECT qid, dt, count(*) AS n FROM w GROUP BY ALL) GROUP BY qid), "
+       f"WITH {WHOLE}, l AS (SELECT qid, max(n) AS len FROM (SELECT qid, dt, count(*) AS n FROM w GROUP BY ALL) GROUP BY qid), "
        "p AS (SELECT qid, iid, sum(w * (len - (r - 1))) AS pts, min(d) AS d FROM w JOIN l USING (qid) GROUP BY ALL), "
        "m AS (SELECT qid, greatest(1.0, max(pts)) + 1 AS m FROM p GROUP BY qid) "
-       "SELECT qid AS query_id, iid AS item_id, round(CASE WHEN d = 0 THEN 0 ELSE (m - pts) / m END, 6) AS dist FROM p JOIN m USING (qid)")
+       f"SELECT qid AS query_id, iid AS item_id, round(CASE WHEN d = 0 THEN 0 ELSE (m - pts) / m END, 6) AS dist FROM p JOIN m USING (qid) {_BEST}")
 def fuse_borda(spark, sf):
-    return fusion.fuse_borda(slice_hits(spark, sf), WEIGHTS)
+    return best_fused(spark, sf, "borda")
 
 
 @query("fuse_product",
-       f"WITH {SLICE_HITS} SELECT qid AS query_id, iid AS item_id, round(CASE WHEN min(d) = 0 THEN 0 ELSE "
-       f"{unit('1.6473 * exp(sum(w * ln(CASE WHEN d > 0 THEN d END)))')} END, 6) AS dist FROM w GROUP BY ALL")
+       f"WITH {WHOLE} SELECT * FROM (SELECT qid AS query_id, iid AS item_id, round(CASE WHEN min(d) = 0 THEN 0 ELSE "
+       f"{unit('1.6473 * exp(sum(w * ln(CASE WHEN d > 0 THEN d END)))')} END, 6) AS dist FROM w GROUP BY ALL) {_BEST}")
 def fuse_product(spark, sf):
-    return fusion.fuse_product(slice_hits(spark, sf), WEIGHTS, fusion.PRODUCT_SCALE_MATCHER)
+    return best_fused(spark, sf, "product", fused_scale=fusion.PRODUCT_SCALE_MATCHER)
 
 
 @query("fuse_mean",
-       f"WITH {SLICE_HITS} SELECT qid AS query_id, iid AS item_id, round(sum(w * d) / count(*), 9) AS dist FROM w GROUP BY ALL")
+       f"WITH {WHOLE} SELECT * FROM (SELECT qid AS query_id, iid AS item_id, round(sum(w * d) / count(*), 9) AS dist FROM w GROUP BY ALL) {_BEST}")
 def fuse_mean(spark, sf):
-    return fusion.fuse_mean(slice_hits(spark, sf), WEIGHTS)
+    return best_fused(spark, sf, "mean")
 
 
 @query("fuse_mean_uncut",
@@ -115,13 +129,11 @@ def fuse_mean_uncut(spark, sf):
 
 
 @query("fuse_radicals",
-       f"WITH {SLICE_HITS}, v AS (SELECT qid, iid, max(CASE dt WHEN 's1' THEN d END) AS d1, max(CASE dt WHEN 's2' THEN d END) AS d2, "
-       "max(CASE dt WHEN 's3' THEN d END) AS d3, max(CASE dt WHEN 's4' THEN d END) AS d4 FROM w GROUP BY ALL), "
-       "a2 AS (SELECT *, CASE WHEN d1 IS NULL THEN d2 WHEN d2 IS NULL THEN d1 ELSE d2 * sqrt(d1) END AS a FROM v), "
-       "a3 AS (SELECT * REPLACE (CASE WHEN a IS NULL THEN d3 WHEN d3 IS NULL THEN a ELSE d3 * sqrt(a) END AS a) FROM a2) "
-       "SELECT qid AS query_id, iid AS item_id, round(CASE WHEN a IS NULL THEN d4 WHEN d4 IS NULL THEN a ELSE d4 * sqrt(a) END, 6) AS dist FROM a3")
+       f"WITH {WHOLE}, v AS (SELECT qid, iid, max(CASE dt WHEN 's1' THEN d END) AS d1, max(CASE dt WHEN 's2' THEN d END) AS d2, "
+       "max(CASE dt WHEN 's3' THEN d END) AS d3, max(CASE dt WHEN 's4' THEN d END) AS d4 FROM w GROUP BY ALL) "
+       f"SELECT qid AS query_id, iid AS item_id, round(d4 * sqrt(d3 * sqrt(d2 * sqrt(d1))), 6) AS dist FROM v {_BEST}")
 def fuse_radicals(spark, sf):
-    return fusion.fuse_radicals(slice_hits(spark, sf), WEIGHTS)
+    return best_fused(spark, sf, "radicals")
 
 
 # Multi-vector queries: the conversation of a turn is the object, its turns are the rows. A row's
