@@ -32,8 +32,8 @@ _FOLD = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 els
 _NUMBERS = 1 << 62
 
 
-def count_windows(text: bytes, lang: str, longest: int) -> pa.RecordBatch | None:
-    """(head, tail, f): the distinct windows of some pieces of one language, NULL if there are no words.
+def count_windows(text: bytes, lang: str, longest: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """(head, tail, f): the distinct windows of some pieces of one language, a few at a time.
 
     ``head`` joins all words but the last and the language by spaces, ``tail`` is the last; words beyond a piece are empty.
     """
@@ -41,28 +41,31 @@ def count_windows(text: bytes, lang: str, longest: int) -> pa.RecordBatch | None
     solid = (data != 32) & (data != 10)
     begins = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
     if not len(begins):
-        return None
+        return
     ends = np.flatnonzero(solid & ~np.concatenate((solid[1:], [False])))
     offsets = np.concatenate(([0], np.cumsum(ends - begins + 1))).astype(np.int64)
     found = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[solid])).dictionary_encode()
-    word, size = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
-    piece = np.cumsum(data == 10)[begins]
+    word, size = found.indices.to_numpy(), len(found.dictionary)
+    piece = np.cumsum(data == 10, dtype=np.int32)[begins]
+    names = pa.concat_arrays([pa.array([""], pa.large_string()), found.dictionary]).cast(pa.string())
+    del data, solid, begins, ends, offsets, found
     leads = [word + 1]
     for k in range(1, longest):
-        lead = np.zeros(len(word), np.int64)
+        lead = np.zeros(len(word), np.int32)
         lead[:-k] = np.where(piece[k:] == piece[:-k], word[k:] + 1, 0) if k < len(word) else lead[:-k]
         leads.append(lead)
-    key, span = leads[0], size + 1
+    key, span = leads[0].astype(np.int64), size + 1
     for lead in leads[1:]:
         if span >= _NUMBERS // (size + 1):
             same, key = np.unique(key, return_inverse=True)
             span = len(same)
         key, span = key * (size + 1) + lead, span * (size + 1)
     _, first, count = np.unique(key, return_index=True, return_counts=True)
-    names = pa.concat_arrays([pa.array([""], pa.large_string()), found.dictionary]).cast(pa.string())
-    columns = [names.take(pa.array(lead[first])) for lead in leads]
-    head = pc.binary_join_element_wise(*columns[:-1], pa.scalar(lang), " ")
-    return pa.RecordBatch.from_arrays([head, columns[-1], pa.array(count, pa.int64())], names=["head", "tail", "f"])
+    del key, word, piece
+    for at in range(0, len(first), rows):
+        columns = [names.take(pa.array(lead[first[at:at + rows]])) for lead in leads]
+        head = pc.binary_join_element_wise(*columns[:-1], pa.scalar(lang), " ")
+        yield pa.RecordBatch.from_arrays([head, columns[-1], pa.array(count[at:at + rows], pa.int64())], names=["head", "tail", "f"])
 
 
 def windows(docs: DataFrame, longest: int, text: str = "text", lang: str = "lang", missing: str = "und") -> DataFrame:
@@ -70,10 +73,7 @@ def windows(docs: DataFrame, longest: int, text: str = "text", lang: str = "lang
 
     def flush(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         for name in sorted(held):
-            rows = count_windows(b"\n".join(held[name]), name, longest)
-            for at in range(0, rows.num_rows if rows is not None else 0, 1 << 16):
-                yield rows.slice(at, 1 << 16)
-        held.clear()
+            yield from count_windows(b"\n".join(held.pop(name)), name, longest)
 
     def run(batches):
         held, size = defaultdict(list), 0
