@@ -1,7 +1,6 @@
-"""Language-model scores as a weighted backoff automaton gives them.
+"""Language-model scores by a weighted backoff automaton.
 
-No automaton is built or walked: the scores come from a vectorised recursion, one pass over all positions of a batch for each
-n-gram length, at order two by default (one word of history), as in the registered SQL. In the automaton that it stands for, the n-grams of the training documents are states: a state stands for the words just read, has an arc for every word
+The n-grams of the training documents are its states: a state stands for the words just read, has an arc for every word
 that followed them in training, and a failure arc to the state without its oldest word. With c(h) the count of a
 history and e(h) = escape * c(h) ** decay the chance to leave it,
 
@@ -10,14 +9,19 @@ history and e(h) = escape * c(h) ** decay the chance to leave it,
 
 which sums to one over the known words and one class for all unknown ones. The empty history gives a known word
 (c - discount) / N and the unknown class the rest. Reading a text from left to right, the automaton takes the arc
-of the longest history that has one, adding the weights of the failure arcs on the way; the recursion gives the same scores.
+of the word from the state that it is in, after as many failure arcs as that needs, and adds up the logarithms on the way.
 
 Counts are never on one machine: batches of documents send their distinct n-grams with their own counts, packed by hash
-range, and get back the totals that differ from their own. So each batch holds just the counts that its texts can reach.
+range, and get back the totals that differ from their own. From these a task builds the part of the automaton that its
+texts can reach, as tables of arcs and failure arcs, and walks all its texts at once, a word of each per step. A long text is
+walked in stretches of LANE words. As a state knows at most order - 1 words, a stretch that starts in the empty state
+that many words early is, at its first own word, in the state that the stretch before it ends in.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +30,13 @@ from pyspark.sql import functions as F
 from simloom.llm.columns import staged, word_count
 from simloom.llm.hashing import mixed, word_hashes
 
-ORDER, DISCOUNT, ESCAPE, DECAY = 2, 0.75, 0.75, -0.3
+DISCOUNT, ESCAPE, DECAY = 0.75, 0.75, -0.3
 #: Tokens of one batch of documents and n-grams of one hash range, about.
 BATCH_TOKENS, PART_GRAMS = 1_000_000, 1_500_000
+#: Words of a text that are walked one after the other; the stretches of a longer text are walked side by side.
+LANE = 256
+#: Tasks of a stage at most; a task takes its batches or hash ranges one at a time, so more of them need no more memory.
+TASKS = 20_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -135,6 +143,101 @@ def _answer(sent: pa.Table) -> pa.Table:
                      "distinct": pa.array([int((total > 0).sum())] + [0] * (m - 1), pa.int64())})
 
 
+class Automaton(NamedTuple):
+    """Arcs in the order of ``key``, which is source state * ``words`` + word; state 0 is the empty history."""
+
+    words: int
+    key: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
+    fail: np.ndarray
+    leave: np.ndarray
+    start: int
+
+
+def _automaton(levels, tokens: int, docs: int) -> tuple[Automaton, np.ndarray]:
+    """The automaton of the n-grams of a batch that training has, and the label of the word at each position.
+
+    ``levels`` has, for each length, (whether an n-gram ends at a position, which of the distinct ones for those where one
+    does, their counts). State 1 stands for the start of a text if training has texts.
+    """
+    n_words, order = len(levels[0][2]), len(levels)
+    ids = []
+    for inside, back, _ in levels:
+        each = np.full(len(inside), -1, np.int64)
+        each[inside] = back
+        ids.append(each)
+    start = int(docs > 0)
+    fail, leave, states = [np.zeros(1 + start, np.int64)], [np.zeros(1 + start)], 1 + start
+    if start:
+        leave[0][1] = np.log10(ESCAPE * float(docs) ** DECAY)
+    keys, weights, targets, state_of, p, before = [], [], [], [], None, None
+    for k, (inside, back, count) in enumerate(levels):
+        place = np.zeros(len(count), np.int64)  # a position of each n-gram
+        place[back] = np.flatnonzero(inside)
+        seen = np.flatnonzero(count > 0)
+        place, c = place[seen], count[seen].astype(np.float64)
+        numbers = np.full(len(count) + 1, start, np.int64)  # the last one: the start, which has no number as a word
+        numbers[seen] = np.arange(states, states + len(seen))
+        if k == 0:
+            source, shorter = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+            chance = (c - DISCOUNT) / max(tokens, 1)
+        else:
+            history = ids[k - 1][place - 1]
+            source, shorter = state_of[k - 1][history], state_of[k - 1][ids[k - 1][place]]
+            h = np.where(history < 0, docs, before[history]).astype(np.float64)
+            out = ESCAPE * h ** DECAY
+            chance = (1 - out) * c / h + out * p[ids[k - 1][place]]
+        last = k == order - 1
+        keys.append(source * n_words + ids[0][place])
+        weights.append(np.log10(chance))
+        targets.append(shorter if last else numbers[seen])
+        if not last:
+            fail.append(shorter)
+            leave.append(np.log10(ESCAPE * c ** DECAY))
+            states += len(seen)
+        p, before = np.zeros(len(count)), count
+        p[seen] = chance
+        state_of.append(numbers)
+    key = np.concatenate(keys)
+    by = np.argsort(key)
+    return Automaton(n_words, key[by], np.concatenate(weights)[by], np.concatenate(targets)[by],
+                     np.concatenate(fail), np.concatenate(leave), start), ids[0]
+
+
+def _walk(auto: Automaton, words: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """log10 probability of each text; unknown words, which have an arc of weight 0 from the empty state to itself, add 0."""
+    n = np.diff(at) - 1
+    lanes = -(-n // LANE)
+    text = np.repeat(np.arange(len(n)), lanes)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    warm = np.where(nth > 0, order - 1, 0)
+    begin = at[:-1][text] + 1 + nth * LANE - warm
+    steps = np.minimum(LANE, n[text] - nth * LANE) + warm
+    by = np.argsort(-steps, kind="stable")
+    begin, steps, warm = begin[by], steps[by], warm[by]
+    state = np.where(nth[by] > 0, 0, auto.start if order > 1 else 0)
+    total = np.zeros(len(text))
+    active = np.searchsorted(-steps, -np.arange(steps[0]), "left") if len(steps) else []
+    for j, m in enumerate(active):
+        gained, going = np.zeros(m), np.arange(m)
+        word = words[begin[:m] + j]
+        while len(going):
+            here = state[going]
+            key = here * auto.words + word[going]
+            arc = np.minimum(np.searchsorted(auto.key, key), len(auto.key) - 1)
+            has = auto.key[arc] == key if len(auto.key) else np.zeros(len(key), bool)
+            to, arc = going[has], arc[has]
+            gained[to] += auto.weight[arc]
+            state[to] = auto.target[arc]
+            fails = ~has & (here > 0)
+            going, here = going[fails], here[fails]
+            gained[going] += auto.leave[here]
+            state[going] = auto.fail[here]
+        total[:m] += np.where(j >= warm[:m], gained, 0.0)
+    return np.bincount(text[by], total, len(n))
+
+
 _SCORED = "key {0}, train boolean, n_tokens bigint, n_known bigint, base double, score double, n int, distinct bigint"
 
 
@@ -147,8 +250,7 @@ def _score(order: int, parts: int, train_tokens: int, train_docs: int, kind: pa.
                              pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), answers.column("n"), answers.column("distinct")], names=names)
         tokens, at = _tokens(docs.column("text"))
         train = np.repeat(docs.column("train").to_numpy().astype(np.float64), np.diff(at))
-        history = np.zeros(len(tokens))
-        logp = base = known_word = None
+        levels = []
         for k, (keys, inside) in enumerate(_grams(tokens, at, order)):
             known, count, back = _counted(keys, inside, train)
             mine = answers.filter(pa.compute.equal(answers.column("n"), k + 1))
@@ -157,45 +259,25 @@ def _score(order: int, parts: int, train_tokens: int, train_docs: int, kind: pa.
                 a, b = np.searchsorted(part, [p, p + 1])
                 other = np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8), count=b - a).astype(bool)
                 count[a:b][other] = _from_planes(t.as_buffer()).astype(np.int64)
-            c = np.zeros(len(tokens))
-            c[inside] = count[back]
-            if k == 0:
-                known_word, base = c > 0, np.log10(c + 1)
-                # Unknown words take their weight from the size of the vocabulary, which is added later.
-                p = np.where(known_word, (c - DISCOUNT) / max(train_tokens, 1), 1.0)
-                logp = np.log10(p)
-            else:
-                has = inside & (history > 0)
-                h = np.where(has, history, 1.0)
-                leave = ESCAPE * h ** DECAY
-                arc = has & (c > 0)
-                p = np.power(10.0, logp)
-                taken = np.log10((1 - leave) * c / h + leave * p, where=arc, out=np.zeros(len(tokens)))
-                logp = np.where(arc, taken, logp + np.where(has, np.log10(leave), 0.0))
-            # What has been read so far is the history of the next token; nothing follows an end.
-            history = np.zeros(len(tokens))
-            history[1:] = c[:-1]
-            if k == 0:
-                history[at[:-1] + 1] = train_docs
-            elif k:
-                history[at[:-1] + 1] = 0
-        real = np.ones(len(tokens), bool)
-        real[at[:-1]] = False
-        sums = lambda x: np.add.reduceat(np.where(real, x, 0), at[:-1])
+            levels.append((inside, back, count))
+        auto, words = _automaton(levels, train_tokens, train_docs)
+        inside, back, count = levels[0]
+        known, base = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+        known[inside], base[inside] = count[back] > 0, np.log10(count + 1.0)[back]
         m = docs.num_rows
         return pa.table([docs.column("key"), docs.column("train"), pa.array(np.diff(at) - 1, pa.int64()),
-                         pa.array(sums(known_word.astype(np.int64)), pa.int64()), pa.array(sums(base)), pa.array(sums(logp)),
-                         pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
+                         pa.array(np.add.reduceat(known, at[:-1]), pa.int64()), pa.array(np.add.reduceat(base, at[:-1])),
+                         pa.array(_walk(auto, words, at, order)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
 
     return run
 
 
-def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score): one row per input row.
 
     ``train`` is a condition on the rows whose texts are learned from. Tokens are the words of the whole text (runs of
     characters other than white space, A-Z in lower case) and one end; NULL text is empty. ``score`` is the model's
-    log10 probability of the tokens, ``base_score`` that of unigrams with one added to each count. n_known counts tokens
+    log10 probability of the tokens under an automaton of n-grams of up to ``order`` words, ``base_score`` that of unigrams with one added to each count. n_known counts tokens
     that training has. Without training rows every token is unknown and has probability 1. Rows
     that agree are scored alike; a NULL key is a key like others; an empty table gives no rows.
     """
@@ -205,13 +287,16 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order
     n, n_train, n_docs = (x or 0 for x in picked.agg(
         F.sum(size), F.sum(F.when(F.col("train"), size)), F.count_if("train")).first())
     batches, parts = -(-n // BATCH_TOKENS) or 1, -(-n // PART_GRAMS) or 1
-    dealt = picked.select(F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch"), "key", "train", "text").groupBy("batch")
+    # By key and text: rows without a key, or of one key, are spread.
+    to = F.pmod(F.xxhash64("key", "text"), F.lit(batches))
+    tasks = min(batches, TASKS)
+    dealt = picked.select(to.alias("batch"), "key", "train", "text").repartition(tasks, "batch").groupBy("batch")
     sent = dealt.applyInArrow(_send(order, parts), "n int, part bigint, batch bigint, keys binary, counts binary")
-    answers = sent.groupBy("n", "part").applyInArrow(_answer, _ANSWER)
+    answers = sent.repartition(min(order * parts, TASKS), "n", "part").groupBy("n", "part").applyInArrow(_answer, _ANSWER)
     kind = picked.schema["key"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = staged(dealt.cogroup(answers.groupBy("batch")).applyInArrow(
+    scored = staged(dealt.cogroup(answers.repartition(tasks, "batch").groupBy("batch")).applyInArrow(
         _score(order, parts, n_train, n_docs, to_arrow_type(kind)), _SCORED.format(kind.simpleString())), "scores")
     vocabulary = scored.filter("n = 1").agg(F.sum("distinct")).first()[0] or 0
     unknown = float(np.log10(DISCOUNT * vocabulary / n_train)) if n_train else 0.0

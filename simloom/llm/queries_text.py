@@ -43,26 +43,27 @@ WITH RECURSIVE bits AS (SELECT i AS b, i AS v, 0 AS step FROM range(256) t(i)
   FROM documents, crc
 ), t AS (
   SELECT doc_id, held_out, unnest(w || ['']) AS x, unnest(range(len(w) + 1)) AS i FROM d
-), b AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t
+), b AS (SELECT *, lag(x, 1, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS h, lag(x, 2, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS g FROM t
 ), u AS (SELECT x, count(*)::DOUBLE AS c FROM t WHERE NOT held_out GROUP BY x
 ), bi AS (SELECT h, x, count(*)::DOUBLE AS c FROM b WHERE NOT held_out GROUP BY h, x
-), hist AS (SELECT h, count(*)::DOUBLE AS c FROM b WHERE NOT held_out GROUP BY h
+), tri AS (SELECT g, h, x, count(*)::DOUBLE AS c FROM b WHERE NOT held_out AND i > 0 GROUP BY g, h, x
+), h1 AS (SELECT h, sum(c) AS c FROM bi GROUP BY h
+), h2 AS (SELECT g, h, sum(c) AS c FROM tri GROUP BY g, h
 ), s AS (SELECT sum(c) AS n, count(*)::DOUBLE AS v FROM u
 ), p AS (
-  SELECT doc_id, held_out, coalesce(u.c, 0) AS cu, n, v, 0.75 * hist.c ** -0.3 AS leave, hist.c AS ch, bi.c AS cb,
-         CASE WHEN u.c > 0 THEN (u.c - 0.75) / n ELSE 0.75 * v / n END AS p1
-  FROM b CROSS JOIN s LEFT JOIN u USING (x) LEFT JOIN hist ON hist.h IS NOT DISTINCT FROM b.h
-  LEFT JOIN bi ON bi.h IS NOT DISTINCT FROM b.h AND bi.x = b.x
+  SELECT doc_id, held_out, coalesce(u.c, 0) AS cu, n, v, CASE WHEN u.c > 0 THEN (u.c - 0.75) / n ELSE 0.75 * v / n END AS p1,
+         CASE WHEN h1.c IS NULL THEN 1 ELSE 0.75 * h1.c ** -0.3 END AS e1, coalesce(bi.c / h1.c, 0) AS f1,
+         CASE WHEN h2.c IS NULL THEN 1 ELSE 0.75 * h2.c ** -0.3 END AS e2, coalesce(tri.c / h2.c, 0) AS f2
+  FROM b CROSS JOIN s LEFT JOIN u USING (x) LEFT JOIN h1 USING (h) LEFT JOIN bi USING (h, x)
+  LEFT JOIN h2 ON h2.g = b.g AND h2.h = b.h AND b.i > 0 LEFT JOIN tri ON tri.g = b.g AND tri.h = b.h AND tri.x = b.x AND b.i > 0
 )
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE cu > 0) AS n_known, max(n)::BIGINT AS train_tokens,
-       sum(log10((cu + 1) / (n + v + 1))) AS base_score,
-       sum(CASE WHEN ch IS NULL THEN log10(p1) WHEN cb IS NULL THEN log10(leave) + log10(p1)
-                ELSE log10((1 - leave) * cb / ch + leave * p1) END) AS score
+       sum(log10((cu + 1) / (n + v + 1))) AS base_score, sum(log10((1 - e2) * f2 + e2 * ((1 - e1) * f1 + e1 * p1))) AS score
 FROM p GROUP BY doc_id, held_out
 """)
 def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 7) == 2
-    out = lm.score(table(spark, sf, "documents"), ~held)
+    out = lm.score(table(spark, sf, "documents"), ~held, order=3)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
