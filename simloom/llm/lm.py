@@ -12,7 +12,8 @@ which sums to one over the known words and one class for all unknown ones. The e
 of the word from the state that it is in, after as many failure arcs as that needs, and adds up the logarithms on the way.
 
 Counts are never on one machine: batches of documents send their distinct n-grams with their own counts, packed by hash
-range, and get back the totals that differ from their own. From these a task builds the part of the automaton that its
+range, and get back which of them other batches have, too, and the totals of these. N-grams of three words and more go in a second
+round, without those that hold a pair of words that no other batch has: the batch's own counts are their totals. From all this a task builds the part of the automaton that its
 texts can reach, as tables of arcs and failure arcs, and walks all its texts at once, a word of each per step. A long text is
 walked in stretches of LANE words. As a state knows at most order - 1 words, a stretch that starts in the empty state
 that many words early is, at its first own word, in the state that the stretch before it ends in.
@@ -78,28 +79,85 @@ def _counted(keys: np.ndarray, inside: np.ndarray, train: np.ndarray):
     return known, np.bincount(back, train[inside], len(known)).astype(np.int64), back
 
 
+def _pieces_of(keys: np.ndarray, train: np.ndarray, n: int, parts: int):
+    """Distinct keys of n-grams of ``n`` words and their counts in training texts, packed by hash range."""
+    known = np.unique(keys)
+    learned, times = np.unique(keys[train > 0], return_counts=True)
+    count = np.zeros(len(known), np.int64)
+    count[np.searchsorted(known, learned)] = times
+    part = _parts(known, parts)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
+        yield n, int(part[a]), _packed(known[a:b]), _planes(count[a:b])
+
+
+_SENT = "n int, part bigint, batch bigint, keys binary, counts binary"
+
+
+def _sent(pieces: list, batch) -> pa.Table:
+    cols = list(zip(*pieces)) or [()] * 4
+    return pa.table({"n": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int64()),
+                     "batch": pa.array([batch] * len(pieces), pa.int64()),
+                     "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+
+
 def _send(order: int, parts: int):
+    """N-grams of one and two words."""
+
     def run(docs: pa.Table) -> pa.Table:
         tokens, at = _tokens(docs.column("text"))
         train = np.repeat(docs.column("train").to_numpy().astype(np.float64), np.diff(at))
-        cols = ([], [], [], [])
+        pieces = []
+        for k, (keys, inside) in enumerate(_grams(tokens, at, min(order, 2))):
+            pieces += _pieces_of(keys[inside], train[inside], k + 1, parts)
+        return _sent(pieces, docs.column("batch")[0].as_py())
+
+    return run
+
+
+def _send_longer(order: int, parts: int):
+    """Longer n-grams, but for those that hold a pair of words of this batch alone: no other batch has them."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _sent([], None)
+        tokens, at = _tokens(docs.column("text"))
+        train = np.repeat(docs.column("train").to_numpy().astype(np.float64), np.diff(at))
+        pieces, met = [], None
         for k, (keys, inside) in enumerate(_grams(tokens, at, order)):
-            known, count, _ = _counted(keys, inside, train)
-            part = _parts(known, parts)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
-                cols[0].append(k + 1)
-                cols[1].append(int(part[a]))
-                cols[2].append(_packed(known[a:b]))
-                cols[3].append(_planes(count[a:b]))
-        n = len(cols[0])
-        return pa.table({"n": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int64()),
-                         "batch": pa.array([docs.column("batch")[0].as_py()] * n, pa.int64()),
-                         "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+            if k == 1:
+                known, back = np.unique(keys[inside], return_inverse=True)
+                met = inside.copy()
+                met[inside] = _told(known, None, answers, 2, parts)[back]
+            elif k > 1:
+                met = _chained(met)
+                pieces += _pieces_of(keys[met], train[met], k + 1, parts)
+        return _sent(pieces, docs.column("batch")[0].as_py())
 
     return run
 
 
+def _chained(met: np.ndarray) -> np.ndarray:
+    """Where both the n-gram ending here and the one ending a word before are met."""
+    out = met.copy()
+    out[1:] &= met[:-1]
+    return out
+
+
+def _told(known: np.ndarray, count, answers: pa.Table, n: int, parts: int) -> np.ndarray:
+    """Which of the keys other batches have, too. Their totals are put into ``count``, unless that is None."""
+    shared = np.zeros(len(known), bool)
+    mine = answers.filter(pa.compute.equal(answers.column("n"), n))
+    part = _parts(known, parts)
+    for p, flags, t in zip(mine.column("part").to_pylist(), mine.column("shared"), mine.column("totals")):
+        if flags.is_valid:
+            a, b = np.searchsorted(part, [p, p + 1])
+            shared[a:b] = other = np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8), count=b - a).astype(bool)
+            if count is not None:
+                count[a:b][other] = _from_planes(t.as_buffer()).astype(np.int64)
+    return shared
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte planes apart: the high ones are mostly zero and compress away."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
@@ -117,29 +175,30 @@ def _from_planes(data) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-_ANSWER = "batch bigint, n int, part bigint, changed binary, totals binary, distinct bigint"
+_ANSWER = "batch bigint, n int, part bigint, shared binary, totals binary, distinct bigint"
 
 
 def _answer(sent: pa.Table) -> pa.Table:
-    """Totals of each batch's n-grams where they differ from its own, as flags in the order of its keys and the totals of
-    the flagged ones; how many n-grams training has."""
+    """For each batch, which of its n-grams other batches have, too, as flags in the order of its keys, and the totals of
+    those; how many n-grams training has."""
     keys = [_unpacked(x.as_buffer()) for x in sent.column("keys")]
     counts = [_from_planes(x.as_buffer()).astype(np.int64) for x in sent.column("counts")]
     known, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+    several = np.bincount(back) > 1
     batches, packed, totals, at = [-1], [None], [None], 0
-    for k, c, batch in zip(keys, counts, sent.column("batch").to_pylist()):
-        own = total[back[at:at + len(k)]]
+    for k, batch in zip(keys, sent.column("batch").to_pylist()):
+        own = back[at:at + len(k)]
         at += len(k)
-        other = own != c
+        other = several[own]
         if other.any():
             batches.append(batch)
             packed.append(np.packbits(other).tobytes())
-            totals.append(_planes(own[other]))
+            totals.append(_planes(total[own[other]]))
     m = len(batches)
     return pa.table({"batch": pa.array(batches, pa.int64()), "n": pa.array([sent.column("n")[0].as_py()] * m, pa.int32()),
                      "part": pa.array([sent.column("part")[0].as_py()] * m, pa.int64()),
-                     "changed": pa.array(packed, pa.binary()), "totals": pa.array(totals, pa.binary()),
+                     "shared": pa.array(packed, pa.binary()), "totals": pa.array(totals, pa.binary()),
                      "distinct": pa.array([int((total > 0).sum())] + [0] * (m - 1), pa.int64())})
 
 
@@ -250,15 +309,20 @@ def _score(order: int, parts: int, train_tokens: int, train_docs: int, kind: pa.
                              pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), answers.column("n"), answers.column("distinct")], names=names)
         tokens, at = _tokens(docs.column("text"))
         train = np.repeat(docs.column("train").to_numpy().astype(np.float64), np.diff(at))
-        levels = []
+        levels, met = [], np.zeros(len(tokens), bool)
         for k, (keys, inside) in enumerate(_grams(tokens, at, order)):
             known, count, back = _counted(keys, inside, train)
-            mine = answers.filter(pa.compute.equal(answers.column("n"), k + 1))
-            part = _parts(known, parts)
-            for p, flags, t in zip(mine.column("part").to_pylist(), mine.column("changed"), mine.column("totals")):
-                a, b = np.searchsorted(part, [p, p + 1])
-                other = np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8), count=b - a).astype(bool)
-                count[a:b][other] = _from_planes(t.as_buffer()).astype(np.int64)
+            if k < 2:
+                shared = _told(known, count, answers, k + 1, parts)
+                met[:] = False
+                met[inside] = shared[back]
+            else:
+                met = _chained(met)
+                asked = np.zeros(len(known), bool)
+                asked[back] = met[inside]
+                totals = count[asked]
+                _told(known[asked], totals, answers, k + 1, parts)
+                count[asked] = totals
             levels.append((inside, back, count))
         auto, words = _automaton(levels, train_tokens, train_docs)
         inside, back, count = levels[0]
@@ -291,12 +355,16 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order
     to = F.pmod(F.xxhash64("key", "text"), F.lit(batches))
     tasks = min(batches, TASKS)
     dealt = picked.select(to.alias("batch"), "key", "train", "text").repartition(tasks, "batch").groupBy("batch")
-    sent = dealt.applyInArrow(_send(order, parts), "n int, part bigint, batch bigint, keys binary, counts binary")
-    answers = sent.repartition(min(order * parts, TASKS), "n", "part").groupBy("n", "part").applyInArrow(_answer, _ANSWER)
+    answered = lambda sent, levels: sent.repartition(min(levels * parts, TASKS), "n", "part").groupBy("n", "part").applyInArrow(
+        _answer, _ANSWER).repartition(tasks, "batch")
+    answers = answered(dealt.applyInArrow(_send(order, parts), _SENT), min(order, 2))
+    if order > 2:
+        more = dealt.cogroup(answers.groupBy("batch")).applyInArrow(_send_longer(order, parts), _SENT)
+        answers = answers.unionByName(answered(more, order - 2))
     kind = picked.schema["key"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = staged(dealt.cogroup(answers.repartition(tasks, "batch").groupBy("batch")).applyInArrow(
+    scored = staged(dealt.cogroup(answers.groupBy("batch")).applyInArrow(
         _score(order, parts, n_train, n_docs, to_arrow_type(kind)), _SCORED.format(kind.simpleString())), "scores")
     vocabulary = scored.filter("n = 1").agg(F.sum("distinct")).first()[0] or 0
     unknown = float(np.log10(DISCOUNT * vocabulary / n_train)) if n_train else 0.0
