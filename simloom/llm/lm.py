@@ -21,7 +21,7 @@ that many words early is, at its first own word, in the state that the stretch b
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,19 +54,19 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _grams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(tokens: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length, (key of the n-gram ending at each position, whether it lies in one text).
 
     The start counts as the oldest word of an n-gram, but not as an n-gram of one word.
     """
     depth = np.arange(len(tokens)) - np.repeat(at[:-1], np.diff(at))
-    keys, out = tokens, [(tokens, depth > 0)]
+    keys = tokens
+    yield keys, depth > 0
     for k in range(2, order + 1):
         longer = np.zeros_like(keys)
         longer[1:] = mixed(keys[:-1] * _STEP + tokens[1:])
         keys = longer
-        out.append((keys, depth >= k - 1))
-    return out
+        yield keys, depth >= k - 1
 
 
 def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
 def _counted(keys: np.ndarray, inside: np.ndarray, train: np.ndarray):
     """Distinct keys, their counts in training texts, and where each position's key is among them."""
     known, back = np.unique(keys[inside], return_inverse=True)
-    return known, np.bincount(back, train[inside], len(known)).astype(np.int64), back
+    return known, np.bincount(back, train[inside], len(known)).astype(np.int64), back.astype(np.int32)
 
 
 def _pieces_of(keys: np.ndarray, train: np.ndarray, n: int, parts: int):
@@ -159,7 +159,8 @@ def _told(known: np.ndarray, count, answers: pa.Table, n: int, parts: int) -> np
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte planes apart: the high ones are mostly zero and compress away."""
+    """Sorted keys as differences, byte planes apart: the high ones are mostly zero and compress away by their frequencies,
+    which the codec of a shuffle doesn't look at."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
@@ -168,11 +169,13 @@ def _unpacked(data) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    planes = values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _from_planes(data) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    planes = pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 _ANSWER = "batch bigint, n int, part bigint, shared binary, totals binary, distinct bigint"
@@ -223,11 +226,11 @@ def _automaton(levels, tokens: int, docs: int) -> tuple[Automaton, np.ndarray]:
     n_words, order = len(levels[0][2]), len(levels)
     ids = []
     for inside, back, _ in levels:
-        each = np.full(len(inside), -1, np.int64)
+        each = np.full(len(inside), -1, np.int32)
         each[inside] = back
         ids.append(each)
     start = int(docs > 0)
-    fail, leave, states = [np.zeros(1 + start, np.int64)], [np.zeros(1 + start)], 1 + start
+    fail, leave, states = [np.zeros(1 + start, np.int32)], [np.zeros(1 + start)], 1 + start
     if start:
         leave[0][1] = np.log10(ESCAPE * float(docs) ** DECAY)
     keys, weights, targets, state_of, p, before = [], [], [], [], None, None
@@ -236,10 +239,10 @@ def _automaton(levels, tokens: int, docs: int) -> tuple[Automaton, np.ndarray]:
         place[back] = np.flatnonzero(inside)
         seen = np.flatnonzero(count > 0)
         place, c = place[seen], count[seen].astype(np.float64)
-        numbers = np.full(len(count) + 1, start, np.int64)  # the last one: the start, which has no number as a word
+        numbers = np.full(len(count) + 1, start, np.int32)  # the last one: the start, which has no number as a word
         numbers[seen] = np.arange(states, states + len(seen))
         if k == 0:
-            source, shorter = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+            source, shorter = np.zeros(len(seen), np.int32), np.zeros(len(seen), np.int32)
             chance = (c - DISCOUNT) / max(tokens, 1)
         else:
             history = ids[k - 1][place - 1]
@@ -248,7 +251,7 @@ def _automaton(levels, tokens: int, docs: int) -> tuple[Automaton, np.ndarray]:
             out = ESCAPE * h ** DECAY
             chance = (1 - out) * c / h + out * p[ids[k - 1][place]]
         last = k == order - 1
-        keys.append(source * n_words + ids[0][place])
+        keys.append(source * np.int64(n_words) + ids[0][place])
         weights.append(np.log10(chance))
         targets.append(shorter if last else numbers[seen])
         if not last:
@@ -259,6 +262,7 @@ def _automaton(levels, tokens: int, docs: int) -> tuple[Automaton, np.ndarray]:
         p[seen] = chance
         state_of.append(numbers)
     key = np.concatenate(keys)
+    keys.clear()
     by = np.argsort(key)
     return Automaton(n_words, key[by], np.concatenate(weights)[by], np.concatenate(targets)[by],
                      np.concatenate(fail), np.concatenate(leave), start), ids[0]
@@ -326,6 +330,7 @@ def _score(order: int, parts: int, train_tokens: int, train_docs: int, kind: pa.
             levels.append((inside, back, count))
         auto, words = _automaton(levels, train_tokens, train_docs)
         inside, back, count = levels[0]
+        del levels, keys
         known, base = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
         known[inside], base[inside] = count[back] > 0, np.log10(count + 1.0)[back]
         m = docs.num_rows
