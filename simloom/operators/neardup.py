@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import vectors
 from simloom.functions.scalars import rounded, unit01
-from simloom.session import cut
+from simloom.session import cut, spread
 
 TEXT_SCALE = 0.27
 #: Rows of a band that are compared with each other at once.
@@ -26,10 +26,12 @@ GROUP_ROWS = 512
 def sketched(texts: DataFrame, *keys: str, text: str = "text", positions: int = 16) -> DataFrame:
     """(keys, sketch) of the whole texts; the keys tell the texts apart.
 
-    Words become rows and their hashes are reduced to minima in the task that reads the text, so
-    one short row per text is shuffled. A text without words has no row.
+    Distinct words of a text become rows and their hashes are reduced to minima in the task that holds the
+    text, so one short row per text is shuffled. Tables of a checked small size, which a scan leaves in few
+    tasks, are dealt by key first; the minima then need no shuffle. A text without words has no row.
     """
-    each = texts.select(*keys, F.explode(vectors.words(F.col(text))).alias("_w")).filter("_w <> ''")
+    dealt = spread(texts.select(*keys, text), *keys)
+    each = dealt.select(*keys, F.explode(F.array_distinct(vectors.words(F.col(text)))).alias("_w")).filter("_w <> ''")
     digest = F.md5("_w")
     parts = each.select(*keys, *[
         F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(name) for name, at in (("_a", 1), ("_b", 9))

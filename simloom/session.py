@@ -46,6 +46,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/simloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Estimated bytes up to which one more shuffle of a table costs less than the cores that its scan leaves idle.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table under ``SPREAD_BYTES`` dealt by key over the cores; a larger one fills them with its own splits."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there (survives lost executors)."""
     shared_dir(df.sparkSession)
