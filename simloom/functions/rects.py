@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,6 +164,94 @@ def unturn(r: Column, phase: Column | int, source_w, source_h) -> Column:
     return turn(r, back, w, h)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _moved(s: Column, dx: Column, dy: Column) -> Column:
+    return s.withField("x", s["x"] + dx).withField("y", s["y"] + dy)
+
+
+def nested(r: Column, box: Column, depth: int, inner: Callable[[Column, Column], Column],
+           move: Callable[[Column], tuple[Column, Column]] | None = None) -> Column:
+    """Region STRUCT<x, y, w, h, subs, ...> with ``box`` as its rectangle and its children, if ``depth`` is not 0,
+    replaced by ``inner(child, box)`` after a move by ``move(box)``. Other fields stay.
+
+    Children are in coordinates of their parent's corner and have ``depth - 1`` levels of children
+    themselves. A NULL list of children stays NULL.
+    """
+    def build(b: Column) -> Column:
+        out = r
+        for k in "xywh":
+            out = out.withField(k, b[k])
+        if not depth:
+            return out
+        subs = F.transform(r["subs"], lambda s: _moved(s, *move(b))) if move else r["subs"]
+        return out.withField("subs", F.transform(subs, lambda s: inner(s, b)))
+
+    return _let(box, build)
+
+
+def _in_place(r: Column) -> Callable[[Column], tuple[Column, Column]]:
+    """The move that keeps children where they are in the image when the corner of r goes to that of a box."""
+    return lambda b: (r["x"] - b["x"], r["y"] - b["y"])
+
+
+def stretch_all(r: Column, sx: float, sy: float = 0, depth: int = 1, recurse: bool = True) -> Column:
+    """``stretch`` of a region; children stay where they are in the image and, with ``recurse``, are stretched too."""
+    def inner(s: Column, _: Column) -> Column:
+        return stretch_all(s, sx, sy, depth - 1) if recurse else s
+
+    return nested(r, stretch(r, sx, sy), depth, inner, _in_place(r))
+
+
+def scale_all(r: Column, s: float, depth: int = 1) -> Column:
+    """``scale`` of a region and of its children, each in its parent's coordinates."""
+    return nested(r, scale(r, s), depth, lambda c, _: scale_all(c, s, depth - 1))
+
+
+def clip_all(r: Column, frame: Column, depth: int = 1) -> Column:
+    """``intersect`` of a region with a frame; children stay in place and are cropped to it, those outside go."""
+    def inner(c: Column, b: Column) -> Column:
+        return clip_all(c, rect(F.lit(0), F.lit(0), b["w"], b["h"]), depth - 1)
+
+    out = nested(r, intersect(r, frame), depth, inner, _in_place(r))
+    if not depth:
+        return out
+    return _let(out, lambda o: o.withField("subs", F.filter(o["subs"], lambda c: c["w"] > 0)))
+
+
+def affine_all(r: Column, m: list[list[float]], depth: int = 1) -> Column:
+    """``affine`` of a region and of its children, which are mapped by their place in the image."""
+    return _mapped(r, affine(r, m), depth, lambda c: affine_all(c, m, depth - 1))
+
+
+def rotate_all(r: Column, m: list[list[float]], depth: int = 1) -> Column:
+    """``rotate`` of a region and of its children, which are mapped by their place in the image."""
+    return _mapped(r, rotate(r, m), depth, lambda c: rotate_all(c, m, depth - 1))
+
+
+def _mapped(r: Column, box: Column, depth: int, one: Callable[[Column], Column]) -> Column:
+    def inner(c: Column, b: Column) -> Column:
+        return _let(one(c), lambda o: _moved(o, -b["x"], -b["y"]))
+
+    return nested(r, box, depth, inner, lambda _: (r["x"], r["y"]))
+
+
+def turn_all(r: Column, phase: Column | int, parent_w, parent_h, depth: int = 1) -> Column:
+    """``turn`` of a region in its parent and of its children in the turned region."""
+    return nested(r, turn(r, phase, parent_w, parent_h), depth, lambda c, b: turn_all(c, phase, b["w"], b["h"], depth - 1))
+
+
+def unturn_all(r: Column, phase: Column | int, source_w, source_h, depth: int = 1) -> Column:
+    """Undo ``turn_all``; the parent size given is the one that it produced."""
+    p = (F.lit(phase) if isinstance(phase, int) else phase) % 4
+    odd = p.isin(1, 3)
+    w, h = F.when(odd, source_h).otherwise(source_w), F.when(odd, source_w).otherwise(source_h)
+    return turn_all(r, F.when(odd, 4 - p).otherwise(p), w, h, depth)
+
+
 def diameter(r: Column) -> Column:
     return F.greatest(r["w"], r["h"])
 

@@ -50,21 +50,14 @@ def cell_histogram(rows: DataFrame, item: str, cell: Column, bin_: Column, cells
     filled = counted.groupBy(item).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("cell") * bins + F.col("bin")).alias("k"), F.col("n")))).alias("m")
     )  # at most cells * bins entries
-    cell_sum = lambda c: F.aggregate(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        F.lit(0).cast("bigint"),
-        lambda acc, b: acc + F.coalesce(F.try_element_at("m", c * bins + b), F.lit(0)),
-    )
-    vec = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(cells - 1)),
-            lambda c: F.transform(
-                F.sequence(F.lit(0), F.lit(bins - 1)),
-                lambda b: F.coalesce(F.try_element_at("m", c * bins + b), F.lit(0))
-                / F.greatest(cell_sum(c), F.lit(1).cast("bigint")),
-            ),
-        )
+    every_bin = F.sequence(F.lit(0), F.lit(bins - 1))
+    in_cell = F.transform(
+        F.sequence(F.lit(0), F.lit(cells - 1)),
+        lambda c: F.transform(every_bin, lambda b: F.coalesce(F.try_element_at("m", c * bins + b), F.lit(0).cast("bigint"))),
     )
+    summed = F.transform(in_cell, lambda ns: F.struct(
+        ns.alias("ns"), F.greatest(F.aggregate(ns, F.lit(0).cast("bigint"), lambda acc, n: acc + n), F.lit(1).cast("bigint")).alias("total")))
+    vec = F.flatten(F.transform(summed, lambda c: F.transform(c["ns"], lambda n: n / c["total"])))
     return filled.select(item, vec.alias("vec"))
 
 

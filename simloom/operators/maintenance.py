@@ -57,27 +57,36 @@ def matching(items: DataFrame, needles: DataFrame, key: str = "item_id", exhaust
 def _starting_at_part(items: DataFrame, needles: DataFrame, key: str) -> DataFrame:
     """Ids whose last occurrence of the needle opens the id or follows one of [ / \\ and dot.
 
-    Suffixes that start at such a place are joined with needles on their first characters (as many
-    as the shortest needle has) and then checked whole.
+    Needles fall into classes by the power of two in their length. Suffixes that start at such a place are
+    joined, once per class, on as many characters as its needles have at least, and then checked whole; a
+    short needle does not shorten the key of the others. An empty needle names nothing.
     """
-    stem = needles.agg(F.min(F.length("needle"))).first()[0]
-    if stem is None:
-        return items.limit(0).select(F.lit("").alias("needle"), key)
+    keyed = needles.withColumn("_size", _class_length(F.length("needle"))).withColumn(
+        "_stem", F.expr("substring(needle, 1, _size)"))
+    sizes = sorted(r[0] for r in keyed.filter("needle <> ''").select("_size").distinct().collect())  # at most 31
     text = F.col(key)
+    if not sizes:
+        return items.limit(0).select(F.lit("").alias("needle"), key)
     opens = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - stem + 1, F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(F.length(text) - sizes[0] + 1, F.lit(1))),
         lambda i: (i == 1) | F.substring(text, i - 1, F.lit(1)).isin("[", "/", "\\", "."),
     )
-    parts = items.select(key, F.explode(opens).alias("_i")).withColumn(
-        "_stem", F.substring(text, F.col("_i"), F.lit(stem))
+    parts = items.select(key, F.explode(opens).alias("_i")).select(
+        key, "_i", F.explode(F.array(*map(F.lit, sizes))).alias("_size")
+    ).filter(F.length(text) - F.col("_i") + 1 >= F.col("_size")).withColumn(
+        "_stem", F.substring(text, F.col("_i"), F.col("_size"))
     )
-    by_stem = needles.withColumn("_stem", F.substring("needle", 1, stem))
-    return parts.join(by_stem, "_stem").filter(
+    return parts.join(keyed, ["_size", "_stem"]).filter(
         F.startswith(F.substring(text, F.col("_i"), F.length(text)), F.col("needle"))
         & (_last_start(text, F.col("needle")) == F.col("_i"))
     ).select("needle", key)
 
 
+def _class_length(size: Column) -> Column:
+    """Largest power of two that is not above a length."""
+    return F.pow(F.lit(2), F.floor(F.log2(size))).cast("int")
+
+
 def _last_start(text: Column, needle: Column) -> Column:
     """1-based start of the last occurrence of the needle."""
     back = F.instr(F.reverse(text), F.reverse(needle))

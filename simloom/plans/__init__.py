@@ -14,6 +14,7 @@ FAMILIES = (
     "maintenance",
     "neardups",
     "regions",
+    "nested",
     "evaluation",
     "routing",
     "likelihood",

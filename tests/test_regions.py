@@ -127,3 +127,36 @@ def test_turns_come_back(spark):
     w, h = F.when(odd, 200).otherwise(120), F.when(odd, 120).otherwise(200)
     back = rects.unturn(rects.turn(F.col("r"), F.col("p"), w, h), F.col("p"), w, h)
     assert df.filter(back != F.col("r")).isEmpty()
+
+
+TREE = "r struct<x: int, y: int, w: int, h: int, subs: array<struct<kind: string, x: int, y: int, w: int, h: int>>>"
+
+
+def tree(spark, subs):
+    return spark.createDataFrame([((10, 20, 40, 40, subs),)], TREE)
+
+
+def boxed(r):
+    return (r.x, r.y, r.w, r.h), None if r.subs is None else [(s.kind, s.x, s.y, s.w, s.h) for s in r.subs]
+
+
+@pytest.mark.parametrize("change, expected", [
+    (lambda r: rects.stretch_all(r, 2), ((-10, 0, 80, 80), [("i", 20, 20, 20, 20), ("n", 45, 45, 20, 20)])),
+    (lambda r: rects.stretch_all(r, 2, recurse=False), ((-10, 0, 80, 80), [("i", 25, 25, 10, 10), ("n", 50, 50, 10, 10)])),
+    (lambda r: rects.scale_all(r, 0.5), ((5, 10, 20, 20), [("i", 2, 2, 5, 5), ("n", 15, 15, 5, 5)])),
+    (lambda r: rects.clip_all(r, rects.rect(*map(F.lit, (12, 22, 25, 25)))), ((12, 22, 25, 25), [("i", 3, 3, 10, 10)])),
+    (lambda r: rects.clip_all(r, rects.rect(*map(F.lit, (100, 100, 5, 5)))), ((0, 0, 0, 0), [])),
+    (lambda r: rects.rotate_all(r, [[1.0, 0.0, 7.0], [0.0, 1.0, 0.0]]), ((17, 20, 40, 40), [("i", 5, 5, 10, 10), ("n", 30, 30, 10, 10)])),
+    (lambda r: rects.turn_all(r, 2, F.lit(100), F.lit(100)), ((50, 40, 40, 40), [("i", 25, 25, 10, 10), ("n", 0, 0, 10, 10)])),
+])
+def test_children_follow_their_region(spark, change, expected):
+    made = tree(spark, [("i", 5, 5, 10, 10), ("n", 30, 30, 10, 10)]).select(change(F.col("r")).alias("r")).first().r
+    assert boxed(made) == expected
+
+
+@pytest.mark.parametrize("subs", [None, []])
+def test_regions_without_children(spark, subs):
+    r = F.col("r")
+    for change in (rects.stretch_all(r, 2), rects.scale_all(r, 2), rects.affine_all(r, [[1.0, 0, 0], [0, 1.0, 0]]),
+                   rects.clip_all(r, rects.rect(*map(F.lit, (0, 0, 99, 99)))), rects.turn_all(r, 1, F.lit(99), F.lit(99))):
+        assert boxed(tree(spark, subs).select(change.alias("r")).first().r)[1] == subs
