@@ -57,6 +57,13 @@ def _bands(positions: list[int], misses: int) -> list[list[int]]:
     return [positions[i::n] for i in range(n)]
 
 
+def band_keys(sketch: Column, scale: float = TEXT_SCALE, threshold: float = vectors.NEARDUP_THRESHOLD,
+              positions: int = 16) -> Column:
+    """Array of hashes of which two sketches under the threshold, and equal ones, share one."""
+    misses = max(0, positions - min_agreement(scale, threshold, positions))
+    return F.array(*[_key(sketch, (i, band)) for i, band in enumerate(_bands(list(range(positions)), misses))])
+
+
 ASKS, ANSWERS = 1, 2
 
 

@@ -101,9 +101,10 @@ def stream_cache_invalidate(spark, sf):
         (F.col("o_custkey") % 20).alias("event_id"), F.col("o_orderpriority").alias("bucket"),
         F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("deleted"),
     )
-    cache = LogTable(spark, scratch_path(spark, "cache"), key="request")
+    keys = list(routing.CACHE_KEY[:3])
+    cache = LogTable(spark, scratch_path(spark, "cache"), key="request", by=keys)
     cache.add(rows.filter("o_orderkey % 3 <> 0").drop("o_orderkey"), -1)
-    keys = routing.CACHE_KEY[:3]
+    cache.compact()
     touched = rows.filter("o_orderkey % 90 = 1").select("o_orderkey", *keys)
     feed(spark, touched, "o_orderkey", 2, lambda s, c: live.evict(s, cache, keys, c))
     return cache.read().select("request")

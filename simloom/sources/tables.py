@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,58 +144,109 @@ class VersionedTable:
         return number
 
 
-class LogTable:
-    """A keyed table kept as a log of batches and compacted bases.
+class PartedLog:
+    """Rows kept as a log of numbered batches and bases, each dealt to folders by a hash of the columns ``by``.
 
-    A batch only adds its own rows (``seq`` orders them, ``deleted`` marks removals); readers take
-    the latest row per key over the newest base and the batches after it. A replayed batch writes
-    its own folder again, so it counts once.
+    A batch only writes its own rows; a replayed batch writes its folder again, so it counts once. ``compact``
+    rewrites everything up to the last batch as a base of about ``part_rows`` rows a folder. A reader that
+    names values of ``by`` opens the folders of their hashes only, so what it reads follows the values
+    asked for and not the size of the log.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "item_id"):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+    #: Most folders of a batch or base; all numbers of folders are powers of two under it.
+    MOST_PARTS = 4096
+
+    def __init__(self, spark: SparkSession, root: str, by: list[str], part_rows: int = 200_000, compact_every: int | None = 64):
+        self.spark, self.root, self.by = spark, root.rstrip("/"), by
+        self.part_rows, self.compact_every = part_rows, compact_every
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _numbers(self, prefix: str) -> list[int]:
-        if not self._fs.exists(self._path(self.root)):
+    def _folder(self, kind: str, number: int) -> str:
+        return f"{self.root}/_kind={kind}/_no={number}"
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Complete folders that hold rows."""
+        top = self._path(f"{self.root}/_kind={kind}")
+        if not self._fs.exists(top):
             return []
         out = []
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            done = self._path(f"{self.root}/{name}/_SUCCESS")
-            if name.startswith(prefix) and self._fs.exists(done):
-                out.append(int(name[len(prefix):]))
+        for status in self._fs.listStatus(top):
+            inside = {s.getPath().getName() for s in self._fs.listStatus(status.getPath())}
+            if "_SUCCESS" in inside and any(n.startswith("_parts=") for n in inside):
+                out.append(int(status.getPath().getName().removeprefix("_no=")))
         return sorted(out)
 
-    def add(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/batch-{batch}")
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in self.by]), F.lit(self.MOST_PARTS)).cast("int")
 
-    def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
-        """Current rows, or those before a batch; None while there are none.
+    def _write(self, rows: DataFrame, kind: str, number: int, parts: int) -> None:
+        dealt = rows.withColumn("_parts", F.lit(parts)).withColumn("_part", self._slot() % parts)
+        dealt.repartition("_part").write.mode("overwrite").partitionBy("_parts", "_part").parquet(self._folder(kind, number))
+
+    def add(self, rows: DataFrame, batch: int, parts: int = 1) -> None:
+        self._write(rows, "batch", batch, parts)
+        if self.compact_every and len(self._since()[1]) >= self.compact_every:
+            self.compact()
 
-        ``only`` restricts the read to the keys of a table, before the latest rows are sought.
-        """
-        bases = [b for b in self._numbers("base-") if before is None or b < before]
+    def _since(self, before: int | None = None) -> tuple[int | None, list[int]]:
+        """The newest base and the batches after it."""
+        bases = [b for b in self._numbers("base") if before is None or b < before]
         base = bases[-1] if bases else None
-        batches = [
-            b for b in self._numbers("batch-") if (base is None or b > base) and (before is None or b < before)
-        ]
-        paths = [f"{self.root}/base-{base}"] if bases else []
-        paths += [f"{self.root}/batch-{b}" for b in batches]
-        if not paths:
+        later = [b for b in self._numbers("batch") if (base is None or b > base) and (before is None or b < before)]
+        return base, later
+
+    def _open(self, kind: str, numbers: list[int], only: DataFrame | None) -> DataFrame | None:
+        if not numbers:
             return None
-        rows = self.spark.read.parquet(*paths)
-        rest = [c for c in rows.columns if c != self.key]
+        paths = [self._folder(kind, n) for n in numbers]
+        rows = self.spark.read.option("basePath", self.root).parquet(*paths)
         if only is not None:
-            rows = rows.join(only.select(self.key).distinct(), self.key, "left_semi")
-        latest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
-        return latest.filter(~F.col("_r.deleted")).select(
-            self.key, *[F.col(f"_r.{c}").alias(c) for c in rest]
-        )
+            wanted = only.select(*self.by).distinct()
+            slots = [r[0] for r in wanted.select(self._slot()).distinct().collect()]  # at most MOST_PARTS numbers
+            sizes = [1 << i for i in range(self.MOST_PARTS.bit_length())]
+            codes = sorted({n * 2 * self.MOST_PARTS + s % n for n in sizes for s in slots})
+            rows = rows.filter((F.col("_parts") * (2 * self.MOST_PARTS) + F.col("_part")).isin(codes)).join(wanted, self.by, "left_semi")
+        return rows.drop("_kind", "_no", "_parts", "_part")
+
+    def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+        """Rows, or those before a batch; None while there are none. ``only`` keeps the values of ``by`` that a table has."""
+        base, later = self._since(before)
+        held = self._open("base", [] if base is None else [base], only)
+        fresh = self._open("batch", later, only)
+        return self._merged(held, fresh)
+
+    def _merged(self, held: DataFrame | None, fresh: DataFrame | None) -> DataFrame | None:
+        return fresh if held is None else held if fresh is None else held.unionByName(fresh)
 
     def compact(self) -> None:
-        """Write the current rows as a new base; the batches under it are no longer read."""
-        batches = self._numbers("batch-")
-        if batches:
-            self.read().write.mode("overwrite").parquet(f"{self.root}/base-{batches[-1]}")
+        """Write the rows as a new base; the batches under it are no longer read."""
+        _, later = self._since()
+        if later:
+            rows = self.read()
+            parts = 1 << max(0, (max(1, rows.count()) - 1) // self.part_rows).bit_length()
+            self._write(rows, "base", later[-1], min(parts, self.MOST_PARTS))
+
+
+class LogTable(PartedLog):
+    """A keyed table as a log: ``seq`` orders the rows of a key, ``deleted`` marks removals.
+
+    Readers take the latest row per key. A base holds one row a key, so only the rows of keys that later
+    batches name are compared; without such batches the base is read as it is. ``by`` are the columns that
+    the folders go by, the key unless something else is asked for; all rows of a key must agree on them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "item_id", by: list[str] | None = None, **how):
+        super().__init__(spark, root, by or [key], **how)
+        self.key = key
+
+    def _merged(self, held: DataFrame | None, fresh: DataFrame | None) -> DataFrame | None:
+        if fresh is None:
+            return held
+        rest = [c for c in fresh.columns if c != self.key]
+        changed = fresh.select(self.key).distinct()
+        rows = fresh if held is None else fresh.unionByName(held.join(changed, self.key, "left_semi"))
+        latest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "seq").alias("_r")).filter(~F.col("_r.deleted")).select(
+            self.key, *[F.col(f"_r.{c}").alias(c) for c in rest]
+        )
+        return latest if held is None else held.join(changed, self.key, "left_anti").unionByName(latest)

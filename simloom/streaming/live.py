@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from simloom.operators import neardup, similarity
 from simloom.operators.prefix import running
-from simloom.sources.tables import LogTable
+from simloom.sources.tables import LogTable, PartedLog
 
 
 def latest_in_batch(rows: DataFrame, key: str) -> DataFrame:
@@ -64,34 +64,37 @@ def request_log(stream: DataFrame, store: LogTable, out: str, checkpoint: str) -
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def link_arrivals(stream: DataFrame, sketches: str, links: str, checkpoint: str, **how) -> DataStreamWriter:
+def link_arrivals(stream: DataFrame, sketches: str | PartedLog, links: str, checkpoint: str, **how) -> DataStreamWriter:
     """Link each arriving item (seq, sketch) to its closest earlier one.
 
-    Items must arrive in seq order over batches. ``sketches`` keeps the first item of every sketch.
+    Items must arrive in seq order over batches. ``sketches`` keeps the first item of every sketch once
+    per band, in folders by the hash of the band; a batch opens the folders of its own bands.
     """
+    near = {k: v for k, v in how.items() if k in ("scale", "threshold", "positions")}
+    keep = PartedLog(stream.sparkSession, sketches, ["key"]) if isinstance(sketches, str) else sketches
+
     def step(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        fresh = rows.select("seq", "sketch")
-        path = spark._jvm.org.apache.hadoop.fs.Path(sketches)
-        known = fresh
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            stored = spark.read.parquet(sketches).filter(F.col("batch") < batch).drop("batch")
-            known = stored.unionByName(fresh)
-            fresh_firsts = fresh.join(stored.select("sketch"), "sketch", "left_anti")
-        else:
-            fresh_firsts = fresh
-        neardup.link_probes(fresh, known, **how).write.mode("overwrite").parquet(f"{links}/batch={batch}")
-        firsts = fresh_firsts.groupBy("sketch").agg(F.min("seq").alias("seq"))
-        firsts.write.mode("overwrite").parquet(f"{sketches}/batch={batch}")
+        fresh = rows.select("seq", "sketch", F.explode(neardup.band_keys(F.col("sketch"), **near)).alias("key"))
+        stored = keep.read(before=batch, only=fresh)
+        known, firsts = rows.select("seq", "sketch"), fresh
+        if stored is not None:
+            known = known.unionByName(stored.select("seq", "sketch").distinct())
+            firsts = fresh.join(stored.select("key", "sketch"), ["key", "sketch"], "left_anti")
+        neardup.link_probes(rows.select("seq", "sketch"), known, **how).write.mode("overwrite").parquet(f"{links}/batch={batch}")
+        keep.add(firsts.groupBy("key", "sketch").agg(F.min("seq").alias("seq")), batch)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 def evict(stream: DataFrame, cache: LogTable, keys: list[str], checkpoint: str) -> DataStreamWriter:
-    """Ingest and remove events (with the bucket ``keys``) evict the cached rows of their buckets."""
+    """Ingest and remove events (with the bucket ``keys``) evict the cached rows of their buckets.
+
+    A cache whose folders go by ``keys`` is read in the folders of the buckets that a batch touches.
+    """
     def step(events: DataFrame, batch: int) -> None:
         # The cache's own rows are batches under zero, evictions follow them.
-        current = cache.read(before=batch)
+        near = events if sorted(cache.by) == sorted(keys) else None
+        current = cache.read(before=batch, only=near)
         if current is not None:
             gone = current.join(events.select(*keys).distinct(), keys, "left_semi")
             cache.add(gone.withColumn("seq", F.col("seq") + 1).withColumn("deleted", F.lit(True)), batch)

@@ -1,14 +1,16 @@
 """Life of an item table, streams against batch, and scalar properties."""
 
 import math
+import os
 import random
+from urllib.parse import unquote, urlparse
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from simloom.functions import scalars
-from simloom.operators import maintenance, ranking, similarity
+from simloom.operators import maintenance, neardup, ranking, similarity
 from simloom.session import scratch_path
 from simloom.sources import results, tables
 from simloom.sources.tables import LogTable, VersionedTable
@@ -130,3 +132,62 @@ def test_threshold_grammar(t):
         assert n is None and d == t
     else:
         assert n == int(t) and (d is None or 0 < d < 1)
+
+
+def opened(df):
+    """Bytes of the files that a table was read from after pruning."""
+    files = [r[0] for r in df.select(F.input_file_name()).distinct().collect()]
+    return sum(os.path.getsize(unquote(urlparse(f).path)) for f in files if f)
+
+
+def test_a_batch_reads_what_it_touches(spark):
+    asked = spark.range(3).select((F.col("id") * 7).alias("item_id"))
+    read, whole = [], []
+    for n in (4_000, 32_000):
+        log = LogTable(spark, scratch_path(spark, "grown"), part_rows=250)
+        rows = spark.range(n).select(F.col("id").alias("item_id"), F.lit(1).alias("seq"), F.lit(False).alias("deleted"),
+                                     F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        log.add(rows, 0)
+        log.compact()
+        got = log.read(only=asked)
+        assert sorted(r.item_id for r in got.collect()) == [0, 7, 14]
+        read.append(opened(got))
+        whole.append(opened(log.read()))
+    assert 0 < read[1] <= 1.5 * read[0] and whole[1] > 5 * whole[0]
+
+
+def test_log_against_a_dictionary(spark):
+    """Batches, replays and compaction after every third batch leave the latest rows."""
+    rnd = random.Random(3)
+    log = LogTable(spark, scratch_path(spark, "log"), part_rows=8, compact_every=3)
+    now = {}
+    for batch in range(7):
+        rows = [(k, batch, rnd.random() < 0.3, rnd.randrange(9)) for k in rnd.sample(range(40), 12)]
+        frame = spark.createDataFrame(rows, "item_id bigint, seq bigint, deleted boolean, v int").coalesce(1)
+        log.add(frame, batch)
+        log.add(frame, batch)
+        before = dict(now)
+        for k, _, gone, v in rows:
+            now.pop(k, None)
+            if not gone:
+                now[k] = v
+        assert {r.item_id: r.v for r in log.read().collect()} == now
+        if batch:
+            assert {r.item_id: r.v for r in log.read(before=batch).collect()} == before
+    assert log._numbers("base") and log.read(only=spark.createDataFrame([(-1,)], "item_id bigint")).isEmpty()
+
+
+def test_arrivals_link_as_in_a_batch(spark):
+    rnd = random.Random(5)
+    base = [[rnd.randrange(50) for _ in range(16)] for _ in range(20)]
+    rows = [(i, [v if rnd.random() < 0.9 else rnd.randrange(50) for v in base[i % 20]]) for i in range(120)]
+    items = spark.createDataFrame(rows, "seq bigint, sketch array<bigint>")
+    root = scratch_path(spark, "arrivals")
+    keep = tables.PartedLog(spark, root + "/sketches", ["key"], part_rows=20, compact_every=2)
+    for n in range(4):
+        items.filter(F.floor(F.col("seq") / 30) == n).coalesce(1).write.mode("append").parquet(root + "/in")
+        stream = spark.readStream.schema(items.schema).parquet(root + "/in")
+        live.link_arrivals(stream, keep, root + "/links", root + "/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(root + "/links").select("seq", "parent", "dist").collect()))
+    assert got == sorted(map(tuple, neardup.link(items).collect())) and len(got) > 20
+    assert keep._numbers("base")
