@@ -9,6 +9,7 @@ from simloom.functions import rects
 from simloom.operators import aggregates, evaluate, similarity, tune
 from simloom.plans.catalogue import query, table
 from simloom.plans.inputs import BOXES, E, as_queries, boxes, iou, items, neighbours, overlap, unit
+from simloom.session import cut
 from simloom.plans.joins import _FOUND, given_found
 from simloom.plans.regions import FACES
 
@@ -61,7 +62,7 @@ def eval_loo(spark, sf):
        f"WITH {neighbours(6, True)}, " + ", ".join(_per_query(w) for w in _SCORES) + " "
        + " UNION ALL ".join(f"SELECT '{w}' AS weight, round(sum(match), 6) AS match, round(sum(found), 6) AS found, CAST(sum(given) AS BIGINT) AS given FROM q_{w}" for w in _SCORES))
 def eval_weighted(spark, sf):
-    hits = lists(spark, sf, 6).select("query_id", "item_id", "dist", "rank").cache()
+    hits = cut(lists(spark, sf, 6).select("query_id", "item_id", "dist", "rank"))
     x = items(spark, sf)
     out = None
     for w in _SCORES:

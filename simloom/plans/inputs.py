@@ -128,10 +128,10 @@ def neighbours(k: int, self_too: bool = False) -> str:
     """CTE ``n``: k nearest of every item by rounded distance, ties by id."""
     cond = "true" if self_too else "a.id <> b.id"
     return (
-        E + ", n AS MATERIALIZED (SELECT a.id AS qid, b.id AS iid, a.label AS ql, b.label AS il, "
-        "round(list_distance(a.v, b.v), 6) AS d, "
-        f"row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.v, b.v), 6), b.id) AS r "
-        f"FROM e a, e b WHERE {cond} QUALIFY r <= {k})"
+        E.replace("e AS (", "e AS MATERIALIZED (", 1)
+        + ", pd AS (SELECT a.id AS qid, b.id AS iid, a.label AS ql, b.label AS il, "
+        f"round(list_distance(a.v, b.v), 6) AS d FROM e a, e b WHERE {cond}), "
+        f"n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, iid) AS r FROM pd QUALIFY r <= {k})"
     )
 
 

@@ -8,6 +8,7 @@ from simloom.functions import rects, scalars
 from simloom.operators import ranking, regions, similarity
 from simloom.plans.catalogue import query, table
 from simloom.plans.inputs import BOXES, as_queries, boxes, centroid_hits, centroids, items, neighbours
+from simloom.session import cut
 
 COLS = ("query_id", "item_id", "dist")
 
@@ -38,7 +39,7 @@ _TRIMS = {"-1": "true", "0": "d = 0", "0.95": "d <= 0.95", "3": "r <= 3", "20.99
        + " UNION ALL SELECT 'skip', qid, iid, d, row_number() OVER (PARTITION BY qid ORDER BY d, iid) FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, iid) <= 3")
 def trim(spark, sf):
     x = items(spark, sf)
-    found = similarity.search(as_queries(x), x, top_n=25).select(*COLS).cache()
+    found = cut(similarity.search(as_queries(x), x, top_n=25).select(*COLS))
     parts = [ranking.trim(found, float(t)).withColumn("t", F.lit(t)) for t in _TRIMS]
     parts.append(ranking.trim(found, 3, skip_zero=True).withColumn("t", F.lit("skip")))
     out = parts[0]
