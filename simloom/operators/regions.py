@@ -14,6 +14,8 @@ from simloom.operators.region_merge import merged_batches
 from simloom.session import cut
 
 GRID = 64
+#: Pairs of an image that one row may hold.
+IMAGE_PAIRS = 1000
 PART_ROWS = 10_000
 
 
@@ -28,15 +30,14 @@ def _tiled(df: DataFrame, grid: int) -> DataFrame:
 
 
 def _side(df: DataFrame, rid: str, c: str, grid: int) -> DataFrame:
-    """Tiled rectangles with their edges and area as plain columns: join conditions stay short."""
-    r = F.col("r")
+    """Tiled rectangles; what follows from them is added behind the shuffle."""
     ready = _tiled(df.select("img", F.col("rid").alias(rid), F.col("kind").alias(f"{rid}_kind"), "r"), grid)
-    return ready.select(
-        "img", "tx", "ty", rid, f"{rid}_kind", r.alias(f"{c}r"),
-        r["x"].alias(f"{c}x"), (r["x"] + r["w"]).alias(f"{c}x2"),
-        r["y"].alias(f"{c}y"), (r["y"] + r["h"]).alias(f"{c}y2"),
-        rects.area(r).alias(f"{c}_area"),
-    )
+    return ready.select("img", "tx", "ty", rid, f"{rid}_kind", F.col("r").alias(f"{c}r"))
+
+
+def _edges(c: str) -> dict[str, Column]:
+    r = F.col(f"{c}r")
+    return {f"{c}x": r["x"], f"{c}x2": r["x"] + r["w"], f"{c}y": r["y"], f"{c}y2": r["y"] + r["h"], f"{c}_area": rects.area(r)}
 
 
 def touching(a: DataFrame, b: DataFrame, grid: int = GRID) -> DataFrame:
@@ -47,6 +48,7 @@ def touching(a: DataFrame, b: DataFrame, grid: int = GRID) -> DataFrame:
     """
     # The estimate of a side does not see its tiles: ask for the join that splits and spills.
     met = _side(a, "given", "g", grid).join(_side(b, "found", "f", grid).hint("merge"), ["img", "tx", "ty"])
+    met = met.withColumns({**_edges("g"), **_edges("f")})
     left, right = F.greatest("gx", "fx"), F.least("gx2", "fx2")
     top, bottom = F.greatest("gy", "fy"), F.least("gy2", "fy2")
     edges = [f"{c}{e}" for c in "gf" for e in ("x", "x2", "y", "y2")]
@@ -94,9 +96,47 @@ def first_containing(points: DataFrame, regions: DataFrame, grid: int = GRID) ->
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """Each given region, in id order, takes its best found region that is still free.
 
-    Solved for all images at once by proposals: every given region asks its best candidate, a found
+    The pairs of an image become one row, in which the regions choose in turn; images of more than IMAGE_PAIRS pairs
+    are solved by proposals. ``pairs``: img, given, found, same, area, ...
+    """
+    left = cut(pairs)
+    large = cut(left.groupBy("img").count().filter(F.col("count") > IMAGE_PAIRS).select("img"))
+    if large.isEmpty():
+        return _in_turn(left)
+    return _in_turn(left.join(large, "img", "left_anti")).unionByName(_by_proposals(left.join(large, "img", "left_semi")))
+
+
+def _in_turn(pairs: DataFrame) -> DataFrame:
+    """``one_to_one`` for images whose pairs fit one row. A candidate without an id takes a region out without a pair."""
+    same = F.when(F.col("same"), 0).when(~F.col("same"), 1).otherwise(2)
+    entry = F.struct(
+        "given", same.alias("_s"), (-F.col("area")).alias("_a"), F.col("found").isNull().alias("_n"), "found", F.struct(*pairs.columns).alias("row"))
+    ids = dict(pairs.select("given", "found").dtypes)
+    start = F.struct(
+        F.lit(None).cast(ids["given"]).alias("last"),
+        F.array().cast(f"array<{ids['found']}>").alias("used"),
+        F.array().cast(f"array<struct<given:{ids['given']},found:{ids['found']}>>").alias("taken"))
+
+    def choose(state: Column, e: Column) -> Column:
+        taken = F.array_append(state["taken"], F.struct(e["given"].alias("given"), e["found"].alias("found")))
+        free = F.struct(
+            e["given"].alias("last"),
+            F.when(e["found"].isNull(), state["used"]).otherwise(F.array_append(state["used"], e["found"])).alias("used"),
+            F.when(e["found"].isNull(), state["taken"]).otherwise(taken).alias("taken"))
+        settled = state["last"].eqNullSafe(e["given"]) | F.coalesce(F.array_contains(state["used"], e["found"]), F.lit(False))
+        return F.when(settled, state).otherwise(free)
+
+    listed = pairs.filter("given IS NOT NULL").groupBy("img").agg(F.array_sort(F.collect_list(entry)).alias("es"))
+    chosen = listed.select("es", F.aggregate("es", start, choose)["taken"].alias("taken"))
+    kept = F.filter("es", lambda e: F.exists(
+        F.col("taken"), lambda t: (t["given"] == e["given"]) & (t["found"] == e["found"])))
+    return chosen.select(F.explode(F.transform(kept, lambda e: e["row"])).alias("row")).select("row.*")
+
+
+def _by_proposals(pairs: DataFrame) -> DataFrame:
+    """``one_to_one`` for all images at once: every given region asks its best candidate, a found
     region keeps the earliest asker and drops its later candidates; repeat until none is refused.
-    That fixpoint equals the sequential assignment. ``pairs``: img, given, found, same, area, ...
+    That fixpoint equals the sequential assignment.
     """
     left = cut(pairs)
     best = F.struct("same", "area", (-F.col("found")).alias("o"))
