@@ -21,6 +21,8 @@ from simloom.session import cut, spread
 TEXT_SCALE = 0.27
 #: Rows of a band that are compared with each other at once.
 GROUP_ROWS = 512
+#: Asking sketches that every task may hold, and comparisons that it makes at once.
+SCAN_ROWS, ASKED_CELLS = 4096, 1 << 20
 
 
 def sketched(texts: DataFrame, *keys: str, text: str = "text", positions: int = 16) -> DataFrame:
@@ -237,14 +239,19 @@ def against(queries: DataFrame, items: DataFrame, scale: float = TEXT_SCALE,
     """(query_id, item_id, dist) of all items near each query, through shared bands.
 
     Any pair under the threshold agrees on a whole band, so nothing is missed; bands that many rows share are
-    split as in ``link``. Queries with one sketch meet the items once.
+    split as in ``link``. Queries with one sketch meet the items once; up to SCAN_ROWS of them are sent to
+    every task, which compares its items with all, and nothing is shuffled for bands.
     """
     least = min_agreement(scale, threshold, positions)
     queries, items = cut(queries.select("query_id", "sketch")), cut(items.select("item_id", "sketch"))
     asks = queries.groupBy("sketch").agg(F.min("query_id").alias("seq")).withColumn("role", F.lit(ASKS))
     answers = items.groupBy("sketch").agg(F.min("item_id").alias("seq")).withColumn("role", F.lit(ANSWERS))
-    met = _meetings(asks.unionByName(answers).select("seq", "sketch", "role"), positions, positions - least, group_rows)
-    near = _agreeing(met, least, True).distinct()
+    held = asks.select("seq", "sketch").limit(SCAN_ROWS + 1).toArrow().combine_chunks()
+    if held.num_rows <= SCAN_ROWS:
+        near = _agreeing_all(held, answers, least).distinct()
+    else:
+        met = _meetings(asks.unionByName(answers).select("seq", "sketch", "role"), positions, positions - least, group_rows)
+        near = _agreeing(met, least, True).distinct()
     d = F.when(F.col("agree") == positions, 0.0).otherwise(unit01(F.lit(-scale) * F.col("agree")))
     return (
         near.join(asks.select("seq", F.col("sketch").alias("_qs")), "seq")
@@ -255,6 +262,32 @@ def against(queries: DataFrame, items: DataFrame, scale: float = TEXT_SCALE,
     )
 
 
+def _agreeing_all(held: pa.Table, answers: DataFrame, least: int) -> DataFrame:
+    """``_agreeing`` of a bounded number of asking rows with every answer."""
+    shared = None
+    if held.num_rows:
+        values = held.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, -1)
+        shared = held.column("seq").to_numpy(), values
+    shared = answers.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches):
+        if shared.value is None:
+            return
+        asking, sketches = shared.value
+        step = max(1, ASKED_CELLS // len(asking))
+        for whole in batches:
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                values = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                agree = np.zeros((len(asking), len(values)), np.int8)
+                for p in range(values.shape[1]):
+                    agree += sketches[:, p, None] == np.ascontiguousarray(values[:, p])[None, :]
+                a, b = np.nonzero(agree >= least)
+                cols = asking[a], batch.column("seq").to_numpy()[b], agree[a, b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["seq", "other", "agree"])
+
+    return answers.select("seq", "sketch").mapInArrow(run, "seq bigint, other bigint, agree bigint")
+
+
 def check_declared(declared: DataFrame, items: DataFrame, scale: float = TEXT_SCALE,
                    threshold: float = vectors.NEARDUP_THRESHOLD) -> DataFrame:
     """Declared duplicates (seq, parent) with a verdict: ok, rejected, unknown or self."""
