@@ -338,16 +338,17 @@ def region_from_points(left: Column, right: Column, nose: Column, mouth: Column)
     def present(p):
         return (p["x"] != 0) | (p["y"] != 0)
 
-    subs = F.array(
-        box("i", left, eye / 2, eye / 2, eye, eye),
-        box("i", right, eye / 2, eye / 2, eye, eye),
-        F.when(present(nose), box("n", nose, nos / 2, nos / 2, nos, nos)),
-        F.when(present(mouth), box("m", mouth, mth, mth / 2, mth * 2, mth * 1.1)),
+    eyes = [box("i", p, eye / 2, eye / 2, eye, eye) for p in (left, right)]
+    n, m = box("n", nose, nos / 2, nos / 2, nos, nos), box("m", mouth, mth, mth / 2, mth * 2, mth * 1.1)
+    # Without a lambda over the boxes all of it compiles, and what they have in common is computed once.
+    subs = (
+        F.when(present(nose) & present(mouth), F.array(*eyes, n, m)).when(present(nose), F.array(*eyes, n))
+        .when(present(mouth), F.array(*eyes, m)).otherwise(F.array(*eyes))
     )
     return F.struct(
         ox.alias("x"),
         oy.alias("y"),
         trunc(size).alias("w"),
         trunc(size).alias("h"),
-        F.filter(subs, lambda s: s.isNotNull()).alias("subs"),
+        subs.alias("subs"),
     )
