@@ -60,9 +60,9 @@ def test_screened_search_with_many_equal_distances(spark):
     rng = np.random.default_rng(5)
     mat = np.r_[np.repeat(rng.normal(size=(40, 3)), 5, axis=0), rng.normal(size=(900, 3)) + 4.0]
     x = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(mat)], "item_id bigint, vec array<double>")
-    d = np.round(np.sqrt(((mat[:, None] - mat[None]) ** 2).sum(axis=2)), 6)
+    d = np.sqrt(((mat[:, None] - mat[None]) ** 2).sum(axis=2))
     for scale, skip, layout in ((None, "id", {}), (1.0, None, {"scan_rows": 0, "block_rows": 300})):
-        u = d if scale is None else np.round(2 / np.pi * np.arctan(np.pi / 2 * d), 6)
+        u = np.round(d if scale is None else 2 / np.pi * np.arctan(np.pi / 2 * d), 6)
         want = [(a, b, u[a, b]) for a in range(len(mat)) for b in [b for b in np.lexsort((np.arange(len(mat)), u[a])) if skip is None or b != a][:4]]
         got = similarity.search(x.withColumnRenamed("item_id", "query_id"), x, top_n=4, skip=skip, scale=scale, **layout)
         assert found(got.select("query_id", "item_id", "dist")) == sorted(want)
