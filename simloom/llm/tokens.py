@@ -29,8 +29,6 @@ TASK_BYTES, SHARD_BYTES, BUCKET_KEYS = 16 << 20, 64 << 20, 4096
 MEMO_WORDS, MEMO_IDS = 1 << 21, 1 << 23
 #: Punctuation that a tokenizer may part from the word before it.
 _BEHIND = ".,;:!?#$%&*|()"
-#: Encoders of this worker process, with the words that they remember.
-_encoders: dict[str, WordEncoder] = {}
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -107,6 +105,22 @@ class WordEncoder:
             yield np.insert(ids, upto, end).astype(np.uint32), np.diff(upto, prepend=0) + 1
 
 
+def kept_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process for a tokenizer file; one is kept, with the words that it remembers.
+
+    This package travels to the executors by value, so its globals are new in every task: the encoder hangs on an installed module.
+    """
+    import tokenizers
+
+    file = os.stat(path)
+    which = path, file.st_mtime_ns, file.st_size
+    kept = tokenizers.__dict__.setdefault("_simloom_encoders", {})
+    if which not in kept:
+        kept.clear()
+        kept[which] = WordEncoder(path)
+    return kept[which]
+
+
 def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
@@ -129,9 +143,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, key
 
     def run(batches):
         store, root = _open(folder)
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
-        encode = _encoders[tokenizer]
+        encode = kept_encoder(tokenizer)
         width = 2 if max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else 4
         store.create_dir(root, recursive=True)
         part, turn, at, out, name, last, seq = TaskContext.get().partitionId(), 0, 0, None, "", object(), 0

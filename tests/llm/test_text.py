@@ -355,3 +355,21 @@ def test_accepted_documents_keep_their_columns(odd, rows, spark):
     labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id bigint, toxic int")
     out = toxicity.accepted(odd, labels, F.lit(True))
     assert out.columns == odd.columns and out.count() <= len(rows)
+
+
+def test_words_that_a_worker_knows_outlive_a_task(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for _ in batches:
+            encode = tokens.kept_encoder(path)
+            before = encode.used
+            list(encode(pa.array(["some words of a text"]), 2))
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([before])], names=["pid", "before"])
+
+    rows = spark.range(64, numPartitions=64).mapInArrow(run, "pid bigint, before bigint").collect()
+    assert len(rows) == 64 and sum(r.before == 0 for r in rows) <= len({r.pid for r in rows}) < 64
