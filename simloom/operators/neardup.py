@@ -6,19 +6,24 @@ whose agreement by position measures likeness.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simloom.functions import vectors
 from simloom.functions.scalars import rounded, unit01
 from simloom.session import cut, spread
 
 TEXT_SCALE = 0.27
+#: Bytes of texts whose words are hashed at once; a longer text is hashed on its own.
+RUN_BYTES = 4 << 20
 #: Rows of a band that are compared with each other at once.
 GROUP_ROWS = 512
 #: Asking sketches that every task may hold, and comparisons that it makes at once.
@@ -28,22 +33,59 @@ SCAN_ROWS, ASKED_CELLS = 4096, 1 << 20
 def sketched(texts: DataFrame, *keys: str, text: str = "text", positions: int = 16) -> DataFrame:
     """(keys, sketch) of the whole texts; the keys tell the texts apart.
 
-    Distinct words of a text become rows and their hashes are reduced to minima in the task that holds the
-    text, so one short row per text is shuffled. Tables of a checked small size, which a scan leaves in few
-    tasks, are dealt by key first; the minima then need no shuffle. A text without words has no row.
+    A task hashes each word of a run of texts once and takes the minima of every text over its words, so one short row per text is
+    shuffled. Tables of a checked small size, which a scan leaves in few tasks, are dealt by key first. A text without words has no row.
     """
-    dealt = spread(texts.select(*keys, text), *keys)
-    each = dealt.select(*keys, F.explode(F.array_distinct(vectors.words(F.col(text)))).alias("_w")).filter("_w <> ''")
-    digest = F.md5("_w")
-    parts = each.select(*keys, *[
-        F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(name) for name, at in (("_a", 1), ("_b", 9))
-    ])
-    minima = vectors.sketch_minima(F.col("_a"), F.col("_b"), positions)
-    return parts.groupBy(*keys).agg(*minima).select(
+    each = spread(texts.select(*keys, text), *keys).select(*keys, F.lower(F.col(text)).alias("_t"))
+    schema = T.StructType([*each.select(*keys).schema.fields, T.StructField("_s", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for b in batches:
+            lengths = pc.fill_null(pc.binary_length(b.column("_t")), 0).to_numpy().astype(np.int64)
+            ends, at = np.cumsum(lengths), 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + RUN_BYTES, "right")))
+                some, at = b.slice(at, to - at), to
+                has, sketches = _minima(some.column("_t"), positions)
+                if len(sketches):
+                    yield pa.RecordBatch.from_arrays([*some.filter(pa.array(has)).columns[:-1], sketches], names=[*keys, "_s"])
+
+    minima = [F.min(F.col("_s")[i]).alias(f"_m{i}") for i in range(positions)]
+    return each.mapInArrow(run, schema).groupBy(*keys).agg(*minima).select(
         *keys, F.array(*[f"_m{i}" for i in range(positions)]).alias("sketch")
     )
 
 
+def _minima(texts: pa.Array, positions: int) -> tuple[np.ndarray, pa.ListArray]:
+    """(which texts have words, MinHash of each of these): position i holds min (a + i b) mod p, with a and b two 32-bit hashes of a word."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    heads = cuts[:-1][cuts[:-1] < len(raw)]
+    begins[heads] = solid[heads]
+    starts = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(starts, cuts))
+    has = counts > 0
+    if not len(starts):
+        return has, pa.array([], pa.list_(pa.int64()))
+    # The words behind each other, without what is between them.
+    packed = raw[solid]
+    places = np.r_[np.cumsum(solid)[starts] - 1, len(packed)].astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(packed)]).dictionary_encode()
+    digests = b"".join(hashlib.md5(w, usedforsecurity=False).digest()[:8] for w in coded.dictionary.to_pylist())
+    first, second = np.frombuffer(digests, ">u4").astype(np.int64).reshape(-1, 2).T
+    codes, runs = coded.indices.to_numpy(), (np.cumsum(counts) - counts)[has]
+    out = np.empty((len(runs), positions), np.int64)
+    for i in range(positions):
+        out[:, i] = np.minimum.reduceat(((first + i * second) % vectors.SKETCH_PRIME)[codes], runs)
+    return has, pa.ListArray.from_arrays(np.arange(0, out.size + 1, positions, dtype=np.int32), out.reshape(-1))
+
+
 def min_agreement(scale: float, threshold: float, positions: int) -> int:
     """Fewest agreeing positions whose normalised distance is under the threshold."""
     for m in range(positions + 1):
