@@ -9,7 +9,9 @@ its key, the shard, the place in it and the length, so a look-up reads one index
 
 from __future__ import annotations
 
+import gc
 import os
+import threading
 import uuid
 from itertools import chain
 
@@ -27,6 +29,8 @@ from simloom.llm.hashing import _buffers, _chunk, mixed, pieces
 TASK_BYTES, SHARD_BYTES, BUCKET_KEYS = 16 << 20, 64 << 20, 4096
 #: Words that a worker remembers, at most, and ids of all of them; a power of two and a bound.
 MEMO_WORDS, MEMO_IDS = 1 << 21, 1 << 23
+#: Seconds without a task after which a worker lets go of its encoder, which holds up to about 200 MB.
+IDLE_SECONDS = 3.0
 #: Punctuation that a tokenizer may part from the word before it.
 _BEHIND = ".,;:!?#$%&*|()"
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -115,10 +119,31 @@ def kept_encoder(path: str) -> WordEncoder:
     file = os.stat(path)
     which = path, file.st_mtime_ns, file.st_size
     kept = tokenizers.__dict__.setdefault("_simloom_encoders", {})
-    if which not in kept:
+    if timer := kept.pop("timer", None):
+        timer.cancel()
+    encoder = kept.get(which)
+    if encoder is None:
         kept.clear()
-        kept[which] = WordEncoder(path)
-    return kept[which]
+        encoder = kept[which] = WordEncoder(path)
+    return encoder
+
+
+def drop_when_idle(seconds: float = IDLE_SECONDS) -> None:
+    """Lets go of the kept encoder unless a task asks for it soon: the worker goes on to other operators, which need the memory."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.get("_simloom_encoders", {})
+    if timer := kept.pop("timer", None):
+        timer.cancel()
+
+    def let_go() -> None:
+        if kept.get("timer") is threading.current_thread():
+            kept.clear()
+            gc.collect()  # what came by value refers to itself
+
+    kept["timer"] = timer = threading.Timer(seconds, let_go)
+    timer.daemon = True
+    timer.start()
 
 
 def _open(folder: str):
@@ -175,6 +200,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, key
         finally:
             if out is not None:
                 out.close()
+            drop_when_idle()
 
     kind = picked.schema["key"].dataType.simpleString()
     return staged(ranged.mapInArrow(run, _ENTRY.format(kind)), "entries")

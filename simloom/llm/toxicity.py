@@ -9,6 +9,7 @@ words. The words of the text and the restored words are then scored by a logisti
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.columns import staged, whole, with_columns
+from simloom.llm.columns import staged, whole
 from simloom.llm.hashing import _buffers, lowered
 from simloom.llm.learners import Ones, fit_lasso
 from simloom.llm.quality import bounded_sample
@@ -283,16 +284,16 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     features, bias, weights = fit(sample, model)
     kept = {f: i for i, f in enumerate(features) if weights[i]}
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(model, kept)
-        for b in batches:
-            some = (t for i in range(0, b.num_rows, 256) for t in b.column(1).slice(i, 256).to_pylist())
+        for column in texts:
+            some = (t for i in range(0, len(column), 256) for t in column.slice(i, 256).to_pylist())
             total = np.array([bias + sum(weights[i] for i in reader(t)) for t in some], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))))], names=["row", "score"])
+            yield pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
-    picked = docs.select(F.struct(F.col(key).alias("_key"), *carry).alias("row"), F.col(text).cast("string").alias("text"))
-    out = picked.mapInArrow(run, with_columns(picked.schema["row"].dataType, score="double"))
-    return out.select(F.col("row._key").alias(key), "score", *[F.col(f"row.`{c}`").alias(c) for c in carry])
+    # Only texts go to Python, once; rows wait for their score in the task. A filter on the score does not ask for it again.
+    chance = F.arrow_udf(run, "double").asNondeterministic()
+    return docs.select(F.col(key).alias(key), chance(F.col(text).cast("string")).alias("score"), *carry)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, limit: float = 0.7, **how) -> DataFrame:

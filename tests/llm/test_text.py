@@ -373,3 +373,31 @@ def test_words_that_a_worker_knows_outlive_a_task(spark):
 
     rows = spark.range(64, numPartitions=64).mapInArrow(run, "pid bigint, before bigint").collect()
     assert len(rows) == 64 and sum(r.before == 0 for r in rows) <= len({r.pid for r in rows}) < 64
+
+
+def test_an_idle_worker_lets_go_of_its_encoder():
+    import time
+
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = tokens.kept_encoder(path)
+    tokens.drop_when_idle(60)
+    assert tokens.kept_encoder(path) is first and "timer" not in tokenizers._simloom_encoders
+    tokens.drop_when_idle(0.05)
+    for _ in range(100):
+        if not tokenizers._simloom_encoders:
+            break
+        time.sleep(0.05)
+    assert not tokenizers._simloom_encoders
+    again = tokens.kept_encoder(path)
+    assert again is not first and [x.tolist() for x, _ in again(pa.array(["some words"]), 2)] == [x.tolist() for x, _ in first(pa.array(["some words"]), 2)]
+    tokens.drop_when_idle(0)
+
+
+def test_only_texts_pass_python_when_documents_are_scored(spark):
+    docs = spark.createDataFrame([(1, "a text", "x"), (2, None, None)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    plan = toxicity.accepted(docs, labels, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert plan.count("ArrowEvalPython") == 1
