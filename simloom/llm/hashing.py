@@ -25,7 +25,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        steps = np.full(max(n, min(2 * n, 2 * CHUNK), 1 << 16), base, np.uint64)
         steps[0] = 1
         _powers[key] = np.cumprod(steps, dtype=np.uint64)
     return _powers[key][:n]
@@ -91,11 +91,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(counts)
 
 
-def pieces(offsets: np.ndarray):
-    """Runs of texts of about CHUNK bytes, as (first, behind the last)."""
+def pieces(offsets: np.ndarray, size: int = CHUNK):
+    """Runs of texts of about ``size`` bytes, as (first, behind the last)."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to
         at = to
 

@@ -26,10 +26,12 @@ from simloom.llm.columns import staged
 from simloom.llm.hashing import _buffers, _chunk, mixed, pieces
 
 #: Text of one task and ids of one shard file, in bytes; keys of one index bucket, about.
-TASK_BYTES, SHARD_BYTES, BUCKET_KEYS = 16 << 20, 64 << 20, 4096
+TASK_BYTES, SHARD_BYTES, BUCKET_KEYS = 8 << 20, 64 << 20, 4096
+#: Bytes of text, and new words, that are encoded at once: what is held for a word while it is new is some hundred times its size.
+PIECE_BYTES, NEW_WORDS = 1 << 18, 1 << 13
 #: Words that a worker remembers, at most, and ids of all of them; a power of two and a bound.
 MEMO_WORDS, MEMO_IDS = 1 << 21, 1 << 23
-#: Seconds without a task after which a worker lets go of its encoder, which holds up to about 200 MB.
+#: Seconds without a task after which a worker lets go of its encoder.
 IDLE_SECONDS = 3.0
 #: Punctuation that a tokenizer may part from the word before it.
 _BEHIND = ".,;:!?#$%&*|()"
@@ -52,14 +54,15 @@ class WordEncoder:
         self.lower = one("Ab") == one("ab") and one("Éa") == one("ÉA")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         apart = all(one(f"w{a}{b}") == one("w" if a == "" else f"w{a}") + one(b) for a in ("", "o", "0") for b in (*_BEHIND, _BEHIND))
+        self.width = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.marks = np.array([apart and b < 128 and chr(b) in _BEHIND for b in range(256)])
         self.clear()
 
     def clear(self) -> None:
         """Forgets all words. A word has two places by its hash; a third word for a place drives out the one that is there."""
         self.known = np.zeros(MEMO_WORDS, np.uint64)
-        self.starts, self.lengths = np.zeros(MEMO_WORDS, np.int64), np.zeros(MEMO_WORDS, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(MEMO_WORDS, np.uint32), np.zeros(MEMO_WORDS, np.uint32)
+        self.pool, self.used = np.zeros(MEMO_IDS + (MEMO_IDS >> 3), self.width), 0
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mask = np.uint64(MEMO_WORDS - 1)
@@ -67,14 +70,16 @@ class WordEncoder:
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and length in the pool of distinct new words, which are remembered too."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = self.used + np.cumsum(lengths) - lengths
-        end = self.used + int(lengths.sum())
-        if end > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), end - len(self.pool)), np.uint32)))
-        self.pool[self.used:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
-        self.used = end
+        lengths, first = np.zeros(len(words), np.int64), self.used
+        for s in range(0, len(words), NEW_WORDS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[s:s + NEW_WORDS], add_special_tokens=False)]
+            some = np.fromiter(map(len, found), np.int64, len(found))
+            lengths[s:s + NEW_WORDS], end = some, self.used + int(some.sum())
+            if end > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool) >> 1, end - len(self.pool)), self.width)))
+            self.pool[self.used:end] = np.fromiter(chain.from_iterable(found), self.width, end - self.used)
+            self.used = end
+        starts = first + np.cumsum(lengths) - lengths
         first, second = self._places(hashes)
         place = np.where((self.known[first] != 0) & (self.known[second] == 0), second, first)
         _, one = np.unique(place, return_index=True)
@@ -85,7 +90,7 @@ class WordEncoder:
     def __call__(self, texts: pa.Array, end: int):
         """Pieces of (ids of some texts in order, each text followed by ``end``; ids per text)."""
         raw, offsets = _buffers(texts)
-        for a, b in pieces(offsets):
+        for a, b in pieces(offsets, PIECE_BYTES):
             if self.used > MEMO_IDS:
                 self.clear()
             whole = raw[offsets[a]:offsets[b]].tobytes()
@@ -96,7 +101,7 @@ class WordEncoder:
             place, other = self._places(hashes)
             place = np.where(self.known[place] == hashes, place, other)
             missing = np.flatnonzero(self.known[place] != hashes)
-            starts, size = self.starts[place], self.lengths[place].astype(np.int64)
+            starts, size = self.starts[place].astype(np.int64), self.lengths[place].astype(np.int64)
             if len(missing):
                 new, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
                 at = missing[where]
@@ -104,9 +109,9 @@ class WordEncoder:
                 starts[missing], size[missing] = learnt[0][back], learnt[1][back]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
-            ids = self.pool[np.arange(total) + np.repeat(starts - (ends - size), size)] if total else np.zeros(0, np.uint32)
+            ids = self.pool[np.arange(total) + np.repeat(starts - (ends - size), size)] if total else np.zeros(0, self.width)
             upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
-            yield np.insert(ids, upto, end).astype(np.uint32), np.diff(upto, prepend=0) + 1
+            yield np.insert(ids.astype(np.uint32), upto, end), np.diff(upto, prepend=0) + 1
 
 
 def kept_encoder(path: str) -> WordEncoder:

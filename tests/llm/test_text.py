@@ -401,3 +401,23 @@ def test_only_texts_pass_python_when_documents_are_scored(spark):
     plan = toxicity.accepted(docs, labels, F.lit(True))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_encoder_holds_little_beside_its_words():
+    import tracemalloc
+
+    texts = [" ".join(f"{(i * 977 + j) * 2654435761 % (1 << 31):x}" for j in range(300)) for i in range(800)]
+    encode = tokens.WordEncoder(path := public_tokenizers.path("word_bpe_49k.json"))
+    tracemalloc.start()
+    try:
+        encode.clear()
+        found = [(zlib.crc32(ids.tobytes()), n.sum()) for ids, n in encode(pa.array(texts), 2)]
+        assert tracemalloc.get_traced_memory()[1] < 110e6  # 35 MB of places, 19 MB of ids at most, and the pieces' own
+    finally:
+        tracemalloc.stop()
+    library, ids = Tokenizer.from_file(path), []
+    for t in texts:
+        ids += [*library.encode(t, add_special_tokens=False).ids, 2]
+    assert len(found) > 4 and sum(n for _, n in found) == len(ids)
+    again = np.concatenate([x for x, _ in encode(pa.array(texts), 2)])
+    assert again.dtype == np.uint32 and again.tolist() == ids
