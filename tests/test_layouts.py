@@ -5,7 +5,8 @@ import math
 import numpy as np
 
 from simloom.functions.scalars import real_value
-from simloom.operators import similarity, tune
+from simloom.operators import signature_join, similarity, tune
+from test_signatures import items as signatures
 
 
 def found(df):
@@ -44,3 +45,18 @@ def test_few_pairs_are_weighed_in_full(monkeypatch):
         assert reducer.match.tolist() == [2 * np.count_nonzero(s & other & alike) for s in some]
         assert len({*reducer.found.tolist()}) > 3 or t > 0.5
     assert 0 < cells < 0.1 * 4 * len(cuts) * 300 * 600
+
+
+def test_signatures_meet_by_their_positions(spark, monkeypatch):
+    x = signatures(spark).persist()
+    q = x.withColumnRenamed("item_id", "query_id")
+    want = {(below, scale): found(signature_join.compare_all(q, x, 8, scale, below).filter("dist < 0.45"))
+            for below, scale in ((0.6, 0.75),)}[0.6, 0.75]
+
+    def every_pair(a, b):
+        raise AssertionError("all pairs are compared at all places")
+
+    plain = signature_join.signature_metric
+    monkeypatch.setattr(signature_join, "signature_metric", lambda *of: similarity.Metric(plain(*of).name, None, every_pair, False))
+    for layout in ({}, {"scan_rows": 0, "block_rows": 5}):
+        assert found(signature_join.compare_all(q, x, 8, 0.75, 0.45, **layout)) == want and want
