@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from simloom.functions.scalars import real_value
-from simloom.operators import signature_join, similarity, tune
+from simloom.operators import matches, signature_join, similarity, tune
 from test_signatures import items as signatures
 
 
@@ -60,3 +60,18 @@ def test_signatures_meet_by_their_positions(spark, monkeypatch):
     monkeypatch.setattr(signature_join, "signature_metric", lambda *of: similarity.Metric(plain(*of).name, None, every_pair, False))
     for layout in ({}, {"scan_rows": 0, "block_rows": 5}):
         assert found(signature_join.compare_all(q, x, 8, 0.75, 0.45, **layout)) == want and want
+
+
+def test_rows_of_sets_go_where_their_pairs_are(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(n // 3 * 7, n, [float(v) for v in rng.normal(size=4)]) for n in range(600)]
+    rows += [(0, 0, rows[0][2]), (30, 900, [1.0] * 4), (None, 901, [1.0] * 4)]  # a row twice, a lone row, a row of no set
+    df = spark.createDataFrame(rows, "set_id bigint, row bigint, vec array<double>").filter("set_id IS NOT NULL")
+    listed = [(a * 7, b * 7) for a in range(0, 200) for b in (a + 1, (a * 61) % 200) if a != b] + [(0, 7), (0, 30), (30, 0), (30, 5000), (None, 7)]
+    pairs = spark.createDataFrame(listed, "set_a bigint, set_b bigint")
+    want = found(matches.set_distance(pairs, df))
+    assert len(want) > 300
+    monkeypatch.setattr(matches, "CHUNK_ROWS", 24)
+    got = matches.set_distance(pairs, df)
+    assert found(got) == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row goes to all tiles
