@@ -5,7 +5,8 @@ import math
 import numpy as np
 
 from simloom.functions.scalars import real_value
-from simloom.operators import matches, signature_join, similarity, tune
+from simloom.operators import fusion, matches, signature_join, similarity, tune
+from test_fusion import WEIGHTS, lists
 from test_signatures import items as signatures
 
 
@@ -75,3 +76,19 @@ def test_rows_of_sets_go_where_their_pairs_are(spark, monkeypatch):
     got = matches.set_distance(pairs, df)
     assert found(got) == want
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row goes to all tiles
+
+
+def test_items_of_whole_lists_are_sent_once(spark, monkeypatch):
+    items = lists(spark, n=90)
+    queries = items.filter("item_id % 7 = 1").withColumnRenamed("item_id", "query_id")
+    monkeypatch.setattr(fusion, "HELD_BYTES", 1)
+    if hasattr(fusion, "LEAST_HELD_BYTES"):
+        monkeypatch.setattr(fusion, "LEAST_HELD_BYTES", 1)
+    for k in (None, 5):
+        got = fusion.top_fused(queries, items, WEIGHTS, "borda", k)
+        assert "x_split" not in got._jdf.queryExecution().optimizedPlan().toString()
+        fused = fusion.fuse_borda(similarity.search(queries, items, scale=1.0), WEIGHTS)
+        assert found(got) == found(fused if k is None else similarity.ranked(fused, k).select("query_id", "item_id", "dist"))
+    with monkeypatch.context() as m:
+        m.setattr(fusion, "SENT_BYTES", 0)
+        assert found(fusion.top_fused(queries, items, WEIGHTS, "borda", 5)) == found(got)
