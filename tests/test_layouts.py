@@ -3,9 +3,12 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from simloom.functions import rects
 from simloom.functions.scalars import real_value
-from simloom.operators import fusion, matches, signature_join, similarity, tune
+from simloom.operators import evaluate, fusion, matches, signature_join, similarity, tune
 from test_fusion import WEIGHTS, lists
 from test_signatures import items as signatures
 
@@ -92,3 +95,37 @@ def test_items_of_whole_lists_are_sent_once(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(fusion, "SENT_BYTES", 0)
         assert found(fusion.top_fused(queries, items, WEIGHTS, "borda", 5)) == found(got)
+
+
+def regions_of(spark, rng, n, images):
+    kinds = np.array(["f", "p", "i", "q", None])
+    rows = [(int(i), int(k), kinds[c], tuple(map(int, r))) for i, k, c, r in zip(
+        rng.integers(0, images, n), rng.integers(0, 9, n), rng.integers(0, 5, n), np.c_[rng.integers(0, 30, (n, 2)), rng.integers(-1, 40, (n, 2))])]
+    rows += rows[:9] + [(None, 1, "f", (0, 0, 20, 20)), (1, None, "f", (0, 0, 20, 20)), (1, 5, "p", None), (2, 6, "p", (3, None, 20, 20))]
+    return spark.createDataFrame(rows, "img bigint, rid bigint, kind string, r struct<x: int, y: int, w: int, h: int>").persist()
+
+
+@pytest.mark.parametrize("most", [2000, 30, 0])
+def test_cascade_moves_regions_only(spark, monkeypatch, most):
+    rng = np.random.default_rng(11)
+    given, found_ = regions_of(spark, rng, 150, 12), regions_of(spark, rng, 220, 12)
+
+    def subs(shift):
+        r = F.col("r")
+        two = F.array(*[F.struct((F.col("rid") * 2 + k).alias("rid"), F.lit(kind).alias("kind"), rects.rect(
+            r["x"] + k * 3 + shift, r["y"] + shift, (r["w"] / 1.5).cast("int"), (r["h"] / 1.5).cast("int")).alias("r")) for k, kind in enumerate(("i", "odd", "m"))])
+        return F.when(F.col("rid") != 4, two)
+
+    columns = subs(F.lit(0)), subs((F.col("rid") % 2).cast("int"))
+    tables = [df.select("img", F.col("rid").alias("parent"), F.explode(c).alias("s")).select("img", "parent", "s.rid", "s.kind", "s.r") for df, c in zip((given, found_), columns)]
+    want = evaluate.region_counts_cascade(given, found_, *tables, 0.5, 0.6, 4).first()
+    if most:
+        monkeypatch.setattr(evaluate, "IMAGE_ROWS", most)
+    else:  # few rows to a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = evaluate.region_counts_cascade(given, found_, *columns, 0.5, 0.6, 4).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and want.match > 50
+    assert evaluate.region_counts_cascade(given.filter("false"), found_.filter("false"), *columns).first() == (None, None, None)
