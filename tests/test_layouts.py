@@ -64,6 +64,12 @@ def test_signatures_meet_by_their_positions(spark, monkeypatch):
     monkeypatch.setattr(signature_join, "signature_metric", lambda *of: similarity.Metric(plain(*of).name, None, every_pair, False))
     for layout in ({}, {"scan_rows": 0, "block_rows": 5}):
         assert found(signature_join.compare_all(q, x, 8, 0.75, 0.45, **layout)) == want and want
+    assert found(signature_join.compare_all(q, x, 8, 0.75, 0.45, one=True, scan_rows=0, block_rows=2)) == want
+    monkeypatch.setattr(signature_join, "LIST_PAIRS", 10)
+    twice = x.unionByName(x.filter("item_id < 9"))  # ids that come twice
+    got = [signature_join.join_signature(q, x, 8, 0.75, 0.45, scan_rows=0, block_rows=2) for q in (
+        twice.withColumnRenamed("item_id", "query_id"), twice.filter("item_id >= 0").withColumnRenamed("item_id", "query_id"))]
+    assert found(got[0]) == found(got[1]) and got[0].count() > len(want)
 
 
 def test_rows_of_sets_go_where_their_pairs_are(spark, monkeypatch):
